@@ -26,6 +26,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies_of(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from nodeloom.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodeloom.llm.warc import index_of, read_warc, write_warc
 
@@ -37,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op8_source_mixing, op10_warc)}
+    return {f.__name__: f for f in (op5_exact_dedup, op8_source_mixing, op9_bpe, op10_warc)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
