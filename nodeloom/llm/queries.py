@@ -32,12 +32,33 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodeloom.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.llm.language_id import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.llm.html_extract import extract_pages, train
+
+    pages = table(spark, sf_dir, "pages")
+    return extract_pages(pages, train(pages))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodeloom.llm.mixing import copies_of
 
@@ -63,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_ngram_join, op5_exact_dedup, op8_source_mixing, op9_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_language_id, op7_html_extract, op8_source_mixing, op9_bpe, op10_warc)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -119,4 +140,6 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, """
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from nodeloom.llm.license_scan import oracle
+
+    return SQL | {"op4_license_scan": oracle()}
