@@ -183,4 +183,4 @@ def decode_ids(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "i
     at = rows.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(ids).alias("p", "id"))
     joined = at.join(F.broadcast(pieces), "id", "left")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", F.hex("piece").alias("h")))), lambda x: F.coalesce(x["h"], F.lit("")))
-    return joined.groupBy("doc_id").agg(F.decode(F.unhex(F.concat_ws("", ordered)), F.lit("UTF-8")).alias("text"))
+    return joined.groupBy("doc_id").agg(F.decode(F.unhex(F.concat_ws("", ordered)), "UTF-8").alias("text"))
