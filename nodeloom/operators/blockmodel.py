@@ -49,10 +49,46 @@ def node_marginals(messages: DataFrame, eta: list[float], cab: np.ndarray, n: in
     return x.withColumn("psi", _normal(F.col("logs"), q))
 
 
-def field_of(marginals: DataFrame, cab: np.ndarray) -> list[float]:
-    q = len(cab)
-    row = marginals.agg(*[F.sum(F.col("psi")[t]).alias(f"s{t}") for t in range(q)]).first()
-    return [float(sum(cab[t][s] * (row[t] or 0.0) for t in range(q))) for s in range(q)]
+def settled_field(logs: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], rounds: int = 30) -> list[float]:
+    """The field h_s = sum_i sum_t c_ts psi_i(t) of the marginals that it makes itself; logs: (node_id, logs) without field.
+
+    A field one sweep behind its marginals lets all nodes drift into one group, so it is solved for: Newton steps on
+    q numbers, halved while they overshoot; a step is one aggregate over the nodes. Nodes without edges have the prior.
+    """
+    q, c = len(eta), np.asarray(cab, float)
+    logs = cut_lineage(logs.select("node_id", "logs"))
+    alone = n - logs.count()
+
+    def moments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = logs.select(_normal(F.array(*[F.col("logs")[s] - float(h[s]) / n for s in range(q)]), q).alias("psi"))
+        once = [F.sum(F.col("psi")[s]).alias(f"m{s}") for s in range(q)]
+        twice = [F.sum(F.col("psi")[s] * F.col("psi")[t]).alias(f"m{s}_{t}") for s in range(q) for t in range(q)]
+        row = np.array([v or 0.0 for v in x.agg(*once, *twice).first()])
+        own = np.log(np.maximum(eta, 1e-50)) - h / n
+        own = np.exp(own - own.max())
+        own /= own.sum()
+        return row[:q] + alone * own, row[q:].reshape(q, q) + alone * np.outer(own, own)
+
+    h, step, best = np.array(field, float), np.zeros(q), None
+    for _ in range(rounds):
+        first, second = moments(h)
+        gap = first @ c - h
+        size = np.abs(gap).max()
+        if size <= 1e-7 * n:
+            return h.tolist()
+        if best is not None and size > best[0]:
+            step = step / 2
+        else:
+            best = (size, h)
+            slope = c.T @ (second - np.diag(first)) / n - np.eye(q)
+            step = np.linalg.lstsq(slope, -gap, rcond=None)[0]
+        h = best[1] + step
+    return best[1].tolist()
+
+
+def field_free(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int) -> DataFrame:
+    """node_marginals' logs with no field."""
+    return node_marginals(messages, eta, cab, n, [0.0] * len(eta)).select("node_id", "logs")
 
 
 def bp_sweep(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], damping: float = 0.5) -> DataFrame:
@@ -99,9 +135,10 @@ def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab:
 
     Messages are rows, cut from their lineage after each sweep; q and q*q numbers alone are on the driver.
     """
-    n = nodes.count()
+    n = max(nodes.count(), 1)
     messages = cut_lineage(initial_messages(edges, q))
     field = [float(sum(cab[t][s] * eta[t] for t in range(q)) * n) for s in range(q)]
+    field = settled_field(field_free(messages, eta, cab, n), eta, cab, n, field)
     energy = None
     for step in range(em_steps):
         for _ in range(sweeps):
@@ -109,7 +146,7 @@ def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab:
             old = messages.select("src", "dst", F.col("psi").alias("old"))
             change = new.join(old, ["src", "dst"]).agg(F.max(F.array_max(F.zip_with("psi", "old", lambda a, b: F.abs(a - b))))).first()[0]
             messages = new
-            field = field_of(node_marginals(messages, eta, cab, n, field), cab)
+            field = settled_field(field_free(messages, eta, cab, n), eta, cab, n, field)
             if change is None or change < crit:
                 break
         marg = node_marginals(messages, eta, cab, n, field)
@@ -119,9 +156,64 @@ def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab:
         if settled or step == em_steps - 1:
             break
         eta, cab = expected_affinity(messages, marg, cab, n)
+        field = settled_field(field_free(messages, eta, cab, n), eta, cab, n, field)
     return argmax_groups(nodes.join(node_marginals(messages, eta, cab, n, field), "node_id", "left"), eta), energy
 
 
+def mean_field(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, sweeps: int = 20, damping: float = 0.5, crit: float = 1e-3) -> tuple[DataFrame, float]:
+    """((node_id, psi, group_id), free energy) of naive mean field: psi_i(s) ~ eta_s e^{-h_s / N} prod_l prod_t c_ts^psi_l(t).
+
+    As belief propagation, with marginals in place of messages: one join and one aggregate over the edges a sweep.
+    """
+    n, log_c = max(nodes.count(), 1), np.log(np.maximum(np.asarray(cab, float), 1e-50))
+    start = F.array(*[uniform("mf", F.col("node_id"), F.lit(s)) + 1e-3 for s in range(q)])
+    now = cut_lineage(nodes.select("node_id", _normal(F.transform(start, F.ln), q).alias("psi")))
+    field = [float(sum(cab[t][s] * eta[t] for t in range(q)) * n) for s in range(q)]
+
+    def links() -> DataFrame:
+        heard = [F.sum(sum(float(log_c[t][s]) * F.col("psi")[t] for t in range(q))).alias(f"l{s}") for s in range(q)]
+        return edges.join(now.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(*heard)
+
+    for _ in range(sweeps):
+        logs = cut_lineage(links().select("node_id", F.array(*[F.col(f"l{s}") + float(np.log(max(eta[s], 1e-50))) for s in range(q)]).alias("logs")))
+        field = settled_field(logs, eta, cab, n, field)
+        prior = F.array(*[F.lit(float(np.log(max(eta[s], 1e-50)))) for s in range(q)])
+        at = now.withColumnRenamed("psi", "old").join(logs, "node_id", "left")
+        shifted = F.zip_with(F.coalesce("logs", prior), F.array(*[F.lit(field[s] / n) for s in range(q)]), lambda a, h: a - h)
+        mixed = F.zip_with(_normal(F.col("shifted"), q), "old", lambda a, b: damping * a + (1 - damping) * b)
+        new = cut_lineage(at.withColumn("shifted", shifted).select("node_id", mixed.alias("psi"), "old"))
+        change = new.agg(F.max(F.array_max(F.zip_with("psi", "old", lambda a, b: F.abs(a - b))))).first()[0]
+        now = new.select("node_id", "psi")
+        if change is None or change < crit:
+            break
+    own = sum(F.col("psi")[s] * (F.ln(F.greatest(F.col("psi")[s], F.lit(1e-50))) - float(np.log(max(eta[s], 1e-50)))) for s in range(q))
+    heard = sum(F.col("psi")[s] * F.coalesce(f"l{s}", F.lit(0.0)) for s in range(q)) / 2
+    sums = now.join(links(), "node_id", "left").agg(F.sum(own - heard).alias("f"), *[F.sum(F.col("psi")[s]).alias(f"m{s}") for s in range(q)]).first()
+    first = np.array([sums[f"m{s}"] or 0.0 for s in range(q)])
+    energy = ((sums["f"] or 0.0) + first @ np.asarray(cab, float) @ first / (2 * n)) / n
+    return argmax_groups(now, eta), float(energy)
+
+
+def walk_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, steps: int = 10, size: float = 0.5, patience: int = 5, sweeps: int = 10) -> tuple[np.ndarray, list[float]]:
+    """(cab, accepted energies): one affinity at a time moves by `size`, by hash draws; a step that raises the mean-field
+    free energy is taken back, and more than `patience` of those in a row end the walk."""
+    import hashlib
+
+    draw = lambda *key: int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) / 2**32
+    cab, energies, refused = np.array(cab, float), [], 0
+    for step in range(steps):
+        a, b = int(draw("a", step) * q), int(draw("b", step) * q)
+        tried = cab.copy()
+        tried[a][b] = tried[b][a] = max(cab[a][b] + (size if draw("up", step) > 0.5 else -size), 1e-6)
+        energy = mean_field(edges, nodes, q, eta, tried, sweeps)[1]
+        if np.isfinite(energy) and (not energies or energy <= energies[-1]):
+            cab, refused = tried, 0
+            energies.append(energy)
+        elif (refused := refused + 1) > patience:
+            break
+    return cab, energies
+
+
 def argmax_groups(marginals: DataFrame, eta: list[float]) -> DataFrame:
     """group_id of the largest marginal, the first among equals; isolated nodes have the prior."""
     psi = F.coalesce("psi", F.array(*[F.lit(float(e)) for e in eta]))

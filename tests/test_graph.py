@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +73,7 @@ def test_walks_follow_edges(spark):
                 assert all(a != c for a, c in zip(steps, steps[2:]))
 
 
-@pytest.mark.xfail(reason="known fault: the field is refreshed once a sweep, and from random messages all nodes drift into one group")
 def test_bp_finds_planted_groups(spark):
-    import numpy as np
-
     g, members = blockmodel.planted_partition(spark.range(200).withColumnRenamed("id", "node_id"), 2, 10.0, 0.1, 200)
     nodes = members.select("node_id")
     groups, energy = blockmodel.bp_learn(g, nodes, 2, [0.5, 0.5], np.array([[19.0, 1.0], [1.0, 19.0]]), em_steps=1, sweeps=10)
@@ -84,6 +82,25 @@ def test_bp_finds_planted_groups(spark):
     assert energy == energy
 
 
+def test_mean_field_finds_planted_groups(spark):
+    g, members = blockmodel.planted_partition(spark.range(200).withColumnRenamed("id", "node_id"), 2, 10.0, 0.1, 200)
+    nodes = members.select("node_id").union(spark.createDataFrame([(200,)], "node_id long"))
+    cab = np.array([[19.0, 1.0], [1.0, 19.0]])
+    groups, energy = blockmodel.mean_field(g, nodes, 2, [0.5, 0.5], cab)
+    assert groups.count() == 201
+    assert scores.partition_scores(groups.join(members, "node_id"), "membership", "group_id").first().esim > 0.5
+    flat = blockmodel.mean_field(g, nodes, 2, [0.5, 0.5], np.full((2, 2), 10.0))[1]
+    assert energy < flat
+
+
+def test_field_is_that_of_its_own_marginals(spark):
+    logs = spark.createDataFrame([(0, [0.3, -0.2, 0.1]), (1, [2.0, 0.0, -1.0]), (2, [0.0, 0.0, 0.0])], "node_id long, logs array<double>")
+    c = np.array([[3.0, 1.0, 0.5], [1.0, 4.0, 0.2], [0.5, 0.2, 2.0]])
+    h = np.array(blockmodel.settled_field(logs, [0.2, 0.3, 0.5], c, 4, [1.0, 1.0, 1.0]))
+    rows = [np.exp(np.array(r.logs) - h / 4) for r in logs.collect()] + [np.array([0.2, 0.3, 0.5]) * np.exp(-h / 4)]
+    assert np.allclose(sum(r / r.sum() for r in rows) @ c, h, atol=1e-5)
+
+
 def test_eigenvalues_of_a_complete_graph(spark):
     values, vectors = spectral.top_eigenpairs(edges_of(spark, [(a, b) for a in range(8) for b in range(a + 1, 8)]), 1, rounds=6)
     assert values[0] == pytest.approx(7.0, abs=1e-6) and vectors.count() == 8
