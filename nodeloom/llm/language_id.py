@@ -100,11 +100,16 @@ class LanguageFilter:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, grams: int = GRAMS) -> LanguageFilter:
     """A filter from the rows with text and lang. Bounded: `sample` texts per language, then `grams` n-grams each.
 
-    The choice of texts moves ids only; what reaches the driver is languages * grams hashes.
+    The choice of texts moves ids only, and of those about `sample` per language: rows are counted by language first,
+    and a hash too large for that count is not ranked. What reaches the driver is languages * grams hashes.
     """
     some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("i"), F.col(lang).alias("l"), F.col(text).alias("x"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    ids = some.select("i", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("i").distinct()
+    share = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
+    known = some.select("i", "l", share.alias("k")).join(F.broadcast(some.groupBy("l").agg(F.count(F.lit(1)).alias("all"))), "l")
+    near = known.where(F.col("k") * F.col("all") < sample + 8 * sample**0.5 + 16)  # hashes that can be among the least
+    order = Window.partitionBy("l").orderBy("k", "i")
+    ranked = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    ids = ranked.select("i").distinct()
     chosen = some.join(F.broadcast(ids), "i")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
