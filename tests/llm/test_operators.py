@@ -222,6 +222,34 @@ def test_license_scan(spark):
     assert got[4][1] == "all-rights-reserved,cc-by-nc-4.0" and got[5] == (2, "")
 
 
+def test_license_scan_of_wrapped_and_embedded_texts(spark):
+    import textwrap
+
+    rules, rnd = license_scan.RULES + license_scan.COMMON, random.Random(4)
+    prefixes = ["", "# ", "// ", " * ", "    ", "; ", "! ", "> ", "dnl "]
+    rows = []
+    for name, sentences in rules:
+        for k in range(4):
+            mark, end = rnd.choice(prefixes), rnd.choice(["\n", "\r\n"])
+            body = textwrap.wrap(" ".join(sentences), rnd.choice([40, 72, 80, 500]), break_long_words=False, break_on_hyphens=False)
+            body = ["A module of ours", "", *body, ""] if k % 2 else ["Some words first.", *body]
+            rows.append((len(rows), end.join(mark + x for x in body) + f"{end}{end}int main() {{}}"))
+
+    def anywhere(sentence, x):  # the words with only other characters (or a comment word) between: no split at all
+        return re.search("(?<![a-z0-9])" + "(?:[^a-z0-9]|(?<=\n)dnl )+".join(re.findall("[a-z0-9]+", sentence.lower())) + "(?![a-z0-9])", x.lower())
+
+    def brute(x):
+        return ",".join(sorted({name for name, sentences in rules if all(anywhere(s, x) for s in sentences)}))
+
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    for k, (i, x) in enumerate(rows):
+        assert rules[k // 4][0] in got[i].split(","), x
+        assert set(got[i].split(",")) <= set(brute(x).split(",")), x
+    gpl = textwrap.fill(" ".join(dict(license_scan.RULES)["gpl"]), 75)
+    assert len(gpl.splitlines()) > 3
+    assert license_scan.license_scan(frame(spark, [(1, gpl)])).first()[1:] == (2, 1, "gpl")
+
+
 def test_pipeline_stages_keep_their_columns(spark, tmp_path):
     import corpus_pipeline
 
