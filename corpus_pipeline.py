@@ -11,34 +11,62 @@ from nodeloom.llm import _shared, bpe, exact_dedup, language_id, mixing, ngram_j
 LEAST_SCORE = 0.2
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row, and _order: by doc_id (null first), then md5 of the text, then a hash of
+    the other columns; _row only decides between rows that are alike. A table, so that the numbers hold."""
+    rows = _shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return rows.withColumn("_order", F.struct("doc_id", F.md5("text").alias("text"), F.xxhash64(*docs.columns).alias("rest"), "_row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no known language, go; the others stay as they are."""
+    """Documents without letters, or in no known language, go; the others stay as they are.
+
+    Each row is told by its own text, whatever its doc_id: rows with a null or a repeated one stay or go like others.
+    """
     model = language_id.train(docs.where(~language_id.held_out()))
-    told = language_id.identify(docs, model).where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}")
-    return docs.join(told.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    told = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, doc_id="row")
+    return told.where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}").select("doc_id.*")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts stays, that with the smallest doc_id."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each set of equal texts stays, that with the smallest doc_id.
+
+    A null doc_id counts as larger than any other. Rows with different texts are never in one set, also if they share
+    a doc_id or have none; of rows with equal texts and equal doc_ids the least by all columns stays.
+    """
+    key = lambda digest: F.concat(digest, F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-")))
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(key(F.col("text_sha256")).alias("_key")).distinct()
+    rows = docs.withColumn("_key", key(F.sha2(exact_dedup.normalised(F.col("text")), 256))).join(kept, "_key", "left_semi")
+    return rows.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays, that with the smallest doc_id."""
-    kept = ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of near duplicates stays, that with the smallest doc_id.
+
+    A null doc_id counts as larger than any other. Components are those of rows: rows that share a doc_id or have none
+    are told apart, and linked by their texts only; of several with the smallest doc_id, that with the least md5 of its text stays.
+    """
+    rows = _numbered(docs)
+    found = ngram_join.ngram_components(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "_order").alias("o"))
+    kept = found.join(order, "_row").groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._order._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.copies_of(docs).where("copies > 0").select("doc_id", "copies")
-    mixed = docs.join(taken, "doc_id")
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    The mix decides by row: rows with a null doc_id are ranked before the others of their source and size, and rows
+    that share a doc_id are ranked one after the other.
+    """
+    rows = _numbered(docs)
+    taken = mixing.copies_of(rows, doc_id="_order").where("copies > 0").select(F.col("doc_id._row").alias("_row"), "copies")
+    mixed = rows.join(taken, "_row")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix, repeats included."""
+    """Token counts and digests of every document of the mix, repeats and rows with a null or shared doc_id included."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

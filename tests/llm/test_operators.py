@@ -258,3 +258,55 @@ def test_pipeline_stages_keep_their_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_is_brute_force_with_null_and_repeated_ids(spark, tmp_path):
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    rnd, rows = random.Random(5), []
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 5))) for _ in range(80)]
+    for k in range(90):  # texts of different lengths, so that the mix has no ties
+        x = [rnd.choice(words) for _ in range(20 + k)]
+        rows.append(((None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k), " ".join(x), "en", f"s{k % 2}"))
+        if k % 9 == 0:  # a near copy, without an id as the first
+            rows.append((None, " ".join(x[:-1] + ["new"] + ["q"] * (k % 2)), "en", "s0"))
+        if k % 10 == 1:  # equal texts: with the id of others, without one, and with a larger one
+            rows += [(7, " ".join(x), "en", "s1"), (None, "  ".join(x), "en", "s0"), (9000 + k, " ".join(x), "en", "s1")]
+        if k % 10 == 3:  # equal texts without an id, and rows that go although others have their id
+            rows += [(None, rows[-1][1], "en", "s1"), (7, "123 !!", "en", "s0"), (None, None, "en", "s0")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    last = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
+    model = language_id.train(docs.where(~language_id.held_out()))
+    names, score = model.predict([r[1] or "" for r in rows])
+    left = [r for r, n, s in zip(rows, names, score) if n != "und" and s >= corpus_pipeline.LEAST_SCORE]
+    assert any(r[0] is None for r in left) and sum(r[0] == 7 for r in left) > 20
+    first = {}
+    for r in sorted(left, key=last):
+        first.setdefault(BLANK.sub(" ", r[1]), r)
+    left = list(first.values())
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in left)]
+    top = components(len(left), [(a, b) for a in range(len(left)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    groups = collections.defaultdict(list)
+    for r, t in zip(left, top):
+        groups[t].append(r)
+    assert len(groups) < len(left)
+    left = [min(g, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())) for g in groups.values()]
+    sizes = [(r[3], len(r[1].split()), r[0]) for r in left]
+    assert len(set(sizes)) == len(sizes)
+    left.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(k, r[1], r[3]) for k, r in enumerate(left)])
+    t, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), collections.Counter()
+    for k, size, *_, taken in con.execute(entry.oracle_sql()["op8_source_mixing"]).fetchall():
+        ids = t.encode(left[k][1], add_special_tokens=False).ids
+        want[left[k][0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += taken // size
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want
