@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -117,9 +119,24 @@ def _assign(table: DataFrame, groups: list) -> DataFrame:
     return given.mapInArrow(run, "node_id long, group_id long")
 
 
-def silhouette_by_k(table: DataFrame, most: int = 6, seed: int = 0) -> DataFrame:
-    """(k, silhouette) by cosine for k = 2..most; missing embeddings count as zero-free rows only."""
-    x = _features(table.where(F.exists("emb", lambda v: v != 0)))
-    judge = ClusteringEvaluator(distanceMeasure="cosine")
-    rows = [(k, float(judge.evaluate(KMeans(k=k, seed=seed, distanceMeasure="cosine").fit(x).transform(x)))) for k in range(2, most + 1)]
-    return table.sparkSession.createDataFrame(rows, "k int, silhouette double")
+def silhouette_by_k(table: DataFrame, most: int = 20, seed: int = 0, restarts: int = 10) -> DataFrame:
+    """(k, silhouette) by cosine for k = 2..min(most, n - 1), of the k-means of least cost over `restarts` seeds.
+
+    Missing and zero embeddings are left out, also of n. A k whose best k-means has one group only has no row; with
+    fewer than three embeddings there is none at all. Fits run side by side, as each is many short jobs.
+    """
+    x = _features(table.where(F.exists("emb", lambda v: v != 0))).select("features").persist()
+    spark, judge = table.sparkSession, ClusteringEvaluator(distanceMeasure="cosine")
+
+    def best(k: int) -> tuple[int, float] | None:
+        means = lambda s: KMeans(k=k, seed=seed + s, distanceMeasure="cosine", maxIter=300).fit(x)
+        model = min(map(means, range(restarts)), key=lambda m: m.summary.trainingCost)
+        if sum(n > 0 for n in model.summary.clusterSizes) > 1:
+            return k, float(judge.evaluate(model.transform(x)))
+
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            rows = list(pool.map(inheritable_thread_target(spark)(best), range(2, min(most, x.count() - 1) + 1)))
+    finally:
+        x.unpersist()
+    return spark.createDataFrame([r for r in rows if r], "k int, silhouette double")

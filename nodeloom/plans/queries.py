@@ -129,8 +129,8 @@ def kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def silhouette_best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustering.silhouette_by_k(embedding_table(spark, sf_dir), 5)
-    return found.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"), F.max("silhouette").alias("silhouette"))
+    found = clustering.silhouette_by_k(embedding_table(spark, sf_dir))
+    return found.agg(F.coalesce(F.max_by("k", F.struct("silhouette", -F.col("k"))), F.lit(1)).alias("k"), F.max("silhouette").alias("silhouette"))
 
 
 def _lloyd_sql(rounds: int) -> str:

@@ -139,3 +139,16 @@ def test_results_layer(spark):
     got = {r.n: r.name for r in results.decoded(x, ["n", "name"]).collect()}
     assert got == {"5": "x", "6": None}
     assert results.filtered(results.decoded(x, ["n", "name"]), {"name": ["y"]}).count() == 1
+
+
+def test_silhouette_finds_eight_groups(spark, tmp_path):
+    from nodeloom.operators import clustering
+    from nodeloom.plans import queries
+
+    rows = [(8 * k + g, g, [float(d == g) + 0.01 * ((k * 7 + d * 3 + g) % 5) for d in range(8)]) for k in range(3) for g in range(8)]
+    rows += [(90, 0, None), (91, 0, [0.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.silhouette_best_k(spark, str(tmp_path)).first().k == 8
+    few = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "node_id long, emb array<double>")
+    assert {r.k for r in clustering.silhouette_by_k(few, restarts=2).collect()} <= {2, 3, 4}
+    assert clustering.silhouette_by_k(few.limit(2)).count() == 0
