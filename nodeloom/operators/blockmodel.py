@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,25 +225,52 @@ def argmax_groups(marginals: DataFrame, eta: list[float]) -> DataFrame:
 def planted_partition(nodes: DataFrame, q: int, mean_degree: float, mixing: float, n: int, seed: str = "pp") -> tuple[DataFrame, DataFrame]:
     """(edges, members) with contiguous blocks: k_out = max(1, mixing * degree), k_in = q * degree - (q - 1) * k_out.
 
-    Pairs are not enumerated: every node draws its number of candidate partners to each side by hash uniforms
-    (a binomial by its normal form, rounded), then distinct undirected edges stay.
+    Each pair of nodes is an edge by itself with chance k_in / n inside a block and k_out / n across. Pairs are not
+    enumerated: a node draws its number of partners on each side from the binomial law by one hash uniform, and that many
+    distinct ones by Floyd's method; with a chance of 1 - sqrt(1 - p) from both ends, a pair has chance p. node_id is
+    0..n - 1.
     """
     members = nodes.select("node_id", F.floor(F.col("node_id") * q / n).cast("long").alias("membership"))
     k_out = max(1.0, mixing * mean_degree)
     k_in = max(0.0, q * mean_degree - (q - 1) * k_out)
-    size = n / q
-    inside, outside = k_in / q / 2, k_out * (q - 1) / q / 2
-    whole = lambda m, tag: F.floor(F.lit(float(m)) + uniform(seed, tag, F.col("node_id"))).cast("int")
-    slots = members.withColumn("slot", F.explode(F.when(whole(inside, "i") + whole(outside, "o") > 0, F.sequence(F.lit(1), whole(inside, "i") + whole(outside, "o"))).otherwise(F.array().cast("array<int>"))))
-    u = uniform(seed, "to", F.col("node_id"), F.col("slot"))
-    low = F.ceil(F.col("membership") * n / q)
-    within = (low + F.floor(u * size)).cast("long")
-    beyond = F.pmod(low + F.floor(F.lit(size) + u * (n - size)).cast("long"), F.lit(n)).cast("long")
-    target = F.when(F.col("slot") <= whole(inside, "i"), within).otherwise(beyond)
-    once = slots.select(F.least("node_id", target).alias("src"), F.greatest("node_id", target).alias("dst")).where("src <> dst").distinct()
+    me, low, high = F.col("node_id"), F.ceil(F.col("membership") * n / q), F.least(F.ceil((F.col("membership") + 1) * n / q), F.lit(n))
+    sizes = {-(-(b + 1) * n // q) - -(-b * n // q) for b in range(q)}
+
+    def partners(tag: str, many: Column, choices: set[int], chance: float) -> Column:
+        """As many distinct numbers in 0..many - 1 as the law of `many` says; choices: what `many` can be."""
+        count = F.lit(0)
+        for m in choices:
+            law = F.array(*[F.lit(c) for c in _binomial_cdf(m, 1 - math.sqrt(1 - min(1.0, chance)))])
+            count = F.when(many == m, F.least(F.size(F.filter(law, lambda c: c < uniform(seed, tag, me))), F.lit(m))).otherwise(count)
+
+        def add(have: Column, k: Column) -> Column:
+            top = (many - count + k).cast("long")  # Floyd: one of 0..top - 1, or top - 1 itself if that one is there
+            one = F.floor(uniform(seed, tag, me, k) * top).cast("long")
+            return F.concat(have, F.array(F.when(F.array_contains(have, one), top - 1).otherwise(one)))
+
+        slots = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(slots, F.array().cast("array<bigint>"), add)
+
+    inside = F.transform(partners("i", high - low - 1, {x - 1 for x in sizes}, k_in / n), lambda t: F.when(low + t < me, low + t).otherwise(low + t + 1))
+    outside = F.transform(partners("o", n - (high - low), {n - x for x in sizes}, k_out / n), lambda t: F.when(t < low, t).otherwise(t + high - low))
+    drawn = members.select("node_id", F.explode(F.concat(inside, outside)).alias("to"))
+    once = drawn.select(F.least("node_id", "to").alias("src"), F.greatest("node_id", "to").alias("dst")).distinct()
     return once.union(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), members
 
 
+def _binomial_cdf(m: int, p: float) -> list[float]:
+    """The law's cdf at 0, 1, ... until the rest is below what a hash uniform can tell."""
+    if m <= 0 or p <= 0 or p >= 1:
+        return [0.0] * m if p >= 1 else [1.0]
+    out, total = [], 0.0
+    for k in range(m + 1):
+        total += math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log1p(-p))
+        out.append(total)
+        if k > m * p and 1 - total < 1e-10:
+            break
+    return out
+
+
 def exact_counts(pairs: DataFrame, quota: DataFrame, seed: str = "sbm") -> DataFrame:
     """Of candidate pairs (src, dst, block_a, block_b): the first m of each block pair in hash order (quota: m)."""
     order = Window.partitionBy("block_a", "block_b").orderBy(uniform(seed, F.col("src"), F.col("dst")), "src", "dst")

@@ -152,3 +152,15 @@ def test_silhouette_finds_eight_groups(spark, tmp_path):
     few = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(5)], "node_id long, emb array<double>")
     assert {r.k for r in clustering.silhouette_by_k(few, restarts=2).collect()} <= {2, 3, 4}
     assert clustering.silhouette_by_k(few.limit(2)).count() == 0
+
+
+def test_planted_degrees_vary_as_the_law(spark):
+    n = 2000
+    edges, _ = blockmodel.planted_partition(spark.range(n).withColumnRenamed("id", "node_id"), 4, 10.0, 0.3, n)
+    degrees = [r["count"] for r in edges.groupBy("src").count().collect()]
+    degrees += [0] * (n - len(degrees))
+    mean = sum(degrees) / n
+    variance = sum((d - mean) ** 2 for d in degrees) / n
+    assert edges.where("src = dst").count() == 0 and edges.distinct().count() == edges.count() and edges.agg({"dst": "max"}).first()[0] < n
+    assert abs(mean - 10) < 0.4 and 8.7 < variance < 11.3
+    assert 8 <= sum(d <= 3 for d in degrees) <= 40
