@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (one of our own where it is unset) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="nodeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from nodeloom.storage import written as cut_lineage
 
 
 def swapped(edges: DataFrame) -> DataFrame:
@@ -52,27 +39,39 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("node_id").join(out, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
+def ranked(values: DataFrame, order: list[str], name: str) -> DataFrame:
+    """values with name, 0, 1, ... in the order of the columns, ties apart: ranks inside range partitions, shifted by
+    the counts of the ranges before. The one global window runs over a row per range."""
+    ranges = cut_lineage(values.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_before")
+
+
 def contiguous(table: DataFrame, column: str, name: str) -> DataFrame:
-    """Labels 0..K-1 in sorted order of the column. The window runs over its distinct values only."""
-    ranks = table.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
-    return table.join(ranks, column)
+    """Labels 0..K-1 in sorted order of the column's distinct values, null first."""
+    labels = ranked(table.select(column).distinct(), [column], name).select(F.col(column).alias("_label"), name)
+    return table.join(labels, F.col(column).eqNullSafe(F.col("_label"))).drop("_label")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node_id, component), the least node id reachable, by alternating large-star and small-star rounds.
+def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node_id, component), the least node id reachable over the undirected edges (a, b).
 
-    Rounds are logarithmic in the diameter; each is two map-side combined minima and two equi-joins.
+    Alternating large-star and small-star rounds, logarithmic in the diameter; each is two map-side combined minima and
+    two equi-joins against tables, so that the skew join can split a hub, which is never gathered. Nodes without edges,
+    and null ends, are not returned.
     """
-    now = cut_lineage(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    now = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        open_ = now.groupBy("u").count().where("count > 1").select("u").union(now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi"))
-        if open_.isEmpty():
+        now = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        inner = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")
+        if now.groupBy("u").count().where("count > 1").select("u").union(inner).isEmpty():
             break
     roots = now.select(F.col("v").alias("node_id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node_id"), F.col("v").alias("component")).union(roots)
@@ -84,11 +83,7 @@ def largest_component(edges: DataFrame) -> DataFrame:
     size = of.groupBy("component").count()
     top = size.agg(F.max_by("component", F.struct(F.col("count"), -F.col("component"))).alias("component"))
     kept = of.join(F.broadcast(top), "component").select("node_id")
-    ranges = kept.repartitionByRange("node_id").select("node_id", F.spark_partition_id().alias("range"))
-    ranges = cut_lineage(ranges)
-    before = ranges.groupBy("range").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("node_id"))
-    return ranges.withColumn("rank", rank).join(F.broadcast(before), "range").select("node_id", (F.col("before") + F.col("rank") - 1).alias("new_id"))
+    return ranked(kept, ["node_id"], "new_id")
 
 
 def scatter(values: DataFrame, nodes: DataFrame) -> DataFrame:
