@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, notebooks) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="nodeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/nodeloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and it outlives a lost executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from nodeloom.operators import structure
+from nodeloom.storage import scratch, written  # noqa: F401
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -62,25 +41,5 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tup
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of the undirected edges (a, b) as (node, component_id), the smallest id reachable.
-
-    Alternating large-star and small-star rounds; each round is two min-aggregates (combined map-side) and two
-    equi-joins, so a hub is split by the skew join and never gathered. Nodes without edges, and null ends, are not
-    returned. Each round is written to the shared folder.
-    """
-    u, v = F.greatest(a, b), F.least(a, b)
-    cur = written(edges.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    while True:
-        twice = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = twice.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = twice.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        twofold = cur.groupBy("u").count().where("count > 1").select("u")
-        inner = cur.select(F.col("v").alias("u")).distinct().join(cur.select("u"), "u", "left_semi")
-        if twofold.union(inner).isEmpty():
-            break
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
-    )
+    """Connected components of the undirected edges (a, b) as (node, component_id), the smallest id reachable."""
+    return structure.components(edges, a, b).toDF("node", "component_id")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm._shared import groups, n_partitions, written
@@ -141,15 +141,19 @@ def scan_intervals(lefts: list[bytes], rights: list[bytes], length: int) -> list
     return found
 
 
+_STARTS = "k long, h long, lo int, hi int, spans array<struct<from: int, to: int>>"
+
+
 def _scan(length: int):
-    """For each context (distinct bytes around an anchor, and how often they occur): its repeated starts, as offsets
-    before the anchor."""
+    """For each context (distinct bytes around an anchor, and how often they occur) with repeated starts: these, as
+    ranges of offsets before the anchor, in one row."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(5)]
 
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], names=["k", "h", "lo", "hi", "from", "to"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["k", "h", "lo", "hi", "spans"])
             for c in out:
                 c.clear()
             return made
@@ -163,16 +167,16 @@ def _scan(length: int):
                 for m, _, left, right in scan_intervals([x[::-1] for x in lefts], rights, length):
                     spans.setdefault(m, []).append((max(los[m], length - right), min(his[m], left)))
             for m, each in spans.items():
-                end = None
+                whole: list[dict[str, int]] = []
                 for a, b in sorted(each):
                     if a > b:
                         continue
-                    if end is not None and a <= end + 1:
-                        end = max(end, b)
-                        out[5][-1] = end
-                        continue
-                    end = b
-                    for c, v in zip(out, (key, hashes[m], los[m], his[m], a, b)):
+                    if whole and a <= whole[-1]["to"] + 1:
+                        whole[-1]["to"] = max(whole[-1]["to"], b)
+                    else:
+                        whole.append({"from": a, "to": b})
+                if whole:
+                    for c, v in zip(out, (key, hashes[m], los[m], his[m], whole)):
                         c.append(v)
             if len(out[0]) > 5000:
                 yield batch()
@@ -182,6 +186,19 @@ def _scan(length: int):
     return run
 
 
+def _merged(spans: Column) -> Column:
+    """Ranges of offsets, sorted, with those that touch made one. A context has under `length` offsets."""
+    kind = "array<struct<from: int, to: int>>"
+
+    def add(have: Column, s: Column) -> Column:
+        top = F.element_at(have, -1)
+        longer = F.struct(top["from"].alias("from"), F.greatest(top["to"], s["to"]).alias("to"))
+        touches = (F.size(have) > 0) & (s["from"] <= F.try_element_at(have, F.lit(-1))["to"] + 1)
+        return F.when(touches, F.concat(F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(have, F.array(s))).cast(kind)
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
+
+
 _CONTEXT = "k long, h long, lo int, hi int, times long, lefts binary, rights binary"
 
 
@@ -244,7 +261,7 @@ def _repeated_starts(contexts: DataFrame, length: int, group: int, steps: tuple[
 
     def scanned(table: DataFrame) -> DataFrame:
         table = table.select("k", "rights", "h", "lo", "hi", "times", "lefts")
-        return table.repartition(parts, "k").sortWithinPartitions("k", "rights").mapInArrow(_scan(length), "k long, h long, lo int, hi int, from int, to int")
+        return table.repartition(parts, "k").sortWithinPartitions("k", "rights").mapInArrow(_scan(length), _STARTS)
 
     hot = contexts.groupBy("k").count().where(F.col("count") > group).select("k")
     if not steps or hot.isEmpty():
@@ -255,18 +272,20 @@ def _repeated_starts(contexts: DataFrame, length: int, group: int, steps: tuple[
     merged = pieces.groupBy("k", "h", "lo", "hi").agg(F.sum("times").alias("times"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
     found = _repeated_starts(written(merged, "contexts"), length, group, steps[1:])
     owners = pieces.select("k", "h", "lo", "hi", "k0", "h0", "lo0", "hi0")
-    back = found.join(owners, ["k", "h", "lo", "hi"]).select(F.col("k0").alias("k"), F.col("h0").alias("h"), F.col("lo0").alias("lo"), F.col("hi0").alias("hi"), "from", "to")
+    back = written(found, "found").join(owners, ["k", "h", "lo", "hi"]).groupBy(F.col("k0").alias("k"), F.col("h0").alias("h"), F.col("lo0").alias("lo"), F.col("hi0").alias("hi"))
+    back = back.agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
     return scanned(cool).union(back)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, gram: int = GRAM, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(base, spans): base has i (doc_id), u (text hash), x (bytes) per row; spans has i, u, start, end of byte ranges
-    whose every window of `length` bytes also starts elsewhere."""
+    """(base, found): base has i (doc_id), u (text hash), x (bytes) per row; found has i, u, at and spans of anchors:
+    the windows of `length` bytes from at - to to at - from of each span also start elsewhere. An occurrence is one row,
+    however its context was told apart."""
     base = docs.select(F.col(doc_id).alias("i"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("x"))
     base = base.select("i", F.xxhash64("x").alias("u"), "x")
     kind = base.schema["i"].dataType.simpleString()
     anchors = written(base.mapInArrow(_anchors(length, gram), f"i {kind}, u long, at long, lo int, hi int, k long, h long"), "anchors")
-    twice = anchors.groupBy("k").count().where("count > 1").select("k")
+    twice = written(anchors.groupBy("k").count().where("count > 1").select("k"), "keys")  # a table, so that the join may split a hot key
     repeated = written(anchors.join(twice, "k"), "repeated")
     context = ["k", "h", "lo", "hi"]
     classes = repeated.groupBy(*context).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("i", "u", "at")).alias("r"))
@@ -275,12 +294,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     contexts = written(texts.mapInArrow(_contexts(length), _CONTEXT), "contexts")
     width = length - gram + 1
     starts = _repeated_starts(contexts, length, group, tuple(s for s in (48, 7, 1) if s < width))
-    spans = repeated.join(starts, context).select("i", "u", (F.col("at") - F.col("to")).alias("start"), (F.col("at") - F.col("from") + length).alias("end"))
-    return base, spans
+    found = repeated.join(written(starts, "starts"), context).select("i", "u", "at", "spans")
+    return base, found
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, keep_text: bool = False, **options: int) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the bytes that stay, if keep_text).
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (and kept: the bytes that stay, if keep_text).
 
     Every byte covered by a string of `length` bytes that also starts elsewhere, in any text, goes; overlaps count.
     Complete: nothing is capped; an anchor with over `group` distinct contexts is told apart by narrower anchors
@@ -288,19 +307,20 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
     Defined cases: null text is empty; texts under `length` bytes stay whole; rows that repeat a document count as
     occurrences of each other; null doc_id is allowed; an empty table gives an empty result; other columns are
-    ignored.
+    ignored. A very long text is cut into overlapping pieces for its anchors; what is gathered for one text (its
+    anchors, its spans) is smaller than the text.
     """
-    base, spans = repeated_spans(docs, doc_id, text, length, **options)
-    spans = spans.groupBy(F.col("i").alias("i2"), F.col("u").alias("u2")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    base, found = repeated_spans(docs, doc_id, text, length, **options)
+    spans = found.groupBy(F.col("i").alias("i2"), F.col("u").alias("u2")).agg(F.collect_set(F.struct("at", "spans")).alias("spans"))
     rows = base.join(spans, F.expr("i <=> i2 AND u = u2"), "left").select("i", "x", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for x, spans in zip(batch.column(1), batch.column(2)):
                 x, kept, at, n_spans, removed = x.as_py() or b"", [], 0, 0, 0
                 end = -1
-                for s in sorted((s["start"], s["end"]) for s in (spans.as_py() or [])):
+                for s in sorted((a["at"] - s["to"], a["at"] - s["from"] + length) for a in (spans.as_py() or []) for s in a["spans"]):
                     if s[0] > end:
                         kept.append(x[max(end, 0) : s[0]])
                         n_spans += 1
@@ -311,12 +331,12 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                         end = s[1]
                 kept.append(x[max(end, 0) :])
                 kept = b"".join(kept)
-                for c, v in zip(out, (len(x), removed, n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None)):
+                for c, v in zip(out, (len(x), removed, n_spans, hashlib.sha256(kept).hexdigest(), len(kept), kept if keep_text else None)):
                     c.append(v)
-            columns = [batch.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            columns = [batch.column(0), *[pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))]]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept"]
             k = len(names) if keep_text else len(names) - 1
             yield pa.RecordBatch.from_arrays(columns[:k], names=names[:k])
 
     kind = base.schema["i"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long" + ", kept binary" * keep_text)

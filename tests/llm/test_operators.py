@@ -61,13 +61,26 @@ def test_suffix_dedup(spark):
             if seen[x[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
         spans = sum(1 for q in range(len(x)) if gone[q] and (not q or not gone[q - 1]))
-        want.append((i, len(x), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(x, gone) if not g)).hexdigest()))
+        want.append((i, len(x), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(x, gone) if not g)).hexdigest(), len(x) - sum(gone)))
     for group in (512, 2):
         got = suffix_dedup.suffix_dedup(frame(spark, rows), length=length, gram=10, group=group)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert suffix_dedup.suffix_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_text_longer_than_a_piece(spark):
+    """A passage over the border of two pieces of a 2.5 MB text, again later in it and in another text."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, cut = letters(1500), suffix_dedup.SLICE
+    long = letters(cut - 700) + passage + letters(300_000) + passage + letters(50_000)
+    rows = [(1, long), (2, letters(100) + passage[:450] + letters(100)), (3, letters(2000))]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    kept = long.replace(passage, "")
+    assert len(long) > 2_300_000 and got[1][1:] == (len(long), 3000, 2, hashlib.sha256(kept.encode()).hexdigest(), len(kept))
+    assert (got[2].n_removed, got[2].n_spans, got[3].n_removed) == (450, 1, 0)
+
+
 def test_ngram_join(spark):
     rows = corpus()
     sets = []
