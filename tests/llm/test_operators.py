@@ -73,8 +73,8 @@ def test_suffix_dedup_of_a_text_longer_than_a_piece(spark):
     rng = np.random.default_rng(8)
     letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     passage, cut = letters(1500), suffix_dedup.SLICE
-    long = letters(cut - 700) + passage + letters(300_000) + passage + letters(50_000)
-    rows = [(1, long), (2, letters(100) + passage[:450] + letters(100)), (3, letters(2000))]
+    long = letters(cut - 700) + "A" + passage + "B" + letters(300_000) + "C" + passage + "D" + letters(50_000)
+    rows = [(1, long), (2, letters(100) + "E" + passage[:450] + "F" + letters(100)), (3, letters(2000))]
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
     kept = long.replace(passage, "")
     assert len(long) > 2_300_000 and got[1][1:] == (len(long), 3000, 2, hashlib.sha256(kept.encode()).hexdigest(), len(kept))
