@@ -1,8 +1,8 @@
 """Main-text extraction with a tree-structured graphical model over DOM nodes.
 
-Every block element and every run of text is a node that is content or not. Node potentials come from tags, class
-words, length and link share; parent-child potentials tie a node to its parent. Both are estimated from labelled
-pages. Sum-product messages go from the leaves to the root and back; text runs with a content marginal over one
+Every block element and every run of text is a node that is content or not. Node potentials come from the names of
+elements and from the length, link share and ending of text; parent-child potentials tie a node to its parent. Both are
+estimated from labelled pages. Sum-product messages go from the leaves to the root and back; text runs with a content marginal over one
 half make up the result.
 """
 
@@ -26,32 +26,40 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: What an opening tag closes, if open and not beyond the named limits.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Log-odds given before any page is seen: what the task calls menus, headers, footers, sidebars, notices, adverts, forms, comments.
-PRIOR = dict.fromkeys(("tag=nav", "tag=footer", "tag=aside", "tag=form", "tag=header", "tag=menu", "tag=dialog", "tag=fieldset"), -16.0) | dict.fromkeys(("tag=article", "tag=main"), 8.0)
-PRIOR |= dict.fromkeys([f"word={w}" for w in "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer form header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related recommended reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()], -16.0)
+#: Names of what the task calls menus, headers, footers, sidebars, notices, adverts, forms, comments; and of the article.
+NAMED = frozenset(f"tag={t}" for t in "nav footer aside form header menu dialog fieldset".split())
+NAMED |= {f"word={w}" for w in "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer form header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related recommended reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()}
+LANDMARKS = frozenset(("article", "main"))
+#: What is thought of a feature before any page is seen, as numbers of content and other nodes seen with it. A name is
+#: strong evidence where it is new, and worth FAITH nodes where labelled pages say otherwise; other features are neutral.
+FAITH, CAUTION = 100.0, 4.0
+GROUPS = ("text", "block", "named", "landmark")
 LABELLED = 500  # training pages at most
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 WORD = re.compile(r"[a-z]+")
+STOPS = frozenset(".!?:;\"'")
 
 
 class Page:
-    """parent, features per node, parents first; text per node (None for elements)."""
+    """parent, features, group (of GROUPS) per node, parents first; text per node (None for elements)."""
 
-    __slots__ = ("parent", "features", "text", "tag")
+    __slots__ = ("parent", "features", "text", "tag", "group")
 
     def __init__(self) -> None:
         self.parent: list[int] = []
         self.features: list[list[str]] = []
         self.text: list[str | None] = []
         self.tag: list[str] = []
+        self.group: list[int] = []
 
     def add(self, parent: int, tag: str, features: list[str], text: str | None = None) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.features.append(features)
         self.text.append(text)
+        self.group.append(0 if text is not None else 3 if tag in LANDMARKS else 2 if not NAMED.isdisjoint(features) else 1)
         return len(self.parent) - 1
 
 
@@ -69,7 +77,8 @@ def parse(source: str) -> Page:
             size = "1" if words <= 3 else "2" if words <= 8 else "3" if words <= 20 else "4" if words <= 60 else "5"
             share = link[1] / max(1, link[0])
             parent = stack[-1][1]
-            page.add(parent, "#text", [f"words={size}", "links=" + ("none" if not link[1] else "some" if share < 0.5 else "most"), "stop=" + str(text[-1] in ".!?:;\"'")], text)
+            links = "none" if not link[1] else "some" if share < 0.5 else "most"
+            page.add(parent, "#text", [f"run={size},{links},{text[-1] in STOPS}"], text)
         run.clear()
         link[0] = link[1] = 0
 
@@ -130,10 +139,11 @@ def parse(source: str) -> Page:
         node = stack[-1][1]
         attributes = m.group(3)
         named = [w for a in ATTRIBUTE.finditer(attributes) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())] if attributes else []
-        if (block or f"word={named[0]}" in PRIOR if named else block) and not hidden:
+        if (block or named and f"word={named[0]}" in NAMED) and not hidden:
             if not block:
                 flush()
-            node = page.add(node, tag, [f"tag={tag}", *{f"word={w}" for w in named}])
+            own = [f"word={w}" for w in sorted(set(named))]
+            node = page.add(node, tag, [f"tag={tag}", *own] if f"tag={tag}" in NAMED or tag in LANDMARKS else own)
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*(?:>|$)", re.I).search(source, at)
             if not hidden:
@@ -149,57 +159,50 @@ def parse(source: str) -> Page:
     return page
 
 
-def labels_of(page: Page) -> list[int] | None:
-    """Known states of a page that names its article (one article or main element): that subtree is content, less
-    parts whose own tag or class says otherwise. None for other pages, which label nothing."""
+def labels_of(page: Page) -> list[int | None] | None:
+    """States of a page whose author marked the article (one article or main element); None for other pages, which
+    label nothing. That element and what is in it is content, the rest is not. Parts of the article that have a name of
+    their own (a menu, reader comments) are not settled by the mark: they have no label."""
     named = [k for k, t in enumerate(page.tag) if t == "article"] or [k for k, t in enumerate(page.tag) if t == "main"]
     if len(named) != 1:
         return None
-    state = [0] * len(page.tag)
-    for k in range(len(page.tag)):
-        inside = k == named[0] or page.parent[k] >= 0 and state[page.parent[k]] == 1
-        state[k] = int(inside and not any(PRIOR.get(f, 0.0) < 0 for f in page.features[k]))
+    state: list[int | None] = [0] * len(page.tag)
+    for k in range(1, len(page.tag)):
+        if k == named[0]:
+            state[k] = 1
+        elif state[page.parent[k]] != 0:
+            state[k] = state[page.parent[k]] if page.group[k] != 2 else None
     return state
 
 
 class TreeModel:
-    """Node and parent-child potentials, as logarithms."""
-
-    def __init__(self, counts: dict[tuple[str, int], int], pairs: dict[tuple[int, int], int]):
-        totals = [1 + sum(n for (f, s), n in counts.items() if f == "node" and s == k) for k in (0, 1)]
+    """Node and parent-child potentials, as logarithms: odds[feature], and pairs[landmark on the page][group of the
+    child][state of the parent][state of the child]. Counts make them, from a few nodes that are thought of before; that
+    prose outside an article which the page itself marks is content, is hardly thought of."""
+
+    def __init__(self, counts: dict[tuple[str, int], int], pairs: dict[tuple[int, int, int, int], int]):
+        total = [counts.get(("node", s), 0) + 1.0 for s in (0, 1)]
+        share = [t / sum(total) for t in total]
+        level = math.log(share[1] / share[0])
         self.odds = {}
-        for f in {f for f, _ in counts if f != "node"}:
-            seen = [counts.get((f, s), 0) for s in (0, 1)]
-            self.odds[f] = math.log((seen[1] + 1) / (totals[1] + 2)) - math.log((seen[0] + 1) / (totals[0] + 2))
-        base = [[8.0, 1.0], [1.0, 8.0]]
-        rows = [[pairs.get((p, c), 0) + base[p][c] for c in (0, 1)] for p in (0, 1)]
-        self.pair = [[math.log(x / sum(row)) for x in row] for row in rows]
-        #: Content begins only at the landmark: for pages that name their article, and below parts that are named boilerplate.
-        self.strict = [[-1e-5, -11.5], self.pair[1] if self.pair[1][1] > -1e-3 else [-7.0, -1e-3]]
-        self.apart = [[math.log(0.5)] * 2] * 2
-        self.cache: dict[tuple[str, float], float] = {}
-
-    def weight(self, feature: str, most: float) -> float:
-        found = self.cache.get((feature, most))
-        if found is None:
-            found = PRIOR.get(feature, 0.0) + max(-most, min(most, self.odds.get(feature, 0.0)))
-            self.cache[feature, most] = found
-        return found
+        for f in {f for f, _ in counts if f != "node"} | NAMED | {f"tag={t}" for t in LANDMARKS}:
+            before = [FAITH, 1e-6] if f in NAMED else [1e-6, FAITH] if f[4:] in LANDMARKS else [CAUTION * share[0], CAUTION * share[1]]
+            self.odds[f] = math.log((counts.get((f, 1), 0) + before[1]) / (counts.get((f, 0), 0) + before[0])) - level * (f not in NAMED and f[4:] not in LANDMARKS)
+        self.pairs = []
+        for seen in (0, 1):
+            tables = []
+            for g in range(4):
+                before = [[8.0, 1e-9 if seen else 0.05], [0.05, 8.0]] if g < 2 else [[4.0, 0.05], [4.0, 4.0]] if g == 2 else [[1.0, 1.0], [1.0, 4.0]]
+                rows = [[pairs.get((seen, g, p, c), 0) + before[p][c] for c in (0, 1)] for p in (0, 1)]
+                tables.append([[math.log(x / sum(row)) for x in row] for row in rows])
+            self.pairs.append(tables)
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of each node: one pass of messages up the tree, one down."""
-        n, weight = len(page.parent), self.weight
-        landmark = any(t in ("article", "main") for t in page.tag)
-        strict, edge = [landmark] * n, [self.pair] * n
-        for k in range(1, n):
-            up_k = page.parent[k]
-            strict[k] = landmark or strict[up_k] or any(PRIOR.get(f, 0.0) < 0 for f in page.features[up_k])
-            if any(PRIOR.get(f, 0.0) < 0 for f in page.features[k]):
-                edge[k] = self.apart  # a menu inside an article says nothing of the article
-            elif strict[k]:
-                edge[k] = self.strict
-        own = [sum(weight(f, 1.0 if strict[k] else 3.0) for f in fs) for k, fs in enumerate(page.features)]
-        own = [o if not strict[k] or page.tag[k] not in ("article", "main") else o + 8.0 for k, o in enumerate(own)]
+        n, odds = len(page.parent), self.odds
+        tables = self.pairs[3 in page.group]
+        edge = [tables[g] for g in page.group]
+        own = [sum([odds.get(f, 0.0) for f in fs]) for fs in page.features]
         up = [[0.0, 0.0] for _ in range(n)]  # what a node's children say of it
         sent: list[tuple[float, float]] = [(0.0, 0.0)] * n
         for k in range(n - 1, 0, -1):
@@ -241,10 +244,13 @@ class TreeModel:
 
 def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", labelled: int = LABELLED) -> TreeModel:
     """Potentials from at most `labelled` pages (the least by a hash of the id); ids alone are sorted, and what
-    reaches the driver is one row per distinct feature and state of the sample."""
+    reaches the driver is one row per distinct feature and state of the sample. Equal pages count once.
+
+    Each page's edges count twice: with its article named, and as if it were a block like others, for pages that name none.
+    """
     given = pages.where(F.col(source).isNotNull()).select(F.col(page_id).cast("string").alias("i"), F.col(source).alias("x"))
     ids = given.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(labelled)
-    chosen = given.join(F.broadcast(ids), "i").select("x")
+    chosen = given.join(F.broadcast(ids), "i").select("x").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -252,20 +258,22 @@ def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", labe
             for x in batch.column(0):
                 page = parse(x.as_py())
                 state = labels_of(page)
-                if state is None:
-                    continue
-                for k, s in enumerate(state):
+                for k, s in enumerate(state or ()):
+                    if s is None:
+                        continue
                     total["node", s] += 1
                     for f in page.features[k]:
                         total[f, s] += 1
                     if k:
-                        total[f"pair={state[page.parent[k]]}", s] += 1
+                        p, g = state[page.parent[k]], page.group[k]
+                        total[f"pair=1{g}{p}", s] += 1
+                        total[f"pair=0{1 if g == 3 else g}{p}", s] += 1
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.string()), pa.array([s for _, s in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["f", "s", "n"])
 
     rows = chosen.mapInArrow(count, "f string, s int, n long").groupBy("f", "s").agg(F.sum("n").alias("n")).collect()
     counts = {(r["f"], r["s"]): r["n"] for r in rows if not r["f"].startswith("pair=")}
-    return TreeModel(counts, {(int(r["f"][5:]), r["s"]): r["n"] for r in rows if r["f"].startswith("pair=")})
+    return TreeModel(counts, {(*map(int, r["f"][5:]), r["s"]): r["n"] for r in rows if r["f"].startswith("pair=")})
 
 
 def extract_pages(pages: DataFrame, model: TreeModel, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -216,16 +216,53 @@ def test_marginals_are_those_of_enumeration():
     import itertools
     import math
 
-    page = html_extract.parse("<div><p>one two three four.</p><ul><li>x</ul></div>")
-    model = html_extract.TreeModel({("tag=p", 1): 9, ("tag=p", 0): 2, ("node", 1): 20, ("node", 0): 30, ("tag=li", 0): 7}, {(0, 0): 40, (0, 1): 4, (1, 1): 30, (1, 0): 2})
-    own = [sum(model.weight(f, 3.0) for f in fs) for fs in page.features]
-    total, on = 0.0, [0.0] * len(own)
-    for s in itertools.product((0, 1), repeat=len(own)):
-        w = math.exp(sum(o for o, x in zip(own, s) if x) + sum(model.pair[s[page.parent[k]]][s[k]] for k in range(1, len(own))))
-        total += w
-        for k, x in enumerate(s):
-            on[k] += w * x
-    assert model.marginals(page) == pytest.approx([x / total for x in on])
+    counts = {("run=2,none,True", 1): 9, ("run=2,none,True", 0): 2, ("node", 1): 20, ("node", 0): 30, ("run=1,none,False", 0): 7, ("word=ad", 0): 3}
+    model = html_extract.TreeModel(counts, {(1, 1, 0, 0): 40, (1, 1, 0, 1): 4, (1, 0, 1, 1): 30, (0, 0, 1, 0): 2, (0, 1, 1, 1): 9, (1, 2, 1, 0): 3})
+    for source in ("<div><p>one two three four.</p><ul><li>x</ul></div>", "<nav>x</nav><article><p>one two three four.</p><div class='ad'>x</div></article>", "<main><aside><p>one two three four.</aside></main>"):
+        page = html_extract.parse(source)
+        own = [sum(model.odds.get(f, 0.0) for f in fs) for fs in page.features]
+        tables = model.pairs["<div><p>" not in source]
+        total, on = 0.0, [0.0] * len(own)
+        for s in itertools.product((0, 1), repeat=len(own)):
+            w = math.exp(sum(o for o, x in zip(own, s) if x) + sum(tables[page.group[k]][s[page.parent[k]]][s[k]] for k in range(1, len(own))))
+            total += w
+            for k, x in enumerate(s):
+                on[k] += w * x
+        assert model.marginals(page) == pytest.approx([x / total for x in on])
+
+
+def made_pages(n=80):
+    """(page, page with all its containers renamed, article)"""
+    rnd, out = random.Random(9), []
+    words = lambda k: " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 7))) for _ in range(k))
+    for _ in range(n):
+        title, ps = words(6), [words(rnd.randint(5, 90)) + "." for _ in range(rnd.randint(3, 9))]
+        nav = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(6))
+        page = f"<html><head><title>{title}</title></head><body><nav><ul>{nav}</ul></nav><div class='ad'>{words(8)}.</div><article><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"</article><footer>&copy; {words(7)}.</footer></body></html>"
+        other = page.replace("<nav>", "<div>").replace("</nav>", "</div>").replace("<div class='ad'>", "<div class='k7'>").replace("article>", "div>").replace("footer>", "div>")
+        out.append((page, other, "\n\n".join([title, *ps])))
+    return out
+
+
+def test_html_extract_decides_by_what_it_has_learned(spark):
+    made = made_pages()
+    pages = spark.createDataFrame([(k, "u", x, "clash") for k, (x, _, _) in enumerate(made)], "page_id long, url string, html string, text string")
+    model, blank = html_extract.train(pages), html_extract.TreeModel({}, {})
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages, model).collect()}
+    assert all(got[k] == article for k, (_, _, article) in enumerate(made))
+    assert sum(model.extract(other) == article for _, other, article in made) >= 78  # no name is left to go by
+    assert sum(blank.extract(other) == article for _, other, article in made) == 0
+    assert html_extract.extract_pages(pages.limit(0), html_extract.train(pages.limit(0))).count() == 0
+    promo = "<div class='promo'><p>" + "one two three four five. " * 4 + "</div>"
+    taught = html_extract.TreeModel({("node", 1): 900, ("node", 0): 900, ("word=promo", 1): 400, ("word=promo", 0): 1}, {(0, 2, 0, 1): 300})
+    assert blank.odds["word=promo"] < -9 < 0 < taught.odds["word=promo"] and taught.marginals(html_extract.parse(promo))[-1] > blank.marginals(html_extract.parse(promo))[-1]
+
+
+def test_html_extract_of_a_very_long_page(spark):
+    long = "<p>" + "word " * 100_000 + ".</p>"
+    page = f"<nav><a href=x>Home</a></nav><article>{long * 5}<aside>{long}</aside></article>"
+    got = html_extract.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), html_extract.TreeModel({}, {})).first()
+    assert got.text == "\n\n".join(["word " * 100_000 + "."] * 5)
 
 
 def test_license_scan(spark):
