@@ -7,10 +7,13 @@
    and put into the global order: ascending document frequency, then hash. A linked pair shares one of the first
    n - ceil(0.75 n) + 1 shingles of each (prefix filter), and the rarest shingles come first, so a phrase that a
    third of all documents share is in no prefix of a document that has enough of its own.
-3. Representatives that share a prefix shingle form candidate clusters. Each cluster (in blocks, if large) is
-   joined by a compressed trie of its ordered sets: a probe walks down, sharing the overlap counted on common
-   paths, and leaves a subtree when the remaining lengths cannot reach the threshold, or when the whole subtree
-   already is in the probe's component.
+3. Representatives that share a prefix shingle form candidate clusters. Each cluster is joined by a compressed trie
+   of its ordered sets: a probe walks down, sharing the overlap counted on common paths, and leaves a subtree when the
+   remaining lengths cannot reach the threshold, or when the whole subtree already is in the probe's component.
+   A cluster larger than a block is cut into blocks of alike sets, and only blocks that have a prefix shingle in
+   common, and sizes that can link, meet.
+
+A batch sends a shingle once, however many of its texts have it, so a shingle that all texts share is a row per batch.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm._shared import components, groups, n_partitions, written
 from nodeloom.llm._shingles import mix, shingle_sets
+from nodeloom.operators.structure import ranked
 
 BATCH_BYTES = 8 << 20
 BLOCK_SETS = 512
-_PIECES = "bucket int, batch long, keys binary, docs binary, meta binary"
+_ALL = 65535  # in place of a text's number in its batch: several texts of the batch have the shingle
+_PIECES = "bucket int, batch long, keys binary, docs binary, counts binary, meta binary"
+_KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
@@ -48,8 +54,13 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]
 
 
 def _pieces(buckets: int, width: int, full: bool):
-    """Each batch's set elements as one row per bucket of the hash space (full: 8-byte keys, else their lower half),
-    and one row with the documents' ids, set sizes and set hashes."""
+    """Per batch, for each bucket of the hash space: its distinct set elements; and one row of the batch's own, bucket -1.
+
+    full: elements are whole, with the number of the batch's texts that have them; the batch's own row has all of them,
+    in the order of the buckets, with the texts of each. Otherwise they are the hash's lower half, with the text's
+    number, or _ALL; the own row counts, per text, the elements that another text of the batch has too. Own rows have
+    the texts' ids, set sizes and set hashes.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, texts in _batches(rows):
@@ -63,79 +74,84 @@ def _pieces(buckets: int, width: int, full: bool):
                 p = np.concatenate(([np.uint64(0)], np.cumsum(mix(keys + np.uint64(salt)), dtype=np.uint64)))
                 whole.append(mix(p[ends] - p[ends - n]))
             meta = np.array(ids, np.int64).tobytes() + n.tobytes() + whole[0].tobytes() + whole[1].tobytes()
-            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
-            order = np.argsort(bucket, kind="stable")
-            keys, docs = keys[order], docs[order]
-            keys = keys if full else keys.astype(np.uint32)
-            cut = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
+            order = np.lexsort((keys, bucket))
+            keys, docs, bucket = keys[order], docs[order], bucket[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate((first, [len(keys)])))
+            cut = np.concatenate(([0], np.cumsum(np.bincount(bucket[first], minlength=buckets))))
             some = np.flatnonzero(np.diff(cut)).tolist()
-            out = [(b, batch, keys[cut[b] : cut[b + 1]].tobytes(), docs[cut[b] : cut[b + 1]].tobytes(), None) for b in some]
-            out.append((int(batch % buckets), batch, None, None, meta))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "batch", "keys", "docs", "meta"])
+            if full:
+                each, what = keys[first], times.astype(np.uint32)
+                out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), None, what[cut[b] : cut[b + 1]].tobytes(), None) for b in some]
+                out.append((-1, batch, each.tobytes(), docs.tobytes(), what.tobytes(), meta))
+            else:
+                each, what = keys[first].astype(np.uint32), np.where(times > 1, np.uint16(_ALL), docs[first]).astype(np.uint16)
+                own = np.bincount(docs[np.repeat(times > 1, times)], minlength=len(sets)).astype(np.uint32)
+                out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), what[cut[b] : cut[b + 1]].tobytes(), None, None) for b in some]
+                out.append((-1, batch, None, None, own.tobytes(), meta))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=["bucket", "batch", "keys", "docs", "counts", "meta"])
 
     return run
 
 
 def _frequencies(full: bool):
-    """Answers to a bucket's pieces, per batch: which documents have how many shared elements (full: the elements
-    themselves with their document frequencies)."""
+    """Answers to a bucket's pieces, per batch. full: each element's document frequency, in the order asked. Otherwise:
+    which texts have how many elements that another batch has too."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_,), (batches, keys, docs, metas) in groups(rows, 1):
-            own = [k for k in range(len(batches)) if keys[k] is not None]
-            each = [np.frombuffer(keys[k], np.uint64 if full else np.uint32) for k in own]
-            out = [(batches[k], None, None, None, metas[k]) for k in range(len(batches)) if metas[k] is not None]
-            if each:
-                every = np.concatenate(each)
-                order = np.argsort(every, kind="stable")
-                ranked = every[order]
-                edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
-                df = np.empty(len(every), np.uint32)
-                df[order] = np.repeat(np.diff(edge), np.diff(edge))
-                at = 0
-                for k, x in zip(own, each):
-                    f, doc = df[at : at + len(x)], np.frombuffer(docs[k], np.uint16)
-                    at += len(x)
-                    common = f > 1
-                    if full:
-                        out.append((batches[k], doc[common].tobytes(), x[common].tobytes(), f[common].tobytes(), None))
-                    else:
-                        doc, count = np.unique(doc[common], return_counts=True)
-                        out.append((batches[k], doc.tobytes(), count.astype(np.uint32).tobytes(), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "docs", "values", "df", "meta"])
+        for (bucket,), (batches, keys, docs, counts) in groups(rows, 1):
+            each = [np.frombuffer(k, np.uint64 if full else np.uint32) for k in keys]
+            every, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            order = np.argsort(every, kind="stable")
+            edge = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
+            if full:
+                times = np.concatenate([np.frombuffer(c, np.uint32) for c in counts])
+            else:
+                text = np.concatenate([np.frombuffer(d, np.uint16) for d in docs])
+                times = np.where(text == _ALL, 2, 1)
+            df = np.empty(len(every), np.int64)
+            df[order] = np.repeat(np.add.reduceat(times[order].astype(np.int64), edge), np.diff(np.concatenate((edge, [len(every)]))))
+            out = []
+            for batch, b, a in zip(batches, ends.tolist(), (ends - [len(x) for x in each]).tolist()):
+                if full:
+                    out.append((bucket, batch, None, None, df[a:b].astype(np.uint32).tobytes(), None))
+                else:
+                    mine, common = text[a:b], df[a:b] > 1
+                    doc, count = np.unique(mine[common & (mine != _ALL)], return_counts=True)
+                    out.append((bucket, batch, None, doc.tobytes(), count.astype(np.uint32).tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=["bucket", "batch", "keys", "docs", "counts", "meta"])
 
     return run
 
 
-_ANSWERS = "batch long, docs binary, values binary, df binary, meta binary"
-
-
-def _meta(metas: list) -> list[np.ndarray]:
-    raw = next(m for m in metas if m is not None)
+def _meta(raw: bytes) -> list[np.ndarray]:
     n = len(raw) // 32
-    return [np.frombuffer(raw, t, n, 8 * n * k) for k, t in enumerate((np.int64, np.int64, np.int64, np.int64))]
+    return [np.frombuffer(raw, np.int64, n, 8 * n * k) for k in range(4)]
 
 
 def _shared_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, (docs, values, _, metas) in groups(rows, 1):
-        ids, n, a, b = _meta(metas)
-        count = np.zeros(len(ids), np.int64)
-        for d, v in zip(docs, values):
-            if d is not None:
-                count[np.frombuffer(d, np.uint16)] += np.frombuffer(v, np.uint32)
+    for _, (_, _, docs, counts, metas) in groups(rows, 1):
+        ids, n, a, b = _meta(metas[0])  # bucket -1 stands first
+        count = np.frombuffer(counts[0], np.uint32).astype(np.int64)
+        for d, v in zip(docs[1:], counts[1:]):
+            count[np.frombuffer(d, np.uint16)] += np.frombuffer(v, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, a, b, count)], names=["i", "n", "a", "b", "shared"])
 
 
 def _ordered_sets(percent: int):
-    """Documents that can have a link, with their shared elements in global order, and their prefix of these."""
+    """Documents that can have a link: their shared elements in global order, their prefix of these, the least element."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (docs, values, dfs, metas) in groups(rows, 1):
-            ids, n, _, _ = _meta(metas)
-            own = [k for k in range(len(docs)) if docs[k]]
-            if not own:
+        for _, (_, keys, docs, counts, metas) in groups(rows, 1):
+            ids, n, _, _ = _meta(metas[0])
+            each, times = np.frombuffer(keys[0], np.uint64), np.frombuffer(counts[0], np.uint32)
+            if not len(each):
                 continue
-            doc, key, df = (np.concatenate([np.frombuffer(x[k], t) for k in own]) for x, t in ((docs, np.uint16), (values, np.uint64), (dfs, np.uint32)))
+            df = np.concatenate([np.frombuffer(c, np.uint32) for c in counts[1:]])
+            doc, key, df = np.frombuffer(docs[0], np.uint16), np.repeat(each, times), np.repeat(df, times)
+            common = df > 1
+            doc, key, df = doc[common], key[common], df[common]
             order = np.lexsort((key, df, doc))
             doc, key, df = doc[order], key[order], df[order]
             cut = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -145,9 +161,9 @@ def _ordered_sets(percent: int):
                 if s and 100 * s >= percent * size:
                     prefix = size - -(-percent * size // 100) + 1 - (size - s)
                     part = slice(cut[k], cut[k + 1])
-                    out.append((int(ids[k]), size, key[part].tobytes(), df[part].tobytes(), key[part][:prefix].astype(np.int64).tolist()))
+                    out.append((int(ids[k]), size, key[part].tobytes(), df[part].tobytes(), key[part][:prefix].astype(np.int64).tolist(), int(key[part].min().astype(np.int64))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], names=["i", "n", "keys", "df", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()))], names=["i", "n", "keys", "df", "prefix", "low"])
 
     return run
 
@@ -280,11 +296,29 @@ def _join_blocks(percent: int):
     return run
 
 
+def _met_blocks(ordered: DataFrame, near: DataFrame, posts: DataFrame, block_sets: int, percent: int) -> DataFrame:
+    """The members of large clusters, once for each pair of blocks that meets. Blocks are runs of block_sets members by
+    (cluster, least element, id): sets that are alike mostly have the same least element."""
+    order = near.join(ordered.select("i", "n", "low"), "i")
+    order = ranked(order, ["cluster", "low", "i"], "place").select("i", "cluster", "n", F.floor(F.col("place") / block_sets).alias("own"))
+    order = written(order, "blocks")
+    seen = posts.join(order, "i").groupBy("cluster", "e", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    seen = written(seen, "seen")
+    other = seen.select("cluster", "e", F.col("own").alias("second"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    fits = f"own <= second AND 100 * high >= {percent} * low2 AND 100 * high2 >= {percent} * low"
+    pairs = seen.join(other, ["cluster", "e"]).where(fits).select("cluster", F.col("own").alias("first"), "second").distinct()
+    pairs = written(pairs, "pairs")
+    ends = pairs.select("cluster", "first", "second", F.col("first").alias("own")).union(pairs.where("first <> second").select("cluster", "first", "second", F.col("second").alias("own")))
+    met = order.select("i", "cluster", "own").join(ends, ["cluster", "own"])
+    return met.join(ordered.select("i", "n", "keys", "df"), "i").select("cluster", "first", "second", "own", "i", "n", "keys", "df")
+
+
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Two texts are linked when 100 * |intersection| >= percent * |union| of their shingle sets. Complete: no pair is
-    capped or sampled; clusters over block_sets members are joined block by block, and a task holds two blocks.
+    capped or sampled; clusters over block_sets members are joined by blocks that share a prefix shingle, and a task holds
+    two blocks.
     Shingles are told apart by 64-bit hashes.
 
     Defined cases: null and word-free texts have an empty set and are their own component; texts under `width` words
@@ -296,31 +330,33 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("x"))
     named = base.where("i IS NOT NULL")
 
-    def exchange(table: DataFrame, full: bool) -> DataFrame:
-        pieces = table.mapInArrow(_pieces(4 * parts, width, full), _PIECES)
-        pieces = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket")
-        answers = pieces.mapInArrow(_frequencies(full), _ANSWERS)
-        return answers.repartition(parts, "batch").sortWithinPartitions("batch")
+    def answered(pieces: DataFrame, full: bool) -> DataFrame:
+        asked = pieces.where("bucket >= 0").select("bucket", "batch", "keys", "docs", "counts")
+        asked = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies(full), _PIECES)
+        rows = pieces.where("bucket < 0").union(asked).select("batch", "bucket", "keys", "docs", "counts", "meta")
+        return rows.repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
 
-    info = written(exchange(named, False).mapInArrow(_shared_counts, "i long, n long, a long, b long, shared long"), "sets")
+    pieces = written(named.mapInArrow(_pieces(4 * parts, width, False), _PIECES), "shingles")
+    info = written(answered(pieces, False).mapInArrow(_shared_counts, "i long, n long, a long, b long, shared long"), "sets")
     may = info.where(f"n > 0 AND 100 * shared >= {percent} * n")
     classes = may.groupBy("n", "a", "b").agg(F.min("i").alias("rep"))
     same = may.join(classes, ["n", "a", "b"]).where("i <> rep").select(F.col("rep").alias("x"), F.col("i").alias("y"))
     reps = named.join(classes.select(F.col("rep").alias("i")).distinct(), "i", "left_semi").dropDuplicates(["i", "x"])
-    ordered = exchange(written(reps, "representatives"), True).mapInArrow(_ordered_sets(percent), "i long, n long, keys binary, df binary, prefix array<long>")
+    pieces = written(reps.mapInArrow(_pieces(4 * parts, width, True), _PIECES), "representatives")
+    ordered = answered(pieces, True).mapInArrow(_ordered_sets(percent), "i long, n long, keys binary, df binary, prefix array<long>, low long")
     ordered = written(ordered, "ordered")
 
     posts = ordered.select("i", F.explode("prefix").alias("e"))
     heads = posts.groupBy("e").agg(F.min("i").alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = components(posts.join(heads, "e").where("i <> h").select("i", "h").distinct(), "i", "h")
-    near = near.select(F.col("node").alias("i"), F.col("component_id").alias("cluster"))
-    sizes = near.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("int").alias("blocks"))
-    placed = ordered.drop("prefix").join(near.join(sizes, "cluster"), "i")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("cluster", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "i", "n", "keys", "df")
+    near = written(near.select(F.col("node").alias("i"), F.col("component_id").alias("cluster")), "clusters")
+    large = written(near.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block_sets).select("cluster"), "large")
+    sets = ordered.select("i", "n", "keys", "df")
+    placed = sets.join(near.join(large, "cluster", "left_anti"), "i").select("cluster", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"), F.lit(0).cast("long").alias("own"), "i", "n", "keys", "df")
+    if not large.isEmpty():
+        placed = placed.union(_met_blocks(ordered, near.join(large, "cluster"), posts, block_sets, percent))
     placed = placed.repartition(parts, "cluster", "first", "second").sortWithinPartitions("cluster", "first", "second")
-    links = placed.mapInArrow(_join_blocks(percent), "x long, y long")
+    links = written(placed.mapInArrow(_join_blocks(percent), "x long, y long"), "links")
 
     found = components(links.union(same), "x", "y").withColumnRenamed("node", "i")
     out = info.join(found, "i", "left").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
