@@ -1,8 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words inside Spark tasks, a block of documents at a time; each block's distinct words go to the
-partition that owns the word, where every distinct word is encoded once for all blocks; the ids come back in the
-word's place, and the words' positions in each text pick them up. Decoding joins ids with the id-to-piece table.
+Texts are split once, where they lie, a block of documents at a time: what leaves the task is the block's distinct words
+and, per text, their numbers in place. The words go to the partition that owns them, where every distinct word is
+encoded once for all blocks; its ids are joined with the id-to-piece table; both come back to the block, and the numbers
+of each text pick them up.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from nodeloom.llm._shared import n_partitions
+from nodeloom.llm._shared import groups, n_partitions, written
 
 #: The byte-level pre-tokenizer's pattern (fixed value), white space spelled out as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 class Vocabulary:
@@ -61,10 +64,6 @@ class Vocabulary:
     def encode(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The pieces of ids, joined."""
-        return b"".join(map(self.pieces.__getitem__, ids))
-
 
 def byte_letters() -> dict[int, str]:
     """byte -> the letter that stands for it: printable bytes for themselves, the others from code point 256 on."""
@@ -95,17 +94,135 @@ def _unpack(cell: bytes) -> list[bytes]:
     return out
 
 
-def _owned(texts: pa.ChunkedArray, path: str, owners: int) -> list[list[str]]:
-    """The distinct words of a block, by owner, sorted: the same list whenever it is made."""
-    voc, seen = vocabulary(path), set()
-    for text in texts:
-        seen.update(voc.split(text.as_py() or ""))
-    out: list[list[str]] = [[] for _ in range(owners)]
-    for w in seen:
-        out[zlib.crc32(w.encode()) % owners].append(w)
-    for x in out:
-        x.sort()
-    return out
+def _split(path: str, owners: int):
+    """Per block of texts (whole rows, about BLOCK_BYTES): one row per owner of words, with the block's distinct ones,
+    and one row per text, with their numbers in place. A word's number counts the words of the owners before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, task, k = vocabulary(path), TaskContext.get().partitionId(), 0
+        ids: list[pa.Array] = []
+        texts: list[np.ndarray] = []
+        words: dict[str, int] = _Numbers()
+        size, kind = 0, None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            block = (task << 32) + k
+            owner = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % owners
+            order = np.argsort(owner, kind="stable")
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words), dtype=np.uint32)
+            plain, cut = [w.encode() for w in words], np.searchsorted(owner[order], np.arange(owners + 1))
+            some = [o for o in range(owners) if cut[o + 1] > cut[o]]
+            cells = [_pack([plain[n] for n in order[cut[o] : cut[o + 1]].tolist()]) for o in some]
+            yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), cells)
+            at = 0
+            for own in ids:
+                cells = [zstandard.ZstdCompressor(level=1).compress(number[t].tobytes()) for t in texts[at : at + len(own)]]
+                at += len(own)
+                yield _rows(own, block, pa.nulls(len(own), pa.int32()), cells)
+
+        for batch in batches:
+            kind, start = batch.schema.field(0).type, 0
+            for n, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                found = voc.split(text)
+                texts.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                size += len(text)
+                if size >= BLOCK_BYTES:
+                    ids.append(batch.column(0).slice(start, n + 1 - start))
+                    yield from rows()
+                    ids, texts, words, size, start, k = [], [], _Numbers(), 0, n + 1, k + 1
+            if start < batch.num_rows:
+                ids.append(batch.column(0).slice(start))
+        if texts:
+            yield from rows()
+
+    return run
+
+
+class _Numbers(dict):
+    """A number for each new key."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _rows(ids: pa.Array, block: int, owner: pa.Array, cells: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array([block] * len(cells), pa.int64()), owner, pa.array(cells, pa.binary())], names=["i", "block", "owner", "cell"])
+
+
+def _encode(path: str):
+    """Per owner: a row of ids for each distinct word (its number n), and for each block the numbers of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocabulary(path)
+        names, kinds = ["owner", "block", "cell", "n", "ids"], (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
+        for (owner,), (blocks, cells) in groups(batches, 1):
+            words: dict[bytes, int] = _Numbers()
+            uses = []
+            for cell in cells:
+                own = _unpack(cell)
+                uses.append(zstandard.ZstdCompressor(level=1).compress(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)).tobytes()))
+            none = [None] * len(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([owner] * len(uses), blocks, uses, none, none), kinds)], names=names)
+            plain = [w.decode() for w in words]
+            for s in range(0, len(plain), 20_000):
+                some = plain[s : s + 20_000]
+                ids = [[voc.special[w]] if w in voc.special else x for w, x in zip(some, voc.encode(some))]
+                none = [None] * len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([owner] * len(some), none, none, range(s, s + len(some)), ids), kinds)], names=names)
+
+    return run
+
+
+def _numbers(cell: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint32)
+
+
+def _answer(key, words: pa.Table, uses: pa.Table) -> pa.Table:
+    """For each block, the ids and the decoded bytes of the words of one owner that it asked for, in its order."""
+    order = np.argsort(words.column("n").to_numpy())
+    ids = [np.array(x, np.uint32).tobytes() for x in words.column("ids").to_pylist()]
+    pieces = words.column("piece").to_pylist()
+    out: list[list[bytes]] = [[], []]
+    for cell in uses.column("cell"):
+        asked = order[_numbers(cell.as_py())].tolist()
+        out[0].append(_pack([ids[n] for n in asked]))
+        out[1].append(_pack([pieces[n] for n in asked]))
+    return pa.table({"block": uses.column("block"), "owner": uses.column("own"), "cell": pa.array(out[0], pa.binary()), "pieces": pa.array(out[1], pa.binary())})
+
+
+def _assemble(kind: pa.DataType, keep_ids: bool):
+    """Rows sorted by block and owner: a block's answers stand before its texts."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if keep_ids else 4]
+    kinds = (kind, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, pieces = None, [], []
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i, b, owner, cell, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if b != block:
+                    block, ids, pieces = b, [], []
+                if owner is not None:
+                    ids += _unpack(cell.as_py())
+                    pieces += _unpack(piece.as_py())
+                    continue
+                places = _numbers(cell.as_py()).tolist()
+                coded = b"".join(map(ids.__getitem__, places))
+                decoded = b"".join(map(pieces.__getitem__, places)).decode("utf-8", "replace").encode()
+                for c, v in zip(out, (i, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest(), np.frombuffer(coded, np.int32) if keep_ids else None)):
+                    c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)][: len(names)], names=names)
+
+    return run
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of a tokenizer file: one row per entry of its vocabulary."""
+    return spark.createDataFrame(list(enumerate(map(bytearray, vocabulary(path).pieces))), "id int, piece binary")
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -115,72 +232,44 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     still is that token); ids_sha256 is over little-endian unsigned 32-bit ids, decoded_sha256 over the UTF-8 of
     the decoded text.
 
-    Texts are shuffled once, into blocks by a hash of the id (about 32 MB each, their number follows the input);
-    both the block's dictionary and its assembly read that exchange. What else moves is each block's distinct
-    words and their ids, packed. No key is hot: blocks are dealt by id, words by their hash after a block has
-    made them distinct.
+    Texts don't move. A block is what one task reads, up to about 16 MB of text; its distinct words, packed, and the
+    numbers in place of its words are written once and go through one exchange each. No key is hot: words are dealt by
+    their hash after a block has made them distinct, blocks by ranges of rows. The id-to-piece table has one row per
+    vocabulary entry and is broadcast.
 
-    Defined cases: null text is empty text (no tokens); repeated rows each give a row; an empty table gives an
-    empty result; other columns are ignored.
+    Defined cases: null text is empty text (no tokens); repeated rows and null doc_ids each give a row; a text over a
+    block's size is a block of its own; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, n_partitions(spark) // 2, total // BLOCK_BYTES)
-    owners = 4 * n_partitions(spark)
-    placed = docs.select(F.pmod(F.xxhash64(F.col(doc_id), F.octet_length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).alias("i"), F.col(text).alias("x"))
-
-    def dictionary(group: pa.Table) -> pa.Table:
-        words = _owned(group.column("x"), path, owners)
-        some = [k for k in range(owners) if words[k]]
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(some), pa.int32()), "owner": pa.array(some, pa.int32()), "words": pa.array([_pack([w.encode() for w in words[k]]) for k in some], pa.binary())})
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, known = vocabulary(path), {}
-        for batch in batches:
-            cells = []
-            for cell in batch.column(2):
-                words = _unpack(cell.as_py())
-                new = [w for w in words if w not in known]
-                plain = [w.decode() for w in new]
-                ids = voc.encode(plain)
-                for w, s, x in zip(new, plain, ids):
-                    known[w] = np.array([voc.special[s]] if s in voc.special else x, np.uint32).tobytes()
-                cells.append(_pack([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["block", "owner", "ids"])
-
-    def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        voc, ids = vocabulary(path), {}
-        words = _owned(texts.column("x"), path, owners)
-        for owner, cell in zip(answers.column("owner").to_pylist(), answers.column("ids")):
-            ids.update(zip(words[owner], _unpack(cell.as_py())))
-        pieces = {w: voc.decode(np.frombuffer(x, np.uint32).tolist()) for w, x in ids.items()}
-        out: list[list] = [[], [], [], []]
-        for text in texts.column("x"):
-            parts = voc.split(text.as_py() or "")
-            coded = b"".join(map(ids.__getitem__, parts))
-            decoded = b"".join(map(pieces.__getitem__, parts)).decode("utf-8", "replace").encode()
-            out[0].append(len(coded) // 4)
-            out[1].append(hashlib.sha256(coded).hexdigest())
-            out[2].append(hashlib.sha256(decoded).hexdigest())
-            if keep_ids:
-                out[3].append(np.frombuffer(coded, np.int32))
-        found = {"doc_id": texts.column("i"), "n_tokens": pa.array(out[0], pa.int64()), "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string())}
-        return pa.table(found | ({"ids": pa.array(out[3], pa.list_(pa.int32()))} if keep_ids else {}))
-
-    kind = placed.schema["i"].dataType.simpleString()
-    asked = placed.groupBy("block").applyInArrow(dictionary, "block int, owner int, words binary")
-    answers = asked.repartition(n_partitions(spark), "owner").mapInArrow(encode, "block int, owner int, ids binary")
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, schema)
+    spark, parts = docs.sparkSession, n_partitions(docs.sparkSession)
+    given = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x"))
+    kind = given.schema["i"].dataType
+    split = written(given.mapInArrow(_split(path, 4 * parts), f"i {kind.simpleString()}, block long, owner int, cell binary"), "split")
+
+    asked = split.where("owner IS NOT NULL").select("owner", "block", "cell").repartition(parts, "owner").sortWithinPartitions("owner", "block")
+    coded = written(asked.mapInArrow(_encode(path), "owner int, block long, cell binary, n int, ids array<int>"), "coded")
+    words = coded.where("n IS NOT NULL").select("owner", "n", "ids").repartition(parts, "owner")
+    each = words.select("owner", "n", F.posexplode("ids").alias("p", "id")).join(F.broadcast(piece_table(spark, path)), "id")
+    each = each.groupBy("owner", "n").agg(F.array_sort(F.collect_list(F.struct("p", "id", "piece"))).alias("a"))
+    pieces = F.aggregate("a", F.lit(b""), lambda have, x: F.concat(have, x["piece"]))
+    each = each.select("owner", "n", F.col("a.id").alias("ids"), pieces.alias("piece"))
+    uses = coded.where("n IS NULL").select(F.col("owner").alias("own"), "block", "cell")
+    answers = each.groupBy("owner").cogroup(uses.groupBy("own")).applyInArrow(_answer, "block long, owner int, cell binary, pieces binary")
+
+    texts = split.where("owner IS NULL").select("i", "block", "owner", "cell", F.lit(None).cast("binary").alias("pieces"))
+    rows = texts.union(answers.select(F.lit(None).cast(kind).alias("i"), "block", "owner", "cell", "pieces"))
+    rows = rows.repartitionByRange(parts, "block").sortWithinPartitions("block", F.col("owner").asc_nulls_last())
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return rows.mapInArrow(_assemble(to_arrow_type(kind), keep_ids), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id, text of a table of id arrays, by joining each id with the id-to-piece table (one row per vocabulary entry).
 
-    Null or empty arrays give empty text; ids that are not in the vocabulary add nothing. doc_id is unique here.
+    Null or empty arrays give empty text; ids that are not in the vocabulary add nothing; each row gives a row, also if
+    it repeats a doc_id or has none.
     """
-    pieces = rows.sparkSession.createDataFrame(list(enumerate(map(bytearray, vocabulary(path).pieces))), "id int, piece binary")
-    at = rows.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(ids).alias("p", "id"))
-    joined = at.join(F.broadcast(pieces), "id", "left")
+    rows = written(rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"), F.monotonically_increasing_id().alias("row")), "ids")
+    at = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("p", "id"))
+    joined = at.join(F.broadcast(piece_table(rows.sparkSession, path)), "id", "left")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", F.hex("piece").alias("h")))), lambda x: F.coalesce(x["h"], F.lit("")))
-    return joined.groupBy("doc_id").agg(F.decode(F.unhex(F.concat_ws("", ordered)), "UTF-8").alias("text"))
+    return joined.groupBy("row", "doc_id").agg(F.decode(F.unhex(F.concat_ws("", ordered)), "UTF-8").alias("text")).drop("row")
