@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.llm._shared import written
+
 CRLF2 = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CHUNKS = "file string, record_id string, warc_type string, target_uri string, refers_to string, chunk_no long, chunk binary, payload_bytes long, payload_digest string, last boolean"
@@ -32,14 +34,17 @@ def record_name(page_id: Column) -> Column:
 def archive_plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 0) -> DataFrame:
     """Per page: id, url, body (UTF-8 bytes), digest, first (the response's id if this page revisits it, else null).
 
-    Of pages with equal payload digests the smallest id is the response, if the payload has revisit_bytes or more.
-    Digests are grouped apart from the payloads, with a map-side combine.
+    Of pages with equal payloads the smallest id is the response, if the payload has revisit_bytes or more; payloads
+    are equal if their SHA-1, their lengths and a second hash are. These are grouped apart from the payloads, with a
+    map-side combine. Rows that repeat a page_id with other payloads are pages of their own; with the same payload,
+    if that id is the smallest, each is a response.
     """
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     base = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), body.alias("body"))
-    base = base.withColumn("digest", base32_sha1(F.col("body")))
-    first = base.where(F.octet_length("body") >= revisit_bytes).groupBy("digest").agg(F.min("id").alias("first"))
-    out = base.join(first, "digest", "left")
+    base = base.withColumns({"digest": base32_sha1(F.col("body")), "size": F.octet_length("body").cast("long"), "mark": F.xxhash64("body")})
+    key = ["digest", "size", "mark"]
+    first = base.where(F.col("size") >= revisit_bytes).groupBy(*key).agg(F.min("id").alias("first"))
+    out = base.join(written(first, "firsts"), key, "left").drop("mark")
     return out.withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")))
 
 
@@ -54,8 +59,7 @@ def write_warc(pages: DataFrame, path: str, chunk_bytes: int = 1 << 18, revisit_
     with null page_id is written as urn:page:none and never is the response of another page.
     """
     plan = archive_plan(pages, revisit_bytes=revisit_bytes, **columns)
-    size = F.octet_length("body").cast("long")
-    plan = plan.withColumn("size", size).withColumn("revisit", F.col("first").isNotNull())
+    plan = plan.withColumn("revisit", F.col("first").isNotNull())
     last = F.when(F.col("revisit") | (F.col("size") == 0), F.lit(0)).otherwise(F.floor((F.col("size") - 1) / chunk_bytes))
     rows = plan.withColumn("segments", last + 1).withColumn("seg", F.explode(F.sequence(F.lit(1).cast("long"), F.col("segments"))))
     chunk = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("body", ((F.col("seg") - 1) * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)))
@@ -194,9 +198,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def index_of(chunks: DataFrame) -> DataFrame:
     """One row per record of a chunk table: record_id, target_uri, warc_type, refers_to, payload_bytes, payload_digest.
 
-    A revisit takes payload_bytes from the response it refers to.
+    A revisit takes payload_bytes from the response it refers to: the record of that name and of the revisit's digest,
+    so that names which repeat (as repeated page_ids do) don't mix.
     """
     full = chunks.where("last").select("record_id", "target_uri", "warc_type", "refers_to", "payload_bytes", "payload_digest")
-    sizes = full.where("warc_type = 'response'").groupBy(F.col("record_id").alias("origin")).agg(F.max("payload_bytes").alias("origin_bytes"))
-    out = full.join(sizes, full["refers_to"] == sizes["origin"], "left")
-    return out.withColumn("payload_bytes", F.coalesce("origin_bytes", "payload_bytes")).drop("origin", "origin_bytes")
+    sizes = full.where("warc_type = 'response'").groupBy(F.col("record_id").alias("origin"), F.col("payload_digest").alias("of")).agg(F.max("payload_bytes").alias("origin_bytes"))
+    out = full.join(sizes, (full["refers_to"] == sizes["origin"]) & (full["payload_digest"] == sizes["of"]), "left")
+    return out.withColumn("payload_bytes", F.coalesce("origin_bytes", "payload_bytes")).drop("origin", "of", "origin_bytes")

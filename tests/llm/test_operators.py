@@ -161,6 +161,23 @@ def test_bpe_is_the_librarys(spark):
     texts = {r.doc_id: r.text for r in bpe.decode_ids(spark.createDataFrame([(i, got[i].ids) for i, _ in rows[:-1]], "doc_id long, ids array<int>").dropDuplicates(["doc_id"]), path).collect()}
     assert all(texts[i] == (x or "") for i, x in rows[:-1])
     assert bpe.encode_documents(frame(spark, rows).limit(0), path).count() == 0
+    twice = spark.createDataFrame([(1, got[6].ids), (1, got[7].ids), (None, got[8].ids), (None, []), (3, None)], "doc_id long, ids array<int>")
+    assert sorted(str(r.text) for r in bpe.decode_ids(twice, path).collect()) == sorted([rows[6][1], rows[7][1], rows[8][1], "", ""])
+
+
+def test_bpe_of_very_long_and_nameless_texts(spark):
+    """Texts over a block's size, null ids, and texts of one length: each row has the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(1)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(5000)]
+    long = " ".join(rnd.choices(words, k=3_500_000))
+    rows = [(1, long), (None, "same size"), (None, "size same"), (None, None), (2, "x" * 300)]
+    assert len(long) > bpe.BLOCK_BYTES
+    t = Tokenizer.from_file(path)
+    want = sorted((str(i), len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest()) for i, e in ((i, t.encode(x or "", add_special_tokens=False)) for i, x in rows))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in bpe.encode_documents(frame(spark, rows), path).collect()) == want
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -190,6 +207,17 @@ def test_warc_round_trip(spark, tmp_path):
             assert r.warc_type == "revisit" and r.refers_to == f"urn:page:{first[h or '']}"
 
 
+def test_warc_of_repeated_page_ids_and_no_pages(spark, tmp_path):
+    rows = [(1, "a"), (1, "bbbbbb"), (2, "a"), (3, "bbbbbb"), (None, "a"), (None, "zz"), (4, "c"), (4, "c")]
+    df = spark.createDataFrame([(k, None, h) for k, h in rows], "page_id long, url string, html string")
+    warc.write_warc(df, str(tmp_path / "w"))
+    got = sorted((r.record_id, r.payload_bytes, r.warc_type, r.refers_to or "") for r in warc.index_of(warc.read_warc(spark, str(tmp_path / "w"), payloads=False)).collect())
+    one = "urn:page:1"
+    assert got == sorted([(one, 1, "response", ""), (one, 6, "response", ""), ("urn:page:2", 1, "revisit", one), ("urn:page:3", 6, "revisit", one), ("urn:page:none", 1, "revisit", one), ("urn:page:none", 2, "response", ""), ("urn:page:4", 1, "response", ""), ("urn:page:4", 1, "response", "")])
+    warc.write_warc(df.limit(0), str(tmp_path / "empty"))
+    assert warc.index_of(warc.read_warc(spark, str(tmp_path / "empty"))).count() == 0
+
+
 def test_language_id(spark):
     rnd = random.Random(2)
     parts = {"en": ["the", "ing", "th", "er", "wh"], "de": ["sch", "der", "ung", "üb", "ei"]}
