@@ -2,8 +2,8 @@
 
 Texts are split once, where they lie, a block of documents at a time: what leaves the task is the block's distinct words
 and, per text, their numbers in place. The words go to the partition that owns them, where every distinct word is
-encoded once for all blocks; its ids are joined with the id-to-piece table; both come back to the block, and the numbers
-of each text pick them up.
+encoded once for all blocks; a block gets its words' ids back, and the pieces of these ids by a join with the id-to-piece
+table; the numbers of each text pick them up.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nodeloom.llm._shared import groups, n_partitions, written
+from nodeloom.llm._shared import n_partitions, written
 
 #: The byte-level pre-tokenizer's pattern (fixed value), white space spelled out as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -108,7 +108,8 @@ def _split(path: str, owners: int):
         def rows() -> Iterator[pa.RecordBatch]:
             block = (task << 32) + k
             owner = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % owners
-            order = np.argsort(owner, kind="stable")
+            often = np.bincount(np.concatenate(texts), minlength=len(words))
+            order = np.lexsort((-often, owner))  # frequent words first, which packs better
             number = np.empty(len(words), np.uint32)
             number[order] = np.arange(len(words), dtype=np.uint32)
             plain, cut = [w.encode() for w in words], np.searchsorted(owner[order], np.arange(owners + 1))
@@ -117,7 +118,7 @@ def _split(path: str, owners: int):
             yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), cells)
             at = 0
             for own in ids:
-                cells = [zstandard.ZstdCompressor(level=1).compress(number[t].tobytes()) for t in texts[at : at + len(own)]]
+                cells = [_pack_numbers(number[t]) for t in texts[at : at + len(own)]]
                 at += len(own)
                 yield _rows(own, block, pa.nulls(len(own), pa.int32()), cells)
 
@@ -152,70 +153,79 @@ def _rows(ids: pa.Array, block: int, owner: pa.Array, cells: list[bytes]) -> pa.
     return pa.RecordBatch.from_arrays([ids, pa.array([block] * len(cells), pa.int64()), owner, pa.array(cells, pa.binary())], names=["i", "block", "owner", "cell"])
 
 
-def _encode(path: str):
-    """Per owner: a row of ids for each distinct word (its number n), and for each block the numbers of its words."""
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers under 2 ** 32, byte by byte of all, as one compressed cell."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(path)
-        names, kinds = ["owner", "block", "cell", "n", "ids"], (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()))
-        for (owner,), (blocks, cells) in groups(batches, 1):
-            words: dict[bytes, int] = _Numbers()
-            uses = []
-            for cell in cells:
-                own = _unpack(cell)
-                uses.append(zstandard.ZstdCompressor(level=1).compress(np.fromiter(map(words.__getitem__, own), np.uint32, len(own)).tobytes()))
-            none = [None] * len(uses)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([owner] * len(uses), blocks, uses, none, none), kinds)], names=names)
-            plain = [w.decode() for w in words]
-            for s in range(0, len(plain), 20_000):
-                some = plain[s : s + 20_000]
-                ids = [[voc.special[w]] if w in voc.special else x for w, x in zip(some, voc.encode(some))]
-                none = [None] * len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([owner] * len(some), none, none, range(s, s + len(some)), ids), kinds)], names=names)
 
-    return run
+def _unpack_numbers(cell: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _numbers(cell: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), np.uint32)
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _split that hold words. (A task of Spark's own would push the filter below the exchange, and undo its reuse.)"""
+    for batch in batches:
+        kept = batch.filter(batch.column(2).is_valid())
+        if kept.num_rows:
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in (2, 1, 3)], names=["owner", "block", "cell"])
 
 
-def _answer(key, words: pa.Table, uses: pa.Table) -> pa.Table:
-    """For each block, the ids and the decoded bytes of the words of one owner that it asked for, in its order."""
-    order = np.argsort(words.column("n").to_numpy())
-    ids = [np.array(x, np.uint32).tobytes() for x in words.column("ids").to_pylist()]
-    pieces = words.column("piece").to_pylist()
-    out: list[list[bytes]] = [[], []]
-    for cell in uses.column("cell"):
-        asked = order[_numbers(cell.as_py())].tolist()
-        out[0].append(_pack([ids[n] for n in asked]))
-        out[1].append(_pack([pieces[n] for n in asked]))
-    return pa.table({"block": uses.column("block"), "owner": uses.column("own"), "cell": pa.array(out[0], pa.binary()), "pieces": pa.array(out[1], pa.binary())})
+_ANSWER = "block long, owner int, ends binary, ids binary, used array<int>"
+
+
+def _encode(path: str):
+    """Per owner and block: the ids of the words that the block asked for, in its order, and the distinct ones of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, known = vocabulary(path), {}
+        owner = None
+        for batch in batches:
+            for own, block, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if own != owner:
+                    owner, known = own, {}
+                words = _unpack(cell.as_py())
+                new = [w for w in words if w not in known]
+                plain = [w.decode() for w in new]
+                for w, s, x in zip(new, plain, voc.encode(plain)):
+                    known[w] = [voc.special[s]] if s in voc.special else x
+                found = [known[w] for w in words]
+                ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+                ids = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1]) if len(ends) else 0)
+                cells = ([block], [owner], [_pack_numbers(np.diff(ends, prepend=0))], [_pack_numbers(ids)], [np.unique(ids).astype(np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32())))], names=["block", "owner", "ends", "ids", "used"])
+
+    return run
 
 
 def _assemble(kind: pa.DataType, keep_ids: bool):
-    """Rows sorted by block and owner: a block's answers stand before its texts."""
+    """A block's texts from the numbers of their words, the words' ids, and the ids' pieces."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if keep_ids else 4]
     kinds = (kind, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, pieces = None, [], []
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for i, b, owner, cell, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                if b != block:
-                    block, ids, pieces = b, [], []
-                if owner is not None:
-                    ids += _unpack(cell.as_py())
-                    pieces += _unpack(piece.as_py())
-                    continue
-                places = _numbers(cell.as_py()).tolist()
-                coded = b"".join(map(ids.__getitem__, places))
-                decoded = b"".join(map(pieces.__getitem__, places)).decode("utf-8", "replace").encode()
-                for c, v in zip(out, (i, len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest(), np.frombuffer(coded, np.int32) if keep_ids else None)):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        piece: dict[int, bytes] = {}
+        for row in answers.column("pieces"):
+            piece.update((x["id"], x["piece"]) for x in row.as_py() or ())
+        coded, decoded = [], []
+        asked = answers.filter(answers.column("owner").is_valid())
+        for k in np.argsort(asked.column("owner").to_numpy()).tolist():
+            ids, start = _unpack_numbers(asked.column("ids")[k].as_py()), 0
+            raw, bits = ids.tobytes(), [piece[i] for i in ids.tolist()]
+            for end in np.cumsum(_unpack_numbers(asked.column("ends")[k].as_py())).tolist():
+                coded.append(raw[4 * start : 4 * end])
+                decoded.append(b"".join(bits[start:end]))
+                start = end
+        out: list[list] = [[], [], [], [], []]
+        for i, owner, cell in zip(texts.column("i").to_pylist(), texts.column("owner").to_pylist(), texts.column("cell")):
+            if owner is None:
+                places = _unpack_numbers(cell.as_py()).tolist()
+                ids = b"".join(map(coded.__getitem__, places))
+                text = b"".join(map(decoded.__getitem__, places)).decode("utf-8", "replace").encode()
+                for c, v in zip(out, (i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), np.frombuffer(ids, np.int32) if keep_ids else None)):
                     c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)][: len(names)], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)][: len(names)], names=names)
 
     return run
 
@@ -233,9 +243,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     the decoded text.
 
     Texts don't move. A block is what one task reads, up to about 16 MB of text; its distinct words, packed, and the
-    numbers in place of its words are written once and go through one exchange each. No key is hot: words are dealt by
-    their hash after a block has made them distinct, blocks by ranges of rows. The id-to-piece table has one row per
-    vocabulary entry and is broadcast.
+    numbers in place of its words go through one exchange, which both the encoding and the assembly read. No key is hot:
+    words are dealt by their hash after a block has made them distinct, and blocks, which are alike in size, by theirs,
+    over so many partitions that few meet. The id-to-piece table has one row per vocabulary entry and is broadcast; a
+    block joins it once for each id that it uses.
 
     Defined cases: null text is empty text (no tokens); repeated rows and null doc_ids each give a row; a text over a
     block's size is a block of its own; an empty table gives an empty result; other columns are ignored.
@@ -243,23 +254,15 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     spark, parts = docs.sparkSession, n_partitions(docs.sparkSession)
     given = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x"))
     kind = given.schema["i"].dataType
-    split = written(given.mapInArrow(_split(path, 4 * parts), f"i {kind.simpleString()}, block long, owner int, cell binary"), "split")
-
-    asked = split.where("owner IS NOT NULL").select("owner", "block", "cell").repartition(parts, "owner").sortWithinPartitions("owner", "block")
-    coded = written(asked.mapInArrow(_encode(path), "owner int, block long, cell binary, n int, ids array<int>"), "coded")
-    words = coded.where("n IS NOT NULL").select("owner", "n", "ids").repartition(parts, "owner")
-    each = words.select("owner", "n", F.posexplode("ids").alias("p", "id")).join(F.broadcast(piece_table(spark, path)), "id")
-    each = each.groupBy("owner", "n").agg(F.array_sort(F.collect_list(F.struct("p", "id", "piece"))).alias("a"))
-    pieces = F.aggregate("a", F.lit(b""), lambda have, x: F.concat(have, x["piece"]))
-    each = each.select("owner", "n", F.col("a.id").alias("ids"), pieces.alias("piece"))
-    uses = coded.where("n IS NULL").select(F.col("owner").alias("own"), "block", "cell")
-    answers = each.groupBy("owner").cogroup(uses.groupBy("own")).applyInArrow(_answer, "block long, owner int, cell binary, pieces binary")
-
-    texts = split.where("owner IS NULL").select("i", "block", "owner", "cell", F.lit(None).cast("binary").alias("pieces"))
-    rows = texts.union(answers.select(F.lit(None).cast(kind).alias("i"), "block", "owner", "cell", "pieces"))
-    rows = rows.repartitionByRange(parts, "block").sortWithinPartitions("block", F.col("owner").asc_nulls_last())
+    split = given.mapInArrow(_split(path, parts), f"i {kind.simpleString()}, block long, owner int, cell binary").repartition(4 * parts, "block")
+    asked = split.mapInArrow(_words, "owner int, block long, cell binary").repartition(parts, "owner").sortWithinPartitions("owner", "block")
+    coded = written(asked.mapInArrow(_encode(path), _ANSWER), "coded")
+    used = coded.select(F.col("block").alias("b"), F.explode("used").alias("id")).distinct().join(F.broadcast(piece_table(spark, path)), "id")
+    pieces = used.groupBy("b").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    answers = coded.select(F.col("block").alias("b"), F.col("owner").alias("owner"), "ends", "ids", F.lit(None).cast(pieces.schema["pieces"].dataType).alias("pieces"))
+    answers = answers.union(pieces.select("b", F.lit(None).cast("int"), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "pieces"))
     schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return rows.mapInArrow(_assemble(to_arrow_type(kind), keep_ids), schema)
+    return split.groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(_assemble(to_arrow_type(kind), keep_ids), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
