@@ -34,6 +34,7 @@ BATCH_BYTES = 8 << 20
 BLOCK_SETS = 512
 _ALL = 65535  # in place of a text's number in its batch: several texts of the batch have the shingle
 _PIECES = "bucket int, batch long, keys binary, docs binary, counts binary, meta binary"
+_NAMES = ["bucket", "batch", "keys", "docs", "counts", "meta"]
 _KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
@@ -54,10 +55,10 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]
 
 
 def _pieces(buckets: int, width: int, full: bool):
-    """Per batch, for each bucket of the hash space: its distinct set elements; and one row of the batch's own, bucket -1.
+    """Per batch, for each bucket of the hash space: its distinct set elements; and one row of the batch's own, with meta.
 
     full: elements are whole, with the number of the batch's texts that have them; the batch's own row has all of them,
-    in the order of the buckets, with the texts of each. Otherwise they are the hash's lower half, with the text's
+    in the order of the buckets, with the texts of each, as bucket -1. Otherwise they are the hash's lower half, with the text's
     number, or _ALL; the own row counts, per text, the elements that another text of the batch has too. Own rows have
     the texts' ids, set sizes and set hashes.
     """
@@ -89,8 +90,8 @@ def _pieces(buckets: int, width: int, full: bool):
                 each, what = keys[first].astype(np.uint32), np.where(times > 1, np.uint16(_ALL), docs[first]).astype(np.uint16)
                 own = np.bincount(docs[np.repeat(times > 1, times)], minlength=len(sets)).astype(np.uint32)
                 out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), what[cut[b] : cut[b + 1]].tobytes(), None, None) for b in some]
-                out.append((-1, batch, None, None, own.tobytes(), meta))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=["bucket", "batch", "keys", "docs", "counts", "meta"])
+                out.append((int(batch % buckets), batch, None, None, own.tobytes(), meta))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
 
     return run
 
@@ -100,7 +101,15 @@ def _frequencies(full: bool):
     which texts have how many elements that another batch has too."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), (batches, keys, docs, counts) in groups(rows, 1):
+        for (bucket,), columns in groups(rows, 1):
+            whole = list(zip(*columns))
+            out = [(-1, batch, None, None, count, meta) for batch, _, _, count, meta in whole if meta is not None]
+            asked = [row for row in whole if row[4] is None]
+            if out:  # a batch's own row only passes through
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
+            if not asked:
+                continue
+            batches, keys, docs, counts, _ = zip(*asked)
             each = [np.frombuffer(k, np.uint64 if full else np.uint32) for k in keys]
             every, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
             order = np.argsort(every, kind="stable")
@@ -120,7 +129,7 @@ def _frequencies(full: bool):
                     mine, common = text[a:b], df[a:b] > 1
                     doc, count = np.unique(mine[common & (mine != _ALL)], return_counts=True)
                     out.append((bucket, batch, None, doc.tobytes(), count.astype(np.uint32).tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=["bucket", "batch", "keys", "docs", "counts", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
 
     return run
 
@@ -330,20 +339,20 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("x"))
     named = base.where("i IS NOT NULL")
 
-    def answered(pieces: DataFrame, full: bool) -> DataFrame:
-        asked = pieces.where("bucket >= 0").select("bucket", "batch", "keys", "docs", "counts")
-        asked = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies(full), _PIECES)
-        rows = pieces.where("bucket < 0").union(asked).select("batch", "bucket", "keys", "docs", "counts", "meta")
-        return rows.repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
+    def answered(asked: DataFrame, full: bool) -> DataFrame:
+        return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies(full), _PIECES)
+
+    def by_batch(rows: DataFrame) -> DataFrame:
+        return rows.select("batch", "bucket", "keys", "docs", "counts", "meta").repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
 
-    pieces = written(named.mapInArrow(_pieces(4 * parts, width, False), _PIECES), "shingles")
-    info = written(answered(pieces, False).mapInArrow(_shared_counts, "i long, n long, a long, b long, shared long"), "sets")
+    counted = by_batch(answered(named.mapInArrow(_pieces(4 * parts, width, False), _PIECES), False))
+    info = written(counted.mapInArrow(_shared_counts, "i long, n long, a long, b long, shared long"), "sets")
     may = info.where(f"n > 0 AND 100 * shared >= {percent} * n")
-    classes = may.groupBy("n", "a", "b").agg(F.min("i").alias("rep"))
+    classes = written(may.groupBy("n", "a", "b").agg(F.min("i").alias("rep")), "classes")  # a table, so that a hot class can be split
     same = may.join(classes, ["n", "a", "b"]).where("i <> rep").select(F.col("rep").alias("x"), F.col("i").alias("y"))
     reps = named.join(classes.select(F.col("rep").alias("i")).distinct(), "i", "left_semi").dropDuplicates(["i", "x"])
     pieces = written(reps.mapInArrow(_pieces(4 * parts, width, True), _PIECES), "representatives")
-    ordered = answered(pieces, True).mapInArrow(_ordered_sets(percent), "i long, n long, keys binary, df binary, prefix array<long>, low long")
+    ordered = by_batch(pieces.where("bucket < 0").union(answered(pieces.where("bucket >= 0"), True))).mapInArrow(_ordered_sets(percent), "i long, n long, keys binary, df binary, prefix array<long>, low long")
     ordered = written(ordered, "ordered")
 
     posts = ordered.select("i", F.explode("prefix").alias("e"))
