@@ -95,8 +95,8 @@ def _unpack(cell: bytes) -> list[bytes]:
 
 
 def _split(path: str, owners: int):
-    """Per block of texts (whole rows, about BLOCK_BYTES): one row per owner of words, with the block's distinct ones,
-    and one row per text, with their numbers in place. A word's number counts the words of the owners before."""
+    """Per block of texts (whole rows, about BLOCK_BYTES): one row per owner of words, with the block's distinct ones and
+    their numbers (differences), and one row per text, with the numbers in place. A word's number is its rank by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, task, k = vocabulary(path), TaskContext.get().partitionId(), 0
@@ -107,20 +107,20 @@ def _split(path: str, owners: int):
 
         def rows() -> Iterator[pa.RecordBatch]:
             block = (task << 32) + k
-            owner = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % owners
             often = np.bincount(np.concatenate(texts), minlength=len(words))
-            order = np.lexsort((-often, owner))  # frequent words first, which packs better
-            number = np.empty(len(words), np.uint32)
-            number[order] = np.arange(len(words), dtype=np.uint32)
+            number = np.empty(len(words), np.uint32)  # by frequency, which packs best
+            number[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            owner = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % owners
+            order = np.lexsort((number, owner))
             plain, cut = [w.encode() for w in words], np.searchsorted(owner[order], np.arange(owners + 1))
             some = [o for o in range(owners) if cut[o + 1] > cut[o]]
-            cells = [_pack([plain[n] for n in order[cut[o] : cut[o + 1]].tolist()]) for o in some]
-            yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), cells)
+            own = [order[cut[o] : cut[o + 1]] for o in some]
+            yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), [_pack([plain[n] for n in x.tolist()]) for x in own], [_pack_numbers(np.diff(number[x], prepend=np.uint32(0))) for x in own])
             at = 0
-            for own in ids:
-                cells = [_pack_numbers(number[t]) for t in texts[at : at + len(own)]]
-                at += len(own)
-                yield _rows(own, block, pa.nulls(len(own), pa.int32()), cells)
+            for given in ids:
+                cells = [_pack_numbers(number[t]) for t in texts[at : at + len(given)]]
+                at += len(given)
+                yield _rows(given, block, pa.nulls(len(given), pa.int32()), cells, [None] * len(given))
 
         for batch in batches:
             kind, start = batch.schema.field(0).type, 0
@@ -149,8 +149,9 @@ class _Numbers(dict):
         return n
 
 
-def _rows(ids: pa.Array, block: int, owner: pa.Array, cells: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array([block] * len(cells), pa.int64()), owner, pa.array(cells, pa.binary())], names=["i", "block", "owner", "cell"])
+def _rows(ids: pa.Array, block: int, owner: pa.Array, cells: list[bytes], numbers: list[bytes | None]) -> pa.RecordBatch:
+    columns = [ids, pa.array([block] * len(cells), pa.int64()), owner, pa.array(cells, pa.binary()), pa.array(numbers, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["i", "block", "owner", "cell", "numbers"])
 
 
 def _pack_numbers(x: np.ndarray) -> bytes:
@@ -175,6 +176,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ANSWER = "block long, owner int, ends binary, ids binary, used array<int>"
 
 
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, id): the ids that a block uses, from the rows of _encode; a task of its own for the same reason."""
+    for batch in batches:
+        for block, ids in zip(batch.column(0).to_pylist(), batch.column(4)):
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids.values), pa.int64()), ids.values.cast(pa.int32())], names=["b", "id"])
+
+
 def _encode(path: str):
     """Per owner and block: the ids of the words that the block asked for, in its order, and the distinct ones of these."""
 
@@ -208,14 +216,17 @@ def _assemble(kind: pa.DataType, keep_ids: bool):
         piece: dict[int, bytes] = {}
         for row in answers.column("pieces"):
             piece.update((x["id"], x["piece"]) for x in row.as_py() or ())
-        coded, decoded = [], []
+        mine = texts.filter(texts.column("owner").is_valid())
+        numbers = {o: np.cumsum(_unpack_numbers(x.as_py()), dtype=np.int64).tolist() for o, x in zip(mine.column("owner").to_pylist(), mine.column("numbers"))}
+        coded: list[bytes] = [b""] * sum(map(len, numbers.values()))
+        decoded = coded.copy()
         asked = answers.filter(answers.column("owner").is_valid())
-        for k in np.argsort(asked.column("owner").to_numpy()).tolist():
-            ids, start = _unpack_numbers(asked.column("ids")[k].as_py()), 0
+        for owner, lengths, packed in zip(asked.column("owner").to_pylist(), asked.column("ends"), asked.column("ids")):
+            ids, start = _unpack_numbers(packed.as_py()), 0
             raw, bits = ids.tobytes(), [piece[i] for i in ids.tolist()]
-            for end in np.cumsum(_unpack_numbers(asked.column("ends")[k].as_py())).tolist():
-                coded.append(raw[4 * start : 4 * end])
-                decoded.append(b"".join(bits[start:end]))
+            for n, end in zip(numbers[owner], np.cumsum(_unpack_numbers(lengths.as_py())).tolist()):
+                coded[n] = raw[4 * start : 4 * end]
+                decoded[n] = b"".join(bits[start:end])
                 start = end
         out: list[list] = [[], [], [], [], []]
         for i, owner, cell in zip(texts.column("i").to_pylist(), texts.column("owner").to_pylist(), texts.column("cell")):
@@ -254,13 +265,14 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     spark, parts = docs.sparkSession, n_partitions(docs.sparkSession)
     given = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x"))
     kind = given.schema["i"].dataType
-    split = given.mapInArrow(_split(path, parts), f"i {kind.simpleString()}, block long, owner int, cell binary").repartition(4 * parts, "block")
+    split = given.mapInArrow(_split(path, parts), f"i {kind.simpleString()}, block long, owner int, cell binary, numbers binary").repartition(4 * parts, "block")
     asked = split.mapInArrow(_words, "owner int, block long, cell binary").repartition(parts, "owner").sortWithinPartitions("owner", "block")
-    coded = written(asked.mapInArrow(_encode(path), _ANSWER), "coded")
-    used = coded.select(F.col("block").alias("b"), F.explode("used").alias("id")).distinct().join(F.broadcast(piece_table(spark, path)), "id")
+    coded = asked.mapInArrow(_encode(path), _ANSWER).repartition(4 * parts, "block")
+    used = coded.mapInArrow(_used, "b long, id int").distinct().join(F.broadcast(piece_table(spark, path)), "id")
     pieces = used.groupBy("b").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
-    answers = coded.select(F.col("block").alias("b"), F.col("owner").alias("owner"), "ends", "ids", F.lit(None).cast(pieces.schema["pieces"].dataType).alias("pieces"))
-    answers = answers.union(pieces.select("b", F.lit(None).cast("int"), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "pieces"))
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = coded.select(F.col("block").alias("b"), "owner", "ends", "ids", "used", none(pieces.schema["pieces"].dataType).alias("pieces"))
+    answers = answers.union(pieces.select("b", none("int"), none("binary"), none("binary"), none("array<int>"), "pieces"))
     schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return split.groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(_assemble(to_arrow_type(kind), keep_ids), schema)
 
