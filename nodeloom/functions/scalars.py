@@ -21,8 +21,12 @@ def pairing(a: Column, b: Column, unordered: bool = False) -> Column:
 
 
 def unpairing(z: Column) -> tuple[Column, Column]:
-    w = F.floor((F.sqrt(8 * z.cast("double") + 1) - 1) / 2)
-    b = z - F.floor(w * (w + 1) / 2)
+    """The pair of a pairing number up to 2**62. The root is taken in doubles and then set right in whole numbers."""
+    z = z.cast("long")
+    w = F.floor((F.sqrt(8 * z.cast("double") + 1) - 1) / 2).cast("long")
+    least = lambda k: F.shiftright(k * (k + 1), 1)  # noqa: E731  the first number of diagonal k
+    w = w + F.when(least(w) > z, F.when(least(w - 1) > z, -2).otherwise(-1)).when(least(w + 1) <= z, F.when(least(w + 2) <= z, 2).otherwise(1)).otherwise(0)
+    b = z - least(w)
     return w - b, b
 
 
@@ -78,3 +82,42 @@ def power_law_least(mean: float, most: float, exponent: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if power_law_mean(mid, most, exponent) < mean else (low, mid)
     return (low + high) / 2
+
+
+def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
+    """P(at most k of n)."""
+    return F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda acc, j: acc + binomial_pmf(j, n, p))
+
+
+def binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    """P(k or more of n)."""
+    return F.aggregate(F.sequence(k.cast("int"), n.cast("int")), F.lit(0.0), lambda acc, j: acc + binomial_pmf(j, n, p))
+
+
+def integer_average(least: Column, most: Column, exponent: float) -> Column:
+    """Mean of the law h ** -exponent on the integers least..most."""
+    h = F.sequence(least.cast("int"), most.cast("int"))
+    total = lambda power: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.pow(x.cast("double"), F.lit(power)))
+    return total(1 - exponent) / total(-exponent)
+
+
+def largest_degree(n: Column, whole_up: bool = False) -> Column:
+    """The default bound of degrees (rounded down) or community sizes (rounded up) of a benchmark graph: sqrt(10 n)."""
+    root = F.sqrt(10.0 * n)
+    return (F.ceil(root) if whole_up else F.floor(root)).cast("long")
+
+
+def parsed_number(text: Column) -> Column:
+    """A plain decimal ([-]digits[.digits], no exponent) as a double; null for other text."""
+    return F.when(text.rlike(r"^-?\d*\.?\d*$") & text.rlike(r"\d"), text.try_cast("double"))
+
+
+def half_down(x: Column) -> Column:
+    """The nearest whole number; halves go towards zero, and negative numbers are cut."""
+    whole = x.cast("long")
+    return whole + F.when(x - whole > 0.5, 1).otherwise(0)
+
+
+def pieces(text: Column, separators: str) -> Column:
+    """text split at any of the characters, without empty pieces."""
+    return F.filter(F.split(text, "[" + "".join("\\" + c for c in separators) + "]"), lambda x: x != "")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.scalars import uniform
-from nodeloom.operators.structure import block_matrix, cut_lineage, degrees
+from nodeloom.operators.structure import block_matrix, cut_lineage, degrees, ranked
 
 
 def affinity_prior(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -21,59 +22,86 @@ def affinity_prior(edges: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(b, ["block_a", "block_b"], "left").select("block_a", "block_b", F.greatest(F.col("all") * F.coalesce("weight", F.lit(0.0)) / (F.col("na") * F.col("nb")), F.lit(1.0)).alias("cab"))
 
 
-def _psi(names: Column | None, q: int, cells) -> Column:
-    return F.array(*[cells(t) for t in range(q)])
-
-
 def _normal(a: Column, q: int) -> Column:
     """exp(a - max a), over its sum."""
     e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
-def initial_messages(edges: DataFrame, q: int) -> DataFrame:
-    """(src, dst, psi): normalised hash uniforms per directed edge and group."""
-    raw = F.array(*[uniform("msg", F.col("src"), F.col("dst"), F.lit(t)) + 1e-3 for t in range(q)])
-    x = edges.select("src", "dst").distinct().withColumn("raw", raw)
-    return x.select("src", "dst", F.transform("raw", lambda v: v / F.aggregate("raw", F.lit(0.0), lambda s, y: s + y)).alias("psi"))
+def degree_factors(edges: DataFrame, dc: int) -> DataFrame:
+    """edges(src, dst) once each, for degree-corrected models with the factors ds and dd of their ends: degree over the
+    largest degree (dc 1), or degree (dc 2)."""
+    once = edges.select("src", "dst").distinct()
+    if not dc:
+        return once
+    d = degrees(once).select("node_id", F.col("degree").cast("double").alias("d"))
+    if dc == 1:
+        d = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("top")))).select("node_id", (F.col("d") / F.col("top")).alias("d"))
+    d = cut_lineage(d)
+    return once.join(d.select(F.col("node_id").alias("src"), F.col("d").alias("ds")), "src").join(d.select(F.col("node_id").alias("dst"), F.col("d").alias("dd")), "dst")
+
+
+def initial_messages(edges: DataFrame, q: int, start: str = "random", members: DataFrame | None = None, strength: float = 1.0, dc: int = 0, seed: str = "msg") -> DataFrame:
+    """(src, dst, psi) per directed edge, and ds, dd if dc: normalised hash uniforms (random), or those times 1 - strength,
+    plus strength in the sender's group (planted; members(node_id, membership))."""
+    raw = F.array(*[uniform(seed, F.col("src"), F.col("dst"), F.lit(t)) + 1e-3 for t in range(q)])
+    x = degree_factors(edges, dc).withColumn("raw", raw)
+    if start == "planted":
+        x = x.join(members.select(F.col("node_id").alias("src"), "membership"), "src")
+        x = x.withColumn("raw", F.array(*[F.col("raw")[t] * (1 - strength) + F.when(F.col("membership") == t, strength).otherwise(0.0) for t in range(q)])).drop("membership")
+    elif start != "random":
+        raise ValueError("messages start random or planted")
+    return x.withColumn("psi", F.transform("raw", lambda v: v / F.aggregate("raw", F.lit(0.0), lambda t, y: t + y))).drop("raw")
 
 
-def node_marginals(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float]) -> DataFrame:
-    """(node_id, logs, psi): log of eta_q e^{-h_q / N} prod_l sum_t c_tq psi_{l->i}(t), and its normal form.
+def _pull(cab: np.ndarray, n: int, dc: int, a: int, b: int) -> Column:
+    """What an edge between groups a and b weighs: the affinity, times the degree factors, or as a chance of x / (1 + x)."""
+    if dc == 0:
+        return F.lit(float(cab[a][b]))
+    x = F.col("ds") * F.col("dd") * float(cab[a][b])
+    return x if dc == 1 else (x / n) / (1 + x / n)
+
+
+def node_marginals(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], dc: int = 0) -> DataFrame:
+    """(node_id, logs, psi[, d]): log of eta_q e^{-d_i h_q / N} prod_l sum_t c_tq psi_{l->i}(t), and its normal form.
 
     Always in logs, so hubs need no case of their own; one map-side combined aggregate over the edges.
     """
     q = len(eta)
-    b = [F.ln(F.greatest(sum(float(cab[t][s]) * F.col("psi")[t] for t in range(q)), F.lit(1e-50))) for s in range(q)]
-    sums = messages.groupBy(F.col("dst").alias("node_id")).agg(*[F.sum(b[s]).alias(f"l{s}") for s in range(q)])
-    logs = F.array(*[F.col(f"l{s}") + F.lit(float(np.log(max(eta[s], 1e-50))) - field[s] / n) for s in range(q)])
-    x = sums.select("node_id", logs.alias("logs"))
+    b = [F.ln(F.greatest(sum(_pull(cab, n, dc, t, s) * F.col("psi")[t] for t in range(q)), F.lit(1e-50))) for s in range(q)]
+    sums = messages.groupBy(F.col("dst").alias("node_id")).agg(*[F.sum(b[s]).alias(f"l{s}") for s in range(q)], *([F.first("dd").alias("d")] if dc else []))
+    factor = F.col("d") if dc else F.lit(1.0)
+    logs = F.array(*[F.col(f"l{s}") + float(np.log(max(eta[s], 1e-50))) - factor * (field[s] / n) for s in range(q)])
+    x = sums.select("node_id", logs.alias("logs"), *(["d"] if dc else []))
     return x.withColumn("psi", _normal(F.col("logs"), q))
 
 
 def settled_field(logs: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], rounds: int = 30) -> list[float]:
-    """The field h_s = sum_i sum_t c_ts psi_i(t) of the marginals that it makes itself; logs: (node_id, logs) without field.
+    """The field h_s = sum_i d_i sum_t c_ts psi_i(t) of the marginals that it makes itself; logs: (node_id, logs) without
+    field, with degree factors d or none.
 
     A field one sweep behind its marginals lets all nodes drift into one group, so it is solved for: Newton steps on
     q numbers, halved while they overshoot; a step is one aggregate over the nodes. Nodes without edges have the prior.
     """
-    q, c = len(eta), np.asarray(cab, float)
-    logs = cut_lineage(logs.select("node_id", "logs"))
-    alone = n - logs.count()
-
-    def moments(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = logs.select(_normal(F.array(*[F.col("logs")[s] - float(h[s]) / n for s in range(q)]), q).alias("psi"))
-        once = [F.sum(F.col("psi")[s]).alias(f"m{s}") for s in range(q)]
-        twice = [F.sum(F.col("psi")[s] * F.col("psi")[t]).alias(f"m{s}_{t}") for s in range(q) for t in range(q)]
-        row = np.array([v or 0.0 for v in x.agg(*once, *twice).first()])
+    q, c, corrected = len(eta), np.asarray(cab, float), "d" in logs.columns
+    logs = cut_lineage(logs.select("node_id", "logs", *(["d"] if corrected else [])))
+    alone = 0 if corrected else n - logs.count()
+    d = F.col("d") if corrected else F.lit(1.0)
+
+    def moments(h: np.ndarray) -> tuple[np.ndarray, ...]:
+        x = logs.select(_normal(F.array(*[F.col("logs")[s] - d * (float(h[s]) / n) for s in range(q)]), q).alias("psi"), d.alias("d"))
+        once = [F.sum(F.col("d") * F.col("psi")[s]).alias(f"m{s}") for s in range(q)]
+        more = [F.sum(F.col("d") * F.col("d") * F.col("psi")[s]).alias(f"v{s}") for s in range(q)]
+        twice = [F.sum(F.col("d") * F.col("d") * F.col("psi")[s] * F.col("psi")[t]).alias(f"m{s}_{t}") for s in range(q) for t in range(q)]
+        row = np.array([v or 0.0 for v in x.agg(*once, *more, *twice).first()])
         own = np.log(np.maximum(eta, 1e-50)) - h / n
         own = np.exp(own - own.max())
         own /= own.sum()
-        return row[:q] + alone * own, row[q:].reshape(q, q) + alone * np.outer(own, own)
+        return row[:q] + alone * own, row[q : 2 * q] + alone * own, row[2 * q :].reshape(q, q) + alone * np.outer(own, own)
 
     h, step, best = np.array(field, float), np.zeros(q), None
     for _ in range(rounds):
-        first, second = moments(h)
+        first, spread, second = moments(h)
         gap = first @ c - h
         size = np.abs(gap).max()
         if size <= 1e-7 * n:
@@ -82,84 +110,220 @@ def settled_field(logs: DataFrame, eta: list[float], cab: np.ndarray, n: int, fi
             step = step / 2
         else:
             best = (size, h)
-            slope = c.T @ (second - np.diag(first)) / n - np.eye(q)
+            slope = c.T @ (second - np.diag(spread)) / n - np.eye(q)
             step = np.linalg.lstsq(slope, -gap, rcond=None)[0]
         h = best[1] + step
     return best[1].tolist()
 
 
-def field_free(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int) -> DataFrame:
+def field_free(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, dc: int = 0) -> DataFrame:
     """node_marginals' logs with no field."""
-    return node_marginals(messages, eta, cab, n, [0.0] * len(eta)).select("node_id", "logs")
+    return node_marginals(messages, eta, cab, n, [0.0] * len(eta), dc).drop("psi")
 
 
-def bp_sweep(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], damping: float = 0.5) -> DataFrame:
+def _paired(messages: DataFrame) -> DataFrame:
+    """Each message with the one that comes back."""
+    return messages.join(messages.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("psi").alias("back")), ["src", "dst"])
+
+
+def bp_sweep(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], damping: float = 0.5, dc: int = 0) -> DataFrame:
     """One synchronous sweep: psi_{i->j} is i's marginal without what j sent, damped with the message before."""
     q = len(eta)
-    at = node_marginals(messages, eta, cab, n, field).select(F.col("node_id").alias("src"), "logs")
-    back = messages.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("psi").alias("back"))
-    x = messages.join(back, ["src", "dst"]).join(at, "src")
-    without = F.array(*[F.col("logs")[s] - F.ln(F.greatest(sum(float(cab[t][s]) * F.col("back")[t] for t in range(q)), F.lit(1e-50))) for s in range(q)])
+    at = node_marginals(messages, eta, cab, n, field, dc).select(F.col("node_id").alias("src"), "logs")
+    x = _paired(messages).join(at, "src")
+    without = F.array(*[F.col("logs")[s] - F.ln(F.greatest(sum(_pull(cab, n, dc, t, s) * F.col("back")[t] for t in range(q)), F.lit(1e-50))) for s in range(q)])
     new = _normal(F.col("cavity"), q)
-    return x.withColumn("cavity", without).select("src", "dst", F.zip_with(new, "psi", lambda a, b: damping * a + (1 - damping) * b).alias("psi"))
+    more = ["ds", "dd"] if dc else []
+    return x.withColumn("cavity", without).select("src", "dst", F.zip_with(new, "psi", lambda a, b: damping * a + (1 - damping) * b).alias("psi"), *more)
+
 
+def expected_sizes(marginals: DataFrame, q: int) -> tuple[list[float], list[float]]:
+    """Expected group sizes, and the same weighted by the degree factors d where there are some."""
+    d = F.col("d") if "d" in marginals.columns else F.lit(1.0)
+    row = marginals.agg(*[F.sum(F.col("psi")[t]) for t in range(q)], *[F.sum(d * F.col("psi")[t]) for t in range(q)]).first()
+    return [float(v or 0.0) for v in row[:q]], [float(v or 0.0) for v in row[q:]]
 
-def free_energy(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float]) -> float:
+
+def free_energy(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, field: list[float], dc: int = 0) -> float:
     """Bethe free energy per node of a fixed point."""
     q = len(eta)
-    marg = node_marginals(messages, eta, cab, n, field)
+    marg = node_marginals(messages, eta, cab, n, field, dc)
     top = F.array_max("logs")
-    site = marg.agg(F.sum(top + F.ln(F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda s, y: s + y)))).first()[0] / n
-    back = messages.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("psi").alias("back"))
-    pair = sum(float(cab[a][b]) * F.col("psi")[a] * F.col("back")[b] for a in range(q) for b in range(q))
-    link = messages.join(back, ["src", "dst"]).agg(F.sum(F.ln(F.greatest(pair, F.lit(1e-50))))).first()[0] / (2 * n)
-    row = marg.agg(*[F.sum(F.col("psi")[t]).alias(f"s{t}") for t in range(q)]).first()
-    last = sum(cab[a][b] * row[a] * row[b] for a in range(q) for b in range(q)) / (2.0 * n * n)
+    site = (marg.agg(F.sum(top + F.ln(F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda s, y: s + y)))).first()[0] or 0.0) / n
+    pair = sum(_pull(cab, n, dc, a, b) * F.col("psi")[a] * F.col("back")[b] for a in range(q) for b in range(q))
+    link = (_paired(messages).agg(F.sum(F.ln(F.greatest(pair, F.lit(1e-50))))).first()[0] or 0.0) / (2 * n)
+    size = expected_sizes(marg, q)[1]
+    last = sum(cab[a][b] * size[a] * size[b] for a in range(q) for b in range(q)) / (2.0 * n * n)
     return float(-(site - link + last))
 
 
-def expected_affinity(messages: DataFrame, marginals: DataFrame, cab: np.ndarray, n: int) -> tuple[list[float], np.ndarray]:
+def log_likelihood(energy: float, n: int, n_edges: int, dc: int = 0) -> float:
+    """Of the graph, from the free energy per node; n_edges are undirected."""
+    return -energy * n - (0.0 if dc == 2 else n_edges * math.log(n))
+
+
+def expected_affinity(messages: DataFrame, marginals: DataFrame, cab: np.ndarray, n: int, dc: int = 0) -> tuple[list[float], np.ndarray]:
     """(eta, cab) of the maximisation step, from edge and node marginals."""
     q = len(cab)
-    back = messages.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("psi").alias("back"))
-    z = sum(float(cab[a][b]) * F.col("psi")[a] * F.col("back")[b] for a in range(q) for b in range(q))
-    x = messages.join(back, ["src", "dst"]).withColumn("z", F.greatest(z, F.lit(1e-50)))
-    cells = x.agg(*[F.sum(float(cab[a][b]) * F.col("psi")[a] * F.col("back")[b] / F.col("z")).alias(f"c{a}_{b}") for a in range(q) for b in range(q)]).first()
-    row = marginals.agg(*[F.sum(F.col("psi")[t]).alias(f"s{t}") for t in range(q)]).first()
-    size = [max(float(row[t] or 0.0), 1e-9) for t in range(q)]
+    z = sum(_pull(cab, n, dc, a, b) * F.col("psi")[a] * F.col("back")[b] for a in range(q) for b in range(q))
+    x = _paired(messages).withColumn("z", F.greatest(z, F.lit(1e-50)))
+    cells = x.agg(*[F.sum(_pull(cab, n, dc, a, b) * F.col("psi")[a] * F.col("back")[b] / F.col("z")).alias(f"c{a}_{b}") for a in range(q) for b in range(q)]).first()
+    plain, size = ([max(v, 1e-9) for v in x] for x in expected_sizes(marginals, q))
     links = np.array(cells, float).reshape(q, q)
     new = np.array([[n * (links[a][b] + links[b][a]) / 2 / (size[a] * size[b]) for b in range(q)] for a in range(q)])
-    return [s / n for s in size], new
+    return [v / n for v in plain], new
 
 
-def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, em_steps: int = 5, sweeps: int = 10, damping: float = 0.5, crit: float = 1e-3) -> tuple[DataFrame, float]:
+def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, em_steps: int = 5, sweeps: int = 10, damping: float = 0.5, crit: float = 1e-3, learn_crit: float = 5e-8, learning_rate: float = 1.0, dc: int = 0, start: str = "random", members: DataFrame | None = None, strength: float = 1.0, restart: bool = False, learn_eta: bool = True, seed: str = "msg") -> tuple[DataFrame, float]:
     """((node_id, psi, group_id), free energy): sweeps until the largest change is under crit, inside EM steps.
 
-    Messages are rows, cut from their lineage after each sweep; q and q*q numbers alone are on the driver.
+    EM ends when the free energy moves by less than learn_crit, or is no number; where it moves by less than crit, crit
+    is cut to a tenth. With restart, messages then start anew with the learned parameters and converge once more.
+    em_steps 1 is inference with given parameters. Messages are rows, cut from their lineage after each sweep; q and
+    q*q numbers alone are on the driver.
     """
     n = max(nodes.count(), 1)
-    messages = cut_lineage(initial_messages(edges, q))
+    eta, cab = list(eta), np.asarray(cab, float)
+    first = lambda: cut_lineage(initial_messages(edges, q, start, members, strength, dc, seed))
+    messages = first()
     field = [float(sum(cab[t][s] * eta[t] for t in range(q)) * n) for s in range(q)]
-    field = settled_field(field_free(messages, eta, cab, n), eta, cab, n, field)
-    energy = None
-    for step in range(em_steps):
+    settled = lambda m, h: settled_field(field_free(m, eta, cab, n, dc), eta, cab, n, h)
+
+    def converged(messages: DataFrame, field: list[float], crit: float) -> tuple[DataFrame, list[float]]:
+        field = settled(messages, field)
         for _ in range(sweeps):
-            new = cut_lineage(bp_sweep(messages, eta, cab, n, field, damping))
+            new = cut_lineage(bp_sweep(messages, eta, cab, n, field, damping, dc))
             old = messages.select("src", "dst", F.col("psi").alias("old"))
             change = new.join(old, ["src", "dst"]).agg(F.max(F.array_max(F.zip_with("psi", "old", lambda a, b: F.abs(a - b))))).first()[0]
-            messages = new
-            field = settled_field(field_free(messages, eta, cab, n), eta, cab, n, field)
+            messages, field = new, settled(new, field)
             if change is None or change < crit:
                 break
-        marg = node_marginals(messages, eta, cab, n, field)
-        now = free_energy(messages, eta, cab, n, field)
-        settled = energy is not None and abs(now - energy) < 5e-8
-        energy = now
-        if settled or step == em_steps - 1:
+        return messages, field
+
+    energy = None
+    for step in range(em_steps):
+        messages, field = converged(messages, field, crit)
+        before, energy = energy, free_energy(messages, eta, cab, n, field, dc)
+        moved = math.inf if before is None else abs(energy - before)
+        if not math.isfinite(energy) or moved < learn_crit or step == em_steps - 1:
             break
-        eta, cab = expected_affinity(messages, marg, cab, n)
-        field = settled_field(field_free(messages, eta, cab, n), eta, cab, n, field)
-    return argmax_groups(nodes.join(node_marginals(messages, eta, cab, n, field), "node_id", "left"), eta), energy
+        crit = crit * 0.1 if moved < crit else crit
+        new_eta, new = expected_affinity(messages, node_marginals(messages, eta, cab, n, field, dc), cab, n, dc)
+        eta = [learning_rate * a + (1 - learning_rate) * b for a, b in zip(new_eta, eta)] if learn_eta else eta
+        cab = learning_rate * new + (1 - learning_rate) * cab
+    if restart and math.isfinite(energy):
+        messages, field = converged(first(), field, crit)
+        energy = free_energy(messages, eta, cab, n, field, dc)
+    return argmax_groups(nodes.join(node_marginals(messages, eta, cab, n, field, dc).select("node_id", "psi"), "node_id", "left"), eta), energy
+
+
+def lowest_energy(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, runs: int = 5, **options) -> tuple[DataFrame, float]:
+    """bp_learn of `runs` random starts: the result of the lowest free energy; all in group 0 if none is a number."""
+    best = None
+    for r in range(runs):
+        groups, energy = bp_learn(edges, nodes, q, eta, cab, seed=f"msg{r}", **options)
+        if math.isfinite(energy) and (best is None or energy < best[1]):
+            best = groups, energy
+    if best is None:
+        best = nodes.select("node_id", F.array(*[F.lit(float(e)) for e in eta]).alias("psi"), F.lit(0).cast("long").alias("group_id")), math.inf
+    return best
+
+
+def detect(edges: DataFrame, members: DataFrame, runs: int = 1, **options) -> tuple[DataFrame, float]:
+    """Belief propagation as a detector: as many groups as the truth has, its sizes and affinities as the prior; the
+    truth never starts messages."""
+    sizes = members.groupBy("membership").count().orderBy("membership").collect()
+    names, n = [r["membership"] for r in sizes], sum(r["count"] for r in sizes)
+    cab = np.ones((len(names), len(names)))
+    for r in affinity_prior(edges, members).collect():
+        cab[names.index(r["block_a"])][names.index(r["block_b"])] = r["cab"]
+    return lowest_energy(edges, members.select("node_id"), len(names), [r["count"] / n for r in sizes], cab, runs, **options)
+
+
+def hard_parameters(edges: DataFrame, members: DataFrame, dc: int = 0) -> DataFrame:
+    """(block_a, block_b, cab) of a hard partition: n * links / (size_a * size_b), where sizes count nodes, or degree
+    factors (dc 1: over the largest degree, dc 2: degrees). Pairs of blocks with links."""
+    d = degrees(edges, members).select("node_id", F.col("degree").cast("double").alias("d"))
+    d = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("top"))))
+    weight = {0: F.lit(1.0), 1: F.col("d") / F.col("top"), 2: F.col("d")}[dc]
+    sizes = members.join(d, "node_id").groupBy("membership").agg(F.sum(weight).alias("size"))
+    total = members.agg(F.count(F.lit(1)).alias("n"))
+    x = block_matrix(edges.select("src", "dst"), members).join(sizes.select(F.col("membership").alias("block_a"), F.col("size").alias("a")), "block_a")
+    x = x.join(sizes.select(F.col("membership").alias("block_b"), F.col("size").alias("b")), "block_b").crossJoin(F.broadcast(total))
+    return x.select("block_a", "block_b", (F.col("n") * F.col("weight") / (F.col("a") * F.col("b"))).alias("cab"))
+
+
+def argmax_energy(edges: DataFrame, groups: DataFrame, eta: list[float], cab: np.ndarray, dc: int = 0) -> float:
+    """Energy per node of a hard configuration groups(node_id, group_id): -1/N of its log prior, edges and non-edges."""
+    q, c = len(eta), np.asarray(cab, float)
+    n = groups.count()
+    at = groups.select("node_id", F.col("group_id").cast("int").alias("g"))
+    x = degree_factors(edges, dc).join(at.select(F.col("node_id").alias("src"), F.col("g").alias("ga")), "src").join(at.select(F.col("node_id").alias("dst"), F.col("g").alias("gb")), "dst")
+    affinity = F.element_at(F.array(*[F.lit(float(v)) for v in c.ravel()]), F.col("ga") * q + F.col("gb") + 1)
+    pull = affinity if dc == 0 else F.col("ds") * F.col("dd") * affinity
+    pull = (pull / n) / (1 + pull / n) if dc == 2 else pull
+    row = x.agg(F.sum(F.ln(F.greatest(pull, F.lit(1e-50)))), F.count(F.lit(1))).first()
+    if dc:
+        d = x.select(F.col("src").alias("node_id"), "ds").distinct()
+        weights = at.join(d, "node_id", "left").groupBy("g").agg(F.sum(F.coalesce("ds", F.lit(0.0))).alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    else:
+        weights = at.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    w, k = np.zeros(q), np.zeros(q)
+    for r in weights:
+        w[r["g"]], k[r["g"]] = r["w"], r["n"]
+    chance = c / n
+    none = -(chance * w[:, None]).sum(0) if dc else (w[:, None] * np.log(np.maximum(1 - chance, 1e-50))).sum(0)
+    total = (k * np.log(np.maximum(eta, 1e-50))).sum() + 0.5 * (row[0] or 0.0) + 0.5 * (w * none).sum()
+    total += row[1] / 2 * math.log(n) if dc == 2 else 0.0
+    return float(-total / n)
+
+
+def truth_overlap(groups: DataFrame, members: DataFrame, q: int, soft: bool = False) -> float:
+    """Share of nodes that are in their true group, or their marginal there (soft), at the best naming of q groups; with
+    more than eight groups, as they are named. q * q sums are on the driver."""
+    both = groups.join(members, "node_id")
+    if soft:
+        cells = both.groupBy("membership").agg(*[F.sum(F.col("psi")[t]).alias(f"c{t}") for t in range(q)])
+    else:
+        cells = both.groupBy("membership").agg(*[F.sum((F.col("group_id") == t).cast("double")).alias(f"c{t}") for t in range(q)])
+    table = np.zeros((q, q))
+    for r in cells.collect():
+        table[r["membership"]] = [r[f"c{t}"] or 0.0 for t in range(q)]
+    names = itertools.permutations(range(q)) if q <= 8 else [tuple(range(q))]
+    return float(max(sum(table[t][g] for t, g in enumerate(p)) for p in names) / max(1, both.count()))
+
+
+def marginal_overlaps(groups: DataFrame) -> DataFrame:
+    """ea: the Edwards-Anderson overlap, mean of sum_q psi_q^2; marginal: mean of the largest psi."""
+    return groups.agg(F.avg(F.aggregate("psi", F.lit(0.0), lambda s, x: s + x * x)).alias("ea"), F.avg(F.array_max("psi")).alias("marginal"))
+
+
+def spectral_partition(edges: DataFrame, k: int, mode: str = "normalized") -> DataFrame:
+    """(node_id, group_id): k-means on k eigenvectors of the Laplacian ("laplacian"), its random-walk or symmetric form
+    ("random-walk", "normalized") with the smallest eigenvalues, or of the walk matrix with the largest ("walk"); or the
+    signs of the second eigenvector of the adjacency ("adjacency-sign") or walk matrix ("walk-sign"), or of the leading
+    vector of the modularity matrix ("modularity-sign")."""
+    from nodeloom.operators import clustering, spectral
+
+    if mode == "modularity-sign":
+        d = cut_lineage(degrees(edges).select("node_id", F.col("strength").alias("value")))
+        v = spectral.eigenpairs(edges, 1, "LR", rank_one=(d, -1.0 / d.agg(F.sum("value")).first()[0]), shift=float(d.agg(F.max("value")).first()[0]))[1]
+        return v.select("node_id", (F.col("emb")[0] > 0).cast("long").alias("group_id"))
+    d = degrees(edges).select("node_id", "strength")
+    if mode in ("adjacency-sign", "laplacian"):
+        top = float(d.agg(F.max("strength")).first()[0])
+        matrix = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+        if mode == "laplacian":
+            matrix = matrix.union(d.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), (-F.col("strength")).alias("weight")))
+        v = spectral.eigenpairs(matrix, 2 if mode == "adjacency-sign" else k, "LR", shift=2 * top)[1]
+    else:
+        which = ("LM", 0.0) if mode == "walk" else ("LR", 1.0)
+        v = spectral.eigenpairs(spectral.symmetric_normal(edges), 2 if mode == "walk-sign" else k, which[0], shift=which[1])[1]
+        if mode in ("random-walk", "walk", "walk-sign"):
+            v = v.join(d, "node_id").select("node_id", F.transform("emb", lambda x: x / F.sqrt("strength")).alias("emb"))
+    if mode.endswith("-sign"):
+        return v.select("node_id", (F.col("emb")[1] > 0).cast("long").alias("group_id"))
+    return clustering.kmeans(v, k).select("node_id", F.col("group_id").cast("long").alias("group_id"))
 
 
 def mean_field(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, sweeps: int = 20, damping: float = 0.5, crit: float = 1e-3) -> tuple[DataFrame, float]:
@@ -271,7 +435,71 @@ def _binomial_cdf(m: int, p: float) -> list[float]:
     return out
 
 
+def affinities(q: int, n: int, eps: float, c: float, mode: str = "assortative", dc: int = 0) -> tuple[list[float], np.ndarray]:
+    """(pa, cab) of mean degree c, where eps is the affinity outside over that inside: q equal groups (assortative), a
+    core and a periphery, or these with one degree for all (equal-degree)."""
+    if c <= 0:
+        raise ValueError("the mean degree is positive")
+    if mode == "assortative":
+        inside = 0.0 if not 0 <= eps <= 99 else c / ((q - 1) * eps / q + (n / q - 1) / n)
+        outside = c * q / (q - 1) if not 0 <= eps <= 99 else eps * inside
+        cab = np.full((q, q), outside)
+        np.fill_diagonal(cab, inside)
+        return [1.0 / q] * q, cab / (c * c if dc == 2 else 1.0)
+    if q != 2:
+        raise ValueError("a core and a periphery are two groups")
+    if mode == "core-periphery":
+        top = 4.0 * c / (3.0 + eps)
+        return [0.5, 0.5], np.array([[top, top], [top, eps * top]])
+    if mode == "equal-degree":
+        top = 9.0 * c / (8.0 - eps)
+        return [2 / 3, 1 / 3], np.array([[top, (1 - 0.5 * eps) * top], [(1 - 0.5 * eps) * top, eps * top]])
+    raise ValueError(f"no generator mode {mode}")
+
+
+def exact_partition(spark: SparkSession, n: int, pa: list[float], cab: np.ndarray, seed: str = "sbm") -> tuple[DataFrame, DataFrame]:
+    """(edges, members): blocks of floor(pa * n) nodes, and exactly floor(cab / n * pairs) edges in each pair of blocks.
+
+    Places in a block pair's triangle or rectangle are drawn by hash uniforms, half as many again as are needed, made
+    distinct, and the first in hash order kept; what is missing is drawn again. No pair of nodes is enumerated.
+    """
+    q = len(pa)
+    ends = [0, *[int(x) for x in np.floor(np.cumsum(pa)[:-1] * n + 1e-9)], n]
+    members = spark.range(n).select(F.col("id").alias("node_id"), sum(((F.col("id") >= e).cast("long") for e in ends[1:-1]), F.lit(0).cast("long")).alias("membership"))
+    rows = []
+    for a in range(q):
+        for b in range(a, q):
+            na, nb = ends[a + 1] - ends[a], ends[b + 1] - ends[b]
+            places = na * (na - 1) // 2 if a == b else na * nb
+            rows.append((a, b, ends[a], na, ends[b], nb, places, min(places, int(math.floor(cab[a][b] / n * places + 1e-9)))))
+    plan = spark.createDataFrame(rows, "a int, b int, fa long, na long, fb long, nb long, places long, m long").where("m > 0")
+    draws = F.least(F.col("places"), F.ceil(F.col("m") * 1.5) + 20)
+    kept = None
+    for r in range(60):
+        # where most places are wanted, drawing all of them once is as cheap
+        every = F.col("m") * 3 > F.col("places")
+        u = F.floor(uniform(seed, F.lit(r), F.col("a"), F.col("b"), F.col("t")) * F.col("places"))
+        todo = plan.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.when(every, F.col("places")).otherwise(draws) - 1)))
+        found = todo.select("a", "b", F.when(every, F.col("t")).otherwise(u).alias("place")).distinct()
+        kept = cut_lineage(found if kept is None else kept.union(found).distinct())
+        have = {(x["a"], x["b"]): x["count"] for x in kept.groupBy("a", "b").count().collect()}
+        if all(have.get((x[0], x[1]), 0) >= x[7] for x in rows):
+            break
+    first = exact_counts(kept.select(F.col("place").alias("src"), F.lit(0).cast("long").alias("dst"), F.col("a").alias("block_a"), F.col("b").alias("block_b")), plan.select(F.col("a").alias("block_a"), F.col("b").alias("block_b"), "m"), seed)
+    x = first.select(F.col("block_a").alias("a"), F.col("block_b").alias("b"), F.col("src").alias("place")).join(F.broadcast(plan), ["a", "b"])
+    row = F.floor((F.sqrt(8 * F.col("place").cast("double") + 1) + 1) / 2)  # the place of (i, j), j < i, is i (i - 1) / 2 + j
+    row = row + F.when(row * (row - 1) / 2 > F.col("place"), -1).when(row * (row + 1) / 2 <= F.col("place"), 1).otherwise(0)
+    inner = F.col("a") == F.col("b")
+    i = F.when(inner, F.col("fa") + row).otherwise(F.col("fa") + F.floor(F.col("place") / F.col("nb")))
+    j = F.when(inner, F.col("fa") + F.col("place") - F.floor(row * (row - 1) / 2)).otherwise(F.col("fb") + F.col("place") % F.col("nb"))
+    once = cut_lineage(x.select(F.least(i, j).cast("long").alias("src"), F.greatest(i, j).cast("long").alias("dst")))
+    return once.union(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), members
+
+
 def exact_counts(pairs: DataFrame, quota: DataFrame, seed: str = "sbm") -> DataFrame:
-    """Of candidate pairs (src, dst, block_a, block_b): the first m of each block pair in hash order (quota: m)."""
-    order = Window.partitionBy("block_a", "block_b").orderBy(uniform(seed, F.col("src"), F.col("dst")), "src", "dst")
-    return pairs.join(F.broadcast(quota), ["block_a", "block_b"]).withColumn("r", F.row_number().over(order)).where("r <= m").drop("r", "m")
+    """Of candidate pairs (src, dst, block_a, block_b): the first m of each block pair in hash order (quota: m). Ranks run
+    over ranges of all candidates, so that one block pair with most of them is no single task."""
+    mixed = ranked(pairs.withColumn("u", uniform(seed, F.col("src"), F.col("dst"))), ["block_a", "block_b", "u", "src", "dst"], "r").drop("u")
+    first = mixed.groupBy("block_a", "block_b").agg(F.min("r").alias("r0"))
+    kept = mixed.join(F.broadcast(quota), ["block_a", "block_b"]).join(F.broadcast(first), ["block_a", "block_b"])
+    return kept.where("r - r0 < m").drop("r", "r0", "m")

@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.storage import written
+
 MAX_CENTROID_CELLS = 4_000_000
 
 
@@ -55,11 +57,11 @@ def nearest_centroid(table: DataFrame, label: str = "membership", metric: str =
     Zero vectors have no cosine: found is null. Centroids are at most MAX_CENTROID_CELLS numbers, checked; nodes
     stream past them in Arrow batches.
     """
-    rows = centroids(table, label, how).orderBy(label).collect()
+    middle = written(centroids(table, label, how), "centroids")
+    _check_cells(middle.agg(F.sum(F.size("centroid"))).first()[0])
+    rows = middle.orderBy(label).collect()
     names = [r[0] for r in rows]
     c = np.array([r[1] for r in rows], float)
-    if c.size > MAX_CENTROID_CELLS:
-        raise ValueError("the centroids are too many to send to every task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +87,55 @@ def nearest_centroid(table: DataFrame, label: str = "membership", metric: str =
     return given.mapInArrow(run, f"node_id {given.schema['node_id'].dataType.simpleString()}, {label} {kind}, found {kind}")
 
 
+def keep_columns(table: DataFrame, kept: DataFrame) -> DataFrame:
+    """The embedding's columns at the positions kept(pos), in order; a row per column goes along."""
+    packed = kept.agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+    return table.crossJoin(F.broadcast(packed)).withColumn("emb", F.transform("kept", lambda p: F.col("emb")[p])).drop("kept")
+
+
+def fill_missing(table: DataFrame, dim: int) -> DataFrame:
+    """Nodes without an embedding as zero vectors."""
+    return table.withColumn("emb", F.coalesce(F.col("emb").cast("array<double>"), F.array_repeat(F.lit(0.0), dim)))
+
+
+def variants(table: DataFrame, threshold: bool = False, always: bool = False) -> dict[tuple[bool, bool], DataFrame]:
+    """The embedding in its four forms, by (normalize, dim_threshold). threshold: the model has columns to drop; else the
+    second flag changes nothing. always: the threshold holds whatever the flag, as nearest centroids do."""
+    out = {}
+    for dims in (False, True):
+        x = keep_columns(table, dim_threshold(table)) if threshold and (dims or always) else table
+        out |= {(False, dims): x, (True, dims): normalize_columns(x)}
+    return out
+
+
+def clustered_variants(table: DataFrame, cluster, threshold: bool = False, always: bool = False) -> DataFrame:
+    """(node_id, normalize, dim_threshold, group_id): cluster(embedding) -> (node_id, group_id) of the four forms."""
+    out = None
+    for (normal, dims), x in variants(table, threshold, always).items():
+        found = cluster(x).select("node_id", F.lit(normal).alias("normalize"), F.lit(dims).alias("dim_threshold"), F.col("group_id").cast("long").alias("group_id"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def voronoi(table: DataFrame, metric: str = "cosine") -> DataFrame:
+    return nearest_centroid(table, metric=metric).select("node_id", F.col("found").alias("group_id"))
+
+
+def best_silhouette(table: DataFrame, most: int = 20, restarts: int = 10, spectral: bool = False) -> DataFrame:
+    """(node_id, group_id) of k-means with the k of the best silhouette; spectral embeddings then keep their first k - 1
+    columns. Nodes without an embedding are zero vectors, and get a group too."""
+    row = silhouette_by_k(table, most, restarts=restarts).agg(F.max_by("k", F.struct("silhouette", -F.col("k")))).first()
+    k = row[0] or 1
+    dim = table.where(F.col("emb").isNotNull()).agg(F.max(F.size("emb"))).first()[0] or 1
+    x = fill_missing(table, dim)
+    x = x.withColumn("emb", F.slice("emb", 1, max(k - 1, 1))) if spectral else x
+    return kmeans(x, k) if k > 1 else x.select("node_id", F.lit(0).alias("group_id"))
+
+
+#: Clusterings of an embedding(node_id, membership, emb) by name.
+CLUSTERINGS = {"voronoi": voronoi, "kmeans": lambda x: kmeans(x, x.agg(F.max("membership") + 1).first()[0]), "silhouette": best_silhouette}
+
+
 def _features(table: DataFrame) -> DataFrame:
     return table.where(F.col("emb").isNotNull()).withColumn("features", array_to_vector(F.col("emb").cast("array<double>")))
 
@@ -98,6 +149,7 @@ def kmeans(table: DataFrame, k: int, seed: int = 0) -> DataFrame:
 def lloyd(table: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """k-means from given seed centroids (membership, emb), a fixed number of rounds, ties to the least group."""
     start = seeds.select("membership", "emb")
+    _check_cells(start.agg(F.sum(F.size("emb"))).first()[0])
     labels = _assign(table, [(r[0], r[1]) for r in start.orderBy("membership").collect()])
     for _ in range(rounds):
         means = centroids(table.join(labels, "node_id"), "group_id", "mean").orderBy("group_id").collect()
@@ -105,6 +157,11 @@ def lloyd(table: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
+def _check_cells(n: int | None) -> None:
+    if (n or 0) > MAX_CENTROID_CELLS:
+        raise ValueError("the centroids are too many to send to every task")
+
+
 def _assign(table: DataFrame, groups: list) -> DataFrame:
     names, c = [g for g, _ in groups], np.array([v for _, v in groups], float)
 

@@ -111,3 +111,39 @@ def log_histogram(table: DataFrame, column: str, bins: int = 10) -> DataFrame:
     x = x.groupBy("bin").agg(F.avg(column).alias("mean_value"), F.count(F.lit(1)).alias("n"), F.first("low").alias("low"), F.first("width").alias("width"), F.first("all").alias("all"))
     left, right = F.exp(F.col("low") + F.col("bin") * F.col("width")), F.exp(F.col("low") + (F.col("bin") + 1) * F.col("width"))
     return x.select("bin", "mean_value", (F.col("n") / F.col("all") / (right - left)).alias("density"))
+
+
+def moments(table: DataFrame, column: str) -> DataFrame:
+    """(mean, variance) of a column, variances under 1e-7 as 0."""
+    return table.agg(F.avg(column).alias("mean"), _clamped(F.var_pop(column)).alias("variance"))
+
+
+def law_moments(law: DataFrame, value: str = "value", share: str = "share") -> DataFrame:
+    """(mean, variance) of a discrete law (value, share), variances under 1e-7 as 0."""
+    v, p = F.col(value).cast("double"), F.col(share)
+    x = law.agg(F.sum(p * v).alias("mean"), F.sum(p * v * v).alias("square"))
+    return x.select("mean", _clamped(F.col("square") - F.col("mean") * F.col("mean")).alias("variance"))
+
+
+def _clamped(x):
+    return F.when(x < 1e-7, 0.0).otherwise(x)
+
+
+def cumulative(law: DataFrame, value: str = "value", share: str = "share") -> DataFrame:
+    """(value, cdf): running sums of a discrete law, a table of a parameter's size."""
+    return law.select(value, F.sum(share).over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("cdf"))
+
+
+def distribution(cdf: DataFrame, value: str = "value", column: str = "cdf") -> DataFrame:
+    """(value, share): the law of a running sum."""
+    return cdf.select(value, (F.col(column) - F.coalesce(F.lag(column).over(Window.orderBy(value)), F.lit(0.0))).alias("share"))
+
+
+def group_labels(table: DataFrame) -> DataFrame:
+    """label variants in long form: (node_id, variant, group_id) of columns named by key~value pairs."""
+    names = [c for c in table.columns if c != "node_id"]
+    return table.unpivot(["node_id"], names, "variant", "group_id")
+
+
+#: Scores of a partition by name: functions of a table of labels, as partition_scores.
+SCORES = {"nmi": lambda labels, **o: partition_scores(labels, **o).drop("esim"), "esim": lambda labels, **o: partition_scores(labels, **o).drop("nmi")}

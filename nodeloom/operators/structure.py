@@ -186,3 +186,33 @@ def mates(edges: DataFrame, members: DataFrame, same: bool = True) -> DataFrame:
     b = members.select(F.col("node_id").alias("dst"), "membership")
     shared = edges.select("src", "dst").join(a, "src").join(b, ["dst", "membership"]).select("src", "dst").distinct()
     return edges.select("src", "dst").join(shared, ["src", "dst"], "left_semi" if same else "left_anti")
+
+
+def loosest_neighbor(edges: DataFrame) -> DataFrame:
+    """(node_id, neighbor, common): the neighbour that shares the fewest neighbours with a node, ties to the least."""
+    shared = common_neighbors(edges, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    best = shared.groupBy(F.col("a").alias("node_id")).agg(F.min(F.struct("common", "b")).alias("m"))
+    return best.select("node_id", F.col("m.b").alias("neighbor"), F.col("m.common").alias("common"))
+
+
+def community_overlap(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(node_id, membership, n): how many of a node's neighbours are in each community; members may overlap."""
+    at = members.select(F.col("node_id").alias("dst"), "membership")
+    return edges.select("src", "dst").distinct().join(at, "dst").groupBy(F.col("src").alias("node_id"), "membership").agg(F.count(F.lit(1)).alias("n"))
+
+
+def same_entries(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two matrices (src, dst, weight) are equal: entries of 0 are as good as none."""
+    one, two = (x.select("src", "dst", F.col("weight").cast("double").alias("w")).where("w <> 0") for x in (a, b))
+    return one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def is_symmetric(edges: DataFrame) -> bool:
+    return same_entries(edges, swapped(edges))
+
+
+def prefix_blocks(n_by_block: DataFrame, block: str = "membership", size: str = "n") -> DataFrame:
+    """(block, first, last): blocks filled one after the other, in order; a row per block."""
+    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")
+    return n_by_block.select(block, first.alias("first"), (first + F.col(size) - 1).cast("long").alias("last"))

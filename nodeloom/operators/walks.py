@@ -1,57 +1,128 @@
-"""Random walks as step joins: all walks advance together, one shuffle a step; draws are hash uniforms."""
+"""Random walks as step joins: all walks advance together, a step joins each walk with one arc; draws are hash uniforms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.scalars import uniform
-from nodeloom.operators.structure import cut_lineage, transition_cdf
+from nodeloom.operators.structure import cut_lineage, row_normalize
 
+ATTEMPTS = 6  # candidates that a second-order step draws for rejection, before it weighs all neighbours
 
-def neighbor_lists(edges: DataFrame) -> DataFrame:
-    """src, next (neighbours in id order), cdf (running transition probability)."""
-    rows = transition_cdf(edges)
-    packed = rows.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "cdf"))).alias("p"))
-    return packed.select("src", F.col("p.dst").alias("next"), F.col("p.cdf").alias("cdf"))
 
+def arc_table(edges: DataFrame) -> DataFrame:
+    """Per arc: src, k (its number among src's arcs, by dst), lo and hi (its share of [0, 1], hi the running transition
+    probability), dst, d (dst's degree), and back, back_lo, back_hi: number and share of the arc from dst to src."""
+    order = Window.partitionBy("src").orderBy("dst")
+    hi = F.when(F.lead("dst").over(order).isNull(), 1.0).otherwise(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = row_normalize(edges).select("src", "dst", (F.row_number().over(order) - 1).alias("k"), hi.alias("hi"), F.lead("dst").over(order).isNull().alias("end"))
+    rows = rows.select("src", "dst", "k", "hi", "end", F.coalesce(F.lag("hi").over(order), F.lit(-1.0)).alias("lo"))
+    rows = cut_lineage(rows)
+    degree = rows.where("end").select(F.col("src").alias("dst"), (F.col("k") + 1).alias("d"))
+    back = rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("k").alias("back"), F.col("lo").alias("back_lo"), F.col("hi").alias("back_hi"))
+    out = rows.drop("end").join(degree, "dst", "left").join(back, ["src", "dst"], "left")
+    return cut_lineage(out.withColumn("d", F.coalesce("d", F.lit(0))))
 
-def random_walks(edges: DataFrame, starts: DataFrame, num_walks: int, walk_length: int, weighted: bool = False, backtrack: bool = True, p: float = 1.0, q: float = 1.0, cut_every: int = 10) -> DataFrame:
+
+def varied_weights(edges: DataFrame) -> bool:
+    """Whether weights differ, in which case walks follow them."""
+    if "weight" not in edges.columns:
+        return False
+    row = edges.agg(F.min("weight").alias("a"), F.max("weight").alias("b")).first()
+    return row["a"] != row["b"]
+
+
+class _Stepper:
+    """Draws one arc for each row with node, d, back, back_lo, back_hi and a uniform u."""
+
+    def __init__(self, edges: DataFrame, weighted: bool):
+        self.arcs, self.weighted = arc_table(edges), weighted
+        self.degree = self.arcs.groupBy(F.col("src").alias("node")).agg((F.max("k") + 1).alias("d"))
+        if weighted:  # a guide table: slot s of a node lists the arcs whose share meets [s / d, (s + 1) / d]; two per arc on average
+            own = self.arcs.join(self.degree.select(F.col("node").alias("src"), F.col("d").alias("own")), "src")
+            last = F.least(F.floor(F.col("hi") * F.col("own")), F.col("own") - 1)
+            slots = F.sequence(F.least(F.floor(F.greatest("lo", F.lit(0.0)) * F.col("own")), F.col("own") - 1), last)
+            self.guide = cut_lineage(own.withColumn("slot", F.explode(slots)).drop("own"))
+
+    def draw(self, now: DataFrame, u: Column, keep: list[str], backtrack: bool = True) -> DataFrame:
+        """keep, and of the drawn arc: next, d, back, back_lo, back_hi. Walks with nowhere to go are dropped."""
+        turns = F.lit(0) if backtrack else F.col("at.back").isNotNull().cast("int")  # choices that would turn back
+        at = now.alias("at").where(F.col("at.d") - turns > 0)
+        if self.weighted:
+            mass = F.when(turns > 0, F.col("at.back_hi") - F.greatest("at.back_lo", F.lit(0.0))).otherwise(0.0)
+            t = u * (1 - mass) if backtrack else u * (1 - mass) + 2.0**-33
+            t = F.least(t + F.when((turns > 0) & ((t > F.col("at.back_lo")) | (F.col("at.back") == 0)), mass).otherwise(0.0), F.lit(1.0))
+            at = at.select(*[F.col(f"at.{c}").alias(c) for c in keep], F.col("at.node").alias("here"), t.alias("t"), F.least(F.floor(t * F.col("at.d")), F.col("at.d") - 1).alias("s"))
+            a, b = at.alias("at"), self.guide.alias("arc")
+            met = a.join(b, (F.col("at.here") == F.col("arc.src")) & (F.col("at.s") == F.col("arc.slot")) & (F.col("arc.lo") < F.col("at.t")) & (F.col("at.t") <= F.col("arc.hi")))
+        else:
+            pick = F.least(F.floor(u * (F.col("at.d") - turns)), F.col("at.d") - turns - 1)
+            pick = pick + F.when((turns > 0) & (pick >= F.col("at.back")), 1).otherwise(0)
+            at = at.select(*[F.col(f"at.{c}").alias(c) for c in keep], F.col("at.node").alias("here"), pick.alias("pick"))
+            met = at.alias("at").join(self.arcs.alias("arc"), (F.col("at.here") == F.col("arc.src")) & (F.col("at.pick") == F.col("arc.k")))
+        return met.select(*[F.col(f"at.{c}").alias(c) for c in keep], F.col("arc.dst").alias("next"), *[F.col(f"arc.{c}").alias(c) for c in ("d", "back", "back_lo", "back_hi")])
+
+
+def random_walks(edges: DataFrame, starts: DataFrame, num_walks: int, walk_length: int, weighted: bool | None = None, backtrack: bool = True, p: float = 1.0, q: float = 1.0, cut_every: int = 10, first_pass: int = 0) -> DataFrame:
     """(walk_id, start, step, node_id): num_walks walks from every start, each of walk_length nodes, start included.
 
-    The first step is never biased. Unweighted steps take neighbour floor(u * degree), weighted ones the first whose
-    running probability reaches u; without backtracking the previous node is no choice, and a walk ends where it is
-    the only one. With p, q (second order) a candidate weighs 1/p if it is the previous node, 1 if it is a
-    neighbour of it, else 1/q, and the draw is from these weights exactly.
+    weighted: steps follow the weights; None does so where weights differ. The first step is never biased. Unweighted
+    steps take arc floor(u * degree), weighted ones the first whose running probability reaches u; without backtracking
+    the arc back is left out of the draw, and a walk ends where there is no other. With p, q (second order) a neighbour
+    weighs its transition probability times 1/p if it is the previous node, 1 if it is a neighbour of it, else 1/q:
+    ATTEMPTS candidates are drawn and accepted by that factor; walks that accept none weigh all neighbours.
+
+    A step joins each walk with one arc by (node, number), so a hub's neighbours are never gathered.
     """
-    lists = cut_lineage(neighbor_lists(edges))
-    passes = starts.sparkSession.range(num_walks).withColumnRenamed("id", "pass")
+    weighted = varied_weights(edges) if weighted is None else weighted
+    stepper = _Stepper(edges, weighted)
+    passes = starts.sparkSession.range(first_pass, first_pass + num_walks).withColumnRenamed("id", "pass")
     walks = starts.select(F.col("node_id").alias("start")).crossJoin(F.broadcast(passes))
-    now = walks.select("pass", "start", F.lit(None).cast("long").alias("before"), F.col("start").alias("node"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("back", "int"), ("back_lo", "double"), ("back_hi", "double"))]
+    now = walks.join(stepper.degree.withColumnRenamed("node", "start"), "start", "left")
+    now = now.select("pass", "start", F.lit(None).cast("long").alias("before"), F.col("start").alias("node"), F.coalesce("d", F.lit(0)).alias("d"), *nothing)
     out = now.select("pass", "start", F.lit(0).alias("step"), F.col("node").alias("node_id"))
-    second_order = p != 1.0 or q != 1.0
+    pairs = stepper.arcs.select(F.col("src").alias("before"), F.col("dst").alias("next"), F.lit(True).alias("near"))
+    factor = F.when(F.col("next") == F.col("before"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+    arc, key = ["next", "d", "back", "back_lo", "back_hi"], ["pass", "start"]
     for step in range(1, walk_length):
-        u = uniform("walk", F.col("pass"), F.col("start"), F.lit(step))
-        moved = now.join(lists, now["node"] == lists["src"]).withColumn("u", u)
-        if second_order and step > 1:
-            of_before = lists.select(F.col("src").alias("before"), F.col("next").alias("around"))
-            moved = moved.join(of_before, "before")
-            bias = F.transform("next", lambda n: F.when(n == F.col("before"), 1 / p).when(F.array_contains("around", n), 1.0).otherwise(1 / q))
-            moved = cut_lineage(moved.withColumn("bias", bias).select("pass", "start", "node", "next", "u", "bias"))
-            reach = F.col("u") * F.aggregate("bias", F.lit(0.0), lambda acc, w: acc + w)
-            start = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k"))
-            pick = F.aggregate("bias", start, lambda acc, w: F.struct((acc["c"] + w).alias("c"), (acc["k"] + (acc["c"] + w < reach).cast("int")).alias("k")))["k"] + 1
+        u = lambda *more: uniform("walk", F.col("pass"), F.col("start"), F.lit(step), *more)
+        if (p == 1.0 and q == 1.0) or step == 1:
+            moved = stepper.draw(now, u(), [*key, "node"], backtrack or step == 1)
         else:
+            tries = now.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
+            drawn = stepper.draw(tries, u(F.col("try")), [*key, "node", "before", "try"], backtrack)
+            fine = drawn.join(pairs, ["before", "next"], "left").where(u(F.col("try"), F.lit("accept")) * max(1 / p, 1.0, 1 / q) < factor)
+            got = cut_lineage(fine.groupBy(*key).agg(F.min_by(F.struct("node", *arc), "try").alias("a")).select(*key, "a.*"))
+            left = now.join(got.select(*key), key, "left_anti").select(*key, "before", F.col("node").alias("src"))
+            every = left.join(stepper.arcs, "src").withColumnRenamed("dst", "next").join(pairs, ["before", "next"], "left")
             if not backtrack:
-                moved = moved.withColumn("next", F.filter("next", lambda n: n != F.coalesce("before", F.lit(-1)))).where(F.size("next") > 0)
-            pick = F.size(F.filter("cdf", lambda c: c < F.col("u"))) + 1 if weighted else F.floor(F.col("u") * F.size("next")).cast("int") + 1
-        now = moved.select("pass", "start", F.col("node").alias("before"), F.element_at("next", F.least(pick, F.size("next"))).alias("node"))
-        if second_order or step % cut_every == 0:  # a second-order draw is dear enough to be made once
+                every = every.where("next <> before")
+            share = F.col("hi") - F.greatest("lo", F.lit(0.0)) if weighted else F.lit(1.0)
+            order = Window.partitionBy(*key).orderBy("k")
+            every = every.withColumn("w", share * factor).withColumn("run", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy(*key)))
+            some = every.where((F.col("run") >= u(F.lit("all")) * F.col("all")) | F.col("run").eqNullSafe(F.col("all")))
+            moved = got.union(some.groupBy(*key).agg(F.min_by(F.struct(F.col("src").alias("node"), *arc), "k").alias("a")).select(*key, "a.*"))
+        now = moved.select(*key, F.col("node").alias("before"), F.col("next").alias("node"), *arc[1:])
+        if p != 1.0 or q != 1.0 or step % cut_every == 0:  # a second-order draw is dear enough to be made once
             now = cut_lineage(now)
         out = out.union(now.select("pass", "start", F.lit(step).alias("step"), F.col("node").alias("node_id")))
     return out.select(F.concat_ws("|", F.col("pass").cast("string"), F.col("start").cast("string")).alias("walk_id"), "start", "step", "node_id")
 
 
+def nonbacktracking_walks(edges: DataFrame, starts: DataFrame, num_walks: int, walk_length: int, weighted: bool | None = None) -> DataFrame:
+    """Passes of walks that never turn back, until they have more than num_walks * walk_length steps for each start in
+    all: walks that end early are made up for. At least num_walks passes, at most walk_length times as many."""
+    wanted, passes = num_walks * walk_length * starts.count(), num_walks
+    out = cut_lineage(random_walks(edges, starts, passes, walk_length, weighted, backtrack=False))
+    have = out.count()
+    while have <= wanted and passes < num_walks * walk_length:
+        more = cut_lineage(random_walks(edges, starts, 1, walk_length, weighted, backtrack=False, first_pass=passes))
+        out, have, passes = out.union(more), have + more.count(), passes + 1
+    return out
+
+
 def context_pairs(walks: DataFrame, window: int, walk: str = "walk_id", order: str = "step", node: str = "node_id") -> DataFrame:
     """(center, context, n) within `window` places of each other; a window frame collects the places that follow."""
     ahead = Window.partitionBy(walk).orderBy(order).rowsBetween(1, window)

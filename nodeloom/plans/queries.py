@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions import scalars
-from nodeloom.operators import blockmodel, clustering, lfr, scores, spectral, structure, walks
+from nodeloom.operators import blockmodel, clustering, lfr, scores, skipgram, spectral, structure, walks
 from nodeloom.plans import results
 from nodeloom.sources import graphs
 from nodeloom.sources.graphs import embedding_table, event_walks, nation_graph, nation_members, part_graph, part_members, table
@@ -381,7 +381,17 @@ def walk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visits(walks.random_walks(g, _nodes(g), 2, 5, weighted=True))
 
 
-@query(None)
+def _forward_sql(steps: int) -> str:
+    out = f"WITH {GP}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS d FROM g), s0 AS (SELECT p, src AS start, CAST(NULL AS BIGINT) AS bef, src AS node FROM (SELECT DISTINCT src FROM g) x, (SELECT unnest(range(2)) AS p) y)"
+    for k in range(1, steps):
+        u = u_sql("'walk'", "CAST(p AS VARCHAR)", "CAST(start AS VARCHAR)", f"'{k}'")
+        out += f", t{k} AS (SELECT p, start, node, {u} AS u, b.k AS back FROM s{k - 1} LEFT JOIN r b ON b.src = node AND b.dst = bef)"
+        out += f", c{k} AS (SELECT t.*, floor(u * (n.d - (back IS NOT NULL)::INT)) AS f FROM t{k} t JOIN r n ON n.src = node AND n.k = 0 WHERE n.d - (back IS NOT NULL)::INT > 0)"
+        out += f", s{k} AS (SELECT p, start, node AS bef, r.dst AS node FROM c{k} c JOIN r ON r.src = c.node AND r.k = f + CASE WHEN back IS NOT NULL AND f >= back THEN 1 ELSE 0 END)"
+    return out + " SELECT node_id, step, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT node AS node_id, {k} AS step FROM s{k}" for k in range(steps)) + ") x GROUP BY 1, 2"
+
+
+@query(_forward_sql(5))
 def walk_nonbacktracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = part_graph(spark, sf_dir)
     return _visits(walks.random_walks(g, _nodes(g), 2, 5, backtrack=False))
@@ -395,22 +405,77 @@ def walk_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def deepwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.DeepWalk(num_walks=2, walk_length=10, window=5).fit(nation_graph(spark, sf_dir)).transform(8)
+    return skipgram.DeepWalk(num_walks=10, walk_length=80, window=10).fit(nation_graph(spark, sf_dir)).transform(8)
 
 
-@query(None)
+def _spectrum_sql(matrix: str, k: int, shift: float, out: str) -> str:
+    """Leading eigenpairs v<j>(i, v), l<j>(l) of matrix m(i, j, w), by ten squarings of the deflated, shifted matrix each."""
+    s = f"WITH {GN}, dg AS (SELECT src AS i, sum(weight) AS d FROM g GROUP BY 1), m AS ({matrix}), ij AS (SELECT a.i AS i, b.i AS j FROM dg a, dg b), b0 AS (SELECT ij.i, ij.j, coalesce(w, 0) + CASE WHEN ij.i = ij.j THEN {shift} ELSE 0 END AS w FROM ij LEFT JOIN m ON m.i = ij.i AND m.j = ij.j)"
+    for e in range(k):
+        s += f", q{e}_0 AS MATERIALIZED (SELECT * FROM b{e})"
+        for r in range(10):
+            s += f", p{e}_{r} AS MATERIALIZED (SELECT a.i, b.j, sum(a.w * b.w) AS w FROM q{e}_{r} a JOIN q{e}_{r} b ON a.j = b.i GROUP BY 1, 2), q{e}_{r + 1} AS MATERIALIZED (SELECT i, j, w / (SELECT sum(w) FROM p{e}_{r} WHERE i = j) AS w FROM p{e}_{r})"
+        s += f", c{e} AS (SELECT arg_max(i, w) AS c FROM q{e}_10 WHERE i = j), r{e} AS (SELECT i, w AS v FROM q{e}_10, c{e} WHERE j = c), n{e} AS (SELECT sqrt(sum(v * v)) AS n FROM r{e}), v{e} AS MATERIALIZED (SELECT i, v / n AS v FROM r{e}, n{e})"
+        s += f", l{e} AS MATERIALIZED (SELECT sum(a.v * b{e}.w * c.v) AS l FROM v{e} a JOIN b{e} ON a.i = b{e}.i JOIN v{e} c ON c.i = b{e}.j), b{e + 1} AS MATERIALIZED (SELECT b{e}.i, b{e}.j, w - l * x.v * y.v AS w FROM b{e} JOIN v{e} x ON x.i = b{e}.i JOIN v{e} y ON y.i = b{e}.j, l{e})"
+    return s + out
+
+
+_NORMAL = "SELECT src AS i, dst AS j, weight / sqrt(a.d * b.d) AS w FROM g JOIN dg a ON a.i = src JOIN dg b ON b.i = dst"
+
+
+def _sizes(x: DataFrame, dim: int) -> DataFrame:
+    """Absolute components, as the signs of eigenvectors are free."""
+    return x.select("node_id", *[F.round(F.abs(F.col("emb")[c]), 4).alias(f"e{c}") for c in range(dim)])
+
+
+@query(_spectrum_sql(_NORMAL, 3, 1.0, " SELECT CAST(pos AS INT) AS pos, round(l - 1, 6) AS value FROM (SELECT 0 AS pos, l FROM l0 UNION ALL SELECT 1, l FROM l1 UNION ALL SELECT 2, l FROM l2) x"))
+def spectral_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three algebraically largest eigenvalues of the normalised adjacency."""
+    values, _ = spectral.eigenpairs(spectral.symmetric_normal(nation_graph(spark, sf_dir)), 3, "LR", shift=1.0)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "pos int, value double")
+
+
+@query(_spectrum_sql(_NORMAL, 3, 1.0, " SELECT v1.i AS node_id, round(abs(v1.v * sqrt(abs(l1.l - 1)) / sqrt(d)), 4) AS e0, round(abs(v2.v * sqrt(abs(l2.l - 1)) / sqrt(d)), 4) AS e1 FROM v1 JOIN v2 USING (i) JOIN dg USING (i), l1, l2"))
 def laplacian_eigenmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.LaplacianEigenMap().fit(nation_graph(spark, sf_dir)).transform(3)
+    return _sizes(spectral.LaplacianEigenMap().fit(nation_graph(spark, sf_dir)).transform(2), 2)
 
 
-@query(None)
+@query(_spectrum_sql(_NORMAL, 3, 1.0, "".join(f", f{e} AS (SELECT abs(l - 1) AS s, abs(l - 1) * (1 - power(abs(l - 1), 5)) / (5 * (1 - abs(l - 1))) AS f FROM l{e})" for e in (1, 2)) + " SELECT v1.i AS node_id, round(abs(v1.v * sqrt(abs(f1.f))), 4) AS e0, round(abs(v2.v * sqrt(abs(f2.f))), 4) AS e1 FROM v1 JOIN v2 USING (i), f1, f2"))
+def linearized_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spectral.LinearizedNode2Vec(5).fit(nation_graph(spark, sf_dir)).transform(2), 2)
+
+
+_SQUARED = "SELECT a.src AS i, b.dst AS j, sum(a.weight * b.weight) AS w FROM g a JOIN g b ON a.dst = b.src GROUP BY 1, 2"
+
+
+@query(_spectrum_sql(_SQUARED, 2, 0.0, " SELECT v0.i AS node_id, round(abs(v0.v * l0.l) / 1e6, 4) AS e0, round(abs(v1.v * l1.l) / 1e6, 4) AS e1 FROM v0 JOIN v1 USING (i), l0, l1"))
 def adj_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.AdjacencySpectral().fit(nation_graph(spark, sf_dir)).transform(3)
+    x = spectral.AdjacencySpectral().fit(nation_graph(spark, sf_dir)).transform(2)
+    return _sizes(x.withColumn("emb", F.transform("emb", lambda v: v / 1e6)), 2)
+
+
+_MODULAR = "SELECT z.i, y.j, sum(z.w * y.w) AS w FROM mm z JOIN mm y ON z.j = y.i GROUP BY 1, 2"
+_MODULAR_HEAD = ", t AS (SELECT sum(d) AS t FROM dg), mm AS (SELECT a.i AS i, b.i AS j, coalesce(weight, 0) / t - a.d * b.d / (t * t) AS w FROM dg a CROSS JOIN dg b CROSS JOIN t LEFT JOIN g ON src = a.i AND dst = b.i), m AS ("
+
+
+@query(_spectrum_sql(_MODULAR, 2, 0.0, " SELECT v0.i AS node_id, round(abs(v0.v * power(l0.l, 0.25)), 4) AS e0, round(abs(v1.v * power(l1.l, 0.25)), 4) AS e1 FROM v0 JOIN v1 USING (i), l0, l1").replace(", m AS (", _MODULAR_HEAD))
+def modularity_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spectral.ModularitySpectral().fit(nation_graph(spark, sf_dir)).transform(2), 2)
 
 
 @query(None)
-def linearized_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.LinearizedNode2Vec(5).fit(nation_graph(spark, sf_dir)).transform(3)
+def nonbacktracking_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.NonBacktrackingSpectral().fit(structure.symmetrize(nation_graph(spark, sf_dir))).transform(2)
+
+
+@query(None)
+def walk_matrix_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.WalkMatrixFactorization(5).fit(nation_graph(spark, sf_dir)).transform(3)
+
+
+@query(None)
+def node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skipgram.Node2Vec(num_walks=10, walk_length=20, window=5, p=2.0, q=0.5, epochs=8).fit(nation_graph(spark, sf_dir)).transform(8)
 
 
 # ---------------------------------------------------------------- block models
@@ -497,8 +562,8 @@ def results_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT region.r_name, s.n_segments * 2 AS n_points FROM region, (SELECT count(DISTINCT c_mktsegment) AS n_segments FROM customer) s")
 def param_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid of regions x market segments x two flags, counted per region."""
-    values = lambda t, c: [r[0] for r in table(spark, sf_dir, t).select(c).distinct().collect()]
-    x = results.param_space(spark, {"r_name": values("region", "r_name"), "segment": values("customer", "c_mktsegment"), "flag": [True, False]})
+    values = lambda t, c, k: table(spark, sf_dir, t).select(F.col(c).alias(k)).distinct()
+    x = results.param_space(spark, {"r_name": values("region", "r_name", "r_name"), "segment": values("customer", "c_mktsegment", "segment"), "flag": [True, False]})
     return x.groupBy("r_name").agg(F.count(F.lit(1)).alias("n_points"))
 
 
@@ -515,5 +580,8 @@ def planted_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lfr_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A benchmark graph with as many nodes as there are customers, and its mixing."""
     n = table(spark, sf_dir, "customer").count()
-    edges, members = lfr.generate(spark, lfr.Parameters(n=n, mean_degree=8, max_degree=min(40, n - 1), mixing=0.3, min_community=10, max_community=50), rounds=2)
+    edges, members = lfr.generate(spark, lfr.Parameters(n=n, mean_degree=8, max_degree=min(40, n - 1), mixing=0.3, min_community=10, max_community=50))
     return scores.mixing(edges, members).agg(F.count(F.lit(1)).alias("n"), F.avg("degree").alias("degree"), F.avg("mixing").alias("mixing"))
+
+
+from nodeloom.plans import more_queries  # noqa: E402, F401  registers the rest

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def param_space(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
-    """One row per combination, columns in key order."""
-    one = [spark.createDataFrame([(v,) for v in vs], [k]) for k, vs in grid.items()]
+def param_space(spark: SparkSession, grid: dict[str, list | DataFrame]) -> DataFrame:
+    """One row per combination, columns in key order. A grid has lists of values, or tables of one column of that name."""
+    one = [vs if isinstance(vs, DataFrame) else spark.createDataFrame([(v,) for v in vs], [k]) for k, vs in grid.items()]
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), one)
 
 
@@ -40,6 +40,7 @@ def filtered(table: DataFrame, wanted: dict[str, list]) -> DataFrame:
 
 def read_results(spark: SparkSession, paths: list[str] | str, params: list[str]) -> DataFrame:
     """Score CSVs with the parameters that their file names hold."""
+    paths = sorted(set(paths)) if isinstance(paths, list) else paths  # a file that is named twice is read once
     x = spark.read.csv(paths, header=True, inferSchema=True).withColumn("filename", F.col("_metadata.file_path"))
     return decoded(x, params)
 
@@ -62,3 +63,69 @@ def with_any_score(table: DataFrame, by: list[str], score: str = "score") -> Dat
     """Rows of groups that have a score at all."""
     good = table.groupBy(*by).agg(F.count(score).alias("k")).where("k > 0").select(*by)
     return table.join(good, by, "left_semi")
+
+
+def without_names(table: DataFrame, names: tuple[str, ...] = ("levy-word2vec",)) -> DataFrame:
+    """Rows of other models; rows without a name stay."""
+    return table.where(F.col("name").isNull() | ~F.col("name").isin(*names))
+
+
+def direct_as_clustering(table: DataFrame, name: str = "community-detection") -> DataFrame:
+    """Detectors that need no clustering, as a clustering of that name."""
+    return table.withColumn("clustering", F.coalesce("clustering", F.lit(name)))
+
+
+def focal(table: DataFrame, clustering: str, score_type: str = "esim", direct: str = "community-detection") -> DataFrame:
+    """Scores of one kind, of one clustering or direct ones, in the plain variant (or none)."""
+    plain = F.col("normalize").isNull() | (~F.col("normalize") & ~F.coalesce("dimThreshold", F.lit(False)))
+    return table.where(F.col("clustering").isin(direct, clustering) & (F.col("score_type") == score_type) & plain)
+
+
+def typed(table: DataFrame, to_double: list[str], to_long: list[str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """Columns that hold numbers as such: to_double, then to_long, where every value that is there can be; columns that
+    hold other text stay, with missing values as empty text. renamed: new names at the end."""
+    for columns, kind in ((to_double, "double"), (to_long, "bigint")):
+        for c in (c for c in columns if c in table.columns):
+            fits = F.col(c).try_cast("double")
+            if table.where(F.col(c).isNotNull() & (fits.isNull() if kind == "double" else fits.isNull() | (fits != F.floor(fits)))).isEmpty():
+                table = table.withColumn(c, fits.cast(kind))
+            elif dict(table.dtypes)[c] == "string":
+                table = table.withColumn(c, F.coalesce(c, F.lit("")))
+    return table.withColumnsRenamed(renamed or {})
+
+
+#: Models in the order of reports: key, display name, group.
+STYLES = (
+    ("node2vec", "node2vec", "neural"), ("deepwalk", "DeepWalk", "neural"), ("line", "LINE", "neural"), ("depthfirst-node2vec", "node2vec, depth first", "neural"),
+    ("leigenmap", "Laplacian EigenMap", "spectral"), ("adjspec", "Adjacency", "spectral"), ("modspec", "Modularity", "spectral"), ("linearized-node2vec", "Linearized node2vec", "spectral"), ("nonbacktracking", "Non-backtracking", "spectral"),
+    ("infomap", "Infomap", "direct"), ("flatsbm", "Flat SBM", "direct"), ("bp", "Belief propagation", "direct"),
+)
+
+
+def styles(spark: SparkSession) -> DataFrame:
+    """(name, rank, display, kind): the dimension table of models."""
+    return spark.createDataFrame([(k, n, d, g) for n, (k, d, g) in enumerate(STYLES)], "name string, rank int, display string, kind string")
+
+
+def in_model_order(table: DataFrame) -> DataFrame:
+    """Rows of known models, with their display names, in the order of reports."""
+    return table.join(F.broadcast(styles(table.sparkSession)), "name").orderBy("rank")
+
+
+def expand(spark: SparkSession, pattern: str, grid: dict[str, list]) -> DataFrame:
+    """(filename, ...): the pattern's {key}s filled in for every combination."""
+    space = param_space(spark, grid)
+    name = F.lit(pattern)
+    for k in grid:
+        name = F.replace(name, F.lit("{" + k + "}"), F.col(k).cast("string"))
+    return space.withColumn("filename", name)
+
+
+#: The workload's parameter grids (fixed values).
+GRIDS = {
+    "embedding": {"model_name": ["node2vec", "deepwalk", "line", "leigenmap", "adjspec", "modspec", "nonbacktracking"], "window_length": [10], "dim": [16, 64, 128]},
+    "detection": {"model_name": ["infomap", "flatsbm", "bp"]},
+    "clustering": {"metric": ["cosine"], "clustering": ["voronoi", "kmeans", "silhouette"]},
+    "planted": {"n": [10_000, 100_000], "q": [2, 50], "cave": [5, 10, 50], "mu": [round(0.1 + 0.05 * k, 2) for k in range(19)], "sample": list(range(30))},
+    "lfr": {"n": [10_000], "k": [5, 10, 50], "tau": [3], "tau2": [1], "minc": [50], "mu": [round(0.1 + 0.05 * k, 2) for k in range(19)], "sample": list(range(30))},
+}
