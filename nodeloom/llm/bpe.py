@@ -27,6 +27,7 @@ from nodeloom.llm._shared import n_partitions, written
 #: The byte-level pre-tokenizer's pattern (fixed value), white space spelled out as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 BLOCK_BYTES = 16 << 20
+PAGE = 1024  # ids of one row of the piece table, where blocks join it
 
 
 class Vocabulary:
@@ -177,14 +178,19 @@ _ANSWER = "block long, owner int, ends binary, ids binary, used array<int>"
 
 
 def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(b, id): the ids that a block uses, from the rows of _encode; a task of its own for the same reason."""
+    """(b, page): the pages of the piece table that a block uses, from the rows of _encode, which a task has all of for its
+    blocks; a task of its own for the same reason."""
+    pages: dict[int, set[int]] = {}
     for batch in batches:
-        for block, ids in zip(batch.column(0).to_pylist(), batch.column(4)):
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids.values), pa.int64()), ids.values.cast(pa.int32())], names=["b", "id"])
+        for block, used in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
+            pages.setdefault(block, set()).update(used)
+    rows = [(b, p) for b, own in pages.items() for p in sorted(own)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32()))], names=["b", "page"])
 
 
 def _encode(path: str):
-    """Per owner and block: the ids of the words that the block asked for, in its order, and the distinct ones of these."""
+    """Per owner and block: the ids of the words that the block asked for, in its order, and the pages that these are on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, known = vocabulary(path), {}
@@ -201,7 +207,7 @@ def _encode(path: str):
                 found = [known[w] for w in words]
                 ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
                 ids = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1]) if len(ends) else 0)
-                cells = ([block], [owner], [_pack_numbers(np.diff(ends, prepend=0))], [_pack_numbers(ids)], [np.unique(ids).astype(np.int32)])
+                cells = ([block], [owner], [_pack_numbers(np.diff(ends, prepend=0))], [_pack_numbers(ids)], [np.unique(ids // PAGE).astype(np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32())))], names=["block", "owner", "ends", "ids", "used"])
 
     return run
@@ -215,7 +221,8 @@ def _assemble(kind: pa.DataType, keep_ids: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         piece: dict[int, bytes] = {}
         for row in answers.column("pieces"):
-            piece.update((x["id"], x["piece"]) for x in row.as_py() or ())
+            for page in row.as_py() or ():
+                piece.update(enumerate(page["piece"], PAGE * page["page"]))
         mine = texts.filter(texts.column("owner").is_valid())
         numbers = {o: np.cumsum(_unpack_numbers(x.as_py()), dtype=np.int64).tolist() for o, x in zip(mine.column("owner").to_pylist(), mine.column("numbers"))}
         coded: list[bytes] = [b""] * sum(map(len, numbers.values()))
@@ -256,8 +263,8 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     Texts don't move. A block is what one task reads, up to about 16 MB of text; its distinct words, packed, and the
     numbers in place of its words go through one exchange, which both the encoding and the assembly read. No key is hot:
     words are dealt by their hash after a block has made them distinct, and blocks, which are alike in size, by theirs,
-    over so many partitions that few meet. The id-to-piece table has one row per vocabulary entry and is broadcast; a
-    block joins it once for each id that it uses.
+    over so many partitions that few meet. The id-to-piece table is of the vocabulary's size and broadcast; a block joins
+    it by pages of PAGE ids, once for each that it uses.
 
     Defined cases: null text is empty text (no tokens); repeated rows and null doc_ids each give a row; a text over a
     block's size is a block of its own; an empty table gives an empty result; other columns are ignored.
@@ -268,8 +275,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     split = given.mapInArrow(_split(path, parts), f"i {kind.simpleString()}, block long, owner int, cell binary, numbers binary").repartition(4 * parts, "block")
     asked = split.mapInArrow(_words, "owner int, block long, cell binary").repartition(parts, "owner").sortWithinPartitions("owner", "block")
     coded = asked.mapInArrow(_encode(path), _ANSWER).repartition(4 * parts, "block")
-    used = coded.mapInArrow(_used, "b long, id int").distinct().join(F.broadcast(piece_table(spark, path)), "id")
-    pieces = used.groupBy("b").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    table = piece_table(spark, path).groupBy(F.floor(F.col("id") / PAGE).cast("int").alias("page"))
+    table = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]).alias("piece"))
+    used = coded.mapInArrow(_used, "b long, page int").join(F.broadcast(table), "page")
+    pieces = used.groupBy("b").agg(F.collect_list(F.struct("page", "piece")).alias("pieces"))
     none = lambda kind: F.lit(None).cast(kind)
     answers = coded.select(F.col("block").alias("b"), "owner", "ends", "ids", "used", none(pieces.schema["pieces"].dataType).alias("pieces"))
     answers = answers.union(pieces.select("b", none("int"), none("binary"), none("binary"), none("array<int>"), "pieces"))

@@ -350,7 +350,8 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     may = info.where(f"n > 0 AND 100 * shared >= {percent} * n")
     classes = written(may.groupBy("n", "a", "b").agg(F.min("i").alias("rep")), "classes")  # a table, so that a hot class can be split
     same = may.join(classes, ["n", "a", "b"]).where("i <> rep").select(F.col("rep").alias("x"), F.col("i").alias("y"))
-    reps = named.join(classes.select(F.col("rep").alias("i")).distinct(), "i", "left_semi").dropDuplicates(["i", "x"])
+    chosen = classes.select(F.col("rep").alias("i")).distinct().hint("merge")  # grows with the input: never a broadcast
+    reps = named.join(chosen, "i", "left_semi").dropDuplicates(["i", "x"])
     pieces = written(reps.mapInArrow(_pieces(4 * parts, width, True), _PIECES), "representatives")
     ordered = by_batch(pieces.where("bucket < 0").union(answered(pieces.where("bucket >= 0"), True))).mapInArrow(_ordered_sets(percent), "i long, n long, keys binary, df binary, prefix array<long>, low long")
     ordered = written(ordered, "ordered")
