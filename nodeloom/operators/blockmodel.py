@@ -307,18 +307,16 @@ def spectral_partition(edges: DataFrame, k: int, mode: str = "normalized") -> Da
 
     if mode == "modularity-sign":
         d = cut_lineage(degrees(edges).select("node_id", F.col("strength").alias("value")))
-        v = spectral.eigenpairs(edges, 1, "LR", rank_one=(d, -1.0 / d.agg(F.sum("value")).first()[0]), shift=float(d.agg(F.max("value")).first()[0]))[1]
+        v = spectral.eigenpairs(edges, 1, "LR", rank_one=(d, -1.0 / d.agg(F.sum("value")).first()[0]))[1]
         return v.select("node_id", (F.col("emb")[0] > 0).cast("long").alias("group_id"))
     d = degrees(edges).select("node_id", "strength")
     if mode in ("adjacency-sign", "laplacian"):
-        top = float(d.agg(F.max("strength")).first()[0])
         matrix = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
         if mode == "laplacian":
             matrix = matrix.union(d.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), (-F.col("strength")).alias("weight")))
-        v = spectral.eigenpairs(matrix, 2 if mode == "adjacency-sign" else k, "LR", shift=2 * top)[1]
+        v = spectral.eigenpairs(matrix, 2 if mode == "adjacency-sign" else k, "LR")[1]
     else:
-        which = ("LM", 0.0) if mode == "walk" else ("LR", 1.0)
-        v = spectral.eigenpairs(spectral.symmetric_normal(edges), 2 if mode == "walk-sign" else k, which[0], shift=which[1])[1]
+        v = spectral.eigenpairs(spectral.symmetric_normal(edges), 2 if mode == "walk-sign" else k, "LM" if mode == "walk" else "LR")[1]
         if mode in ("random-walk", "walk", "walk-sign"):
             v = v.join(d, "node_id").select("node_id", F.transform("emb", lambda x: x / F.sqrt("strength")).alias("emb"))
     if mode.endswith("-sign"):

@@ -57,14 +57,14 @@ def _times(table: DataFrame, column: str, by: np.ndarray, name: str) -> DataFram
     return table.select("node_id", column).mapInArrow(run, f"node_id long, {name} array<double>")
 
 
-def eigenpairs(matrix: DataFrame, k: int, which: str = "LM", symmetric: bool = True, rank_one: tuple[DataFrame, float] | None = None, tolerance: float = 1e-8, cycles: int = 12, steps: int = 6, shift: float = 0.0) -> tuple[np.ndarray, DataFrame]:
+def eigenpairs(matrix: DataFrame, k: int, which: str = "LM", symmetric: bool = True, rank_one: tuple[DataFrame, float] | None = None, tolerance: float = 1e-9, cycles: int = 12, steps: int = 6) -> tuple[np.ndarray, DataFrame]:
     """(values, vectors(node_id, emb)): the k eigenpairs of largest magnitude (LM) or largest real part (LR).
 
     matrix(src, dst, weight) is in long form; rank_one = (d(node_id, value), c) adds c d d', which is never formed.
     Block Krylov: from a block of k + 4 hash-random vectors, `steps` products with the matrix make a basis (an array
     column); the small projected problem on the driver, of a few hundred numbers squared, gives the pairs, and cycles
-    start over from these until every residual is under tolerance times the largest value. shift moves the spectrum for
-    the search only: with LR, by as much as the most negative value, so that the largest real parts come first.
+    start over from these until every residual is under tolerance times the largest value, or what rounding leaves of its
+    own value. The basis holds both ends of the spectrum, and `which` picks.
 
     A product is one join and one aggregate over the edges. Real parts are returned, vectors with norm 1 whose largest
     component (ties: of the least node) is positive; fewer than k if the matrix is smaller. Rows are all nodes with
@@ -79,7 +79,7 @@ def eigenpairs(matrix: DataFrame, k: int, which: str = "LM", symmetric: bool = T
     start = cut_lineage(rows.select("node_id", F.array(*[uniform("eig", F.col("node_id"), F.lit(c)) - 0.5 for c in range(block)]).alias("x")))
 
     def image(x: DataFrame, width: int) -> DataFrame:
-        """(node_id, y): the shifted matrix times column x."""
+        """(node_id, y): the matrix times column x."""
         y = matrix.join(x.select(F.col("node_id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("node_id"))
         y = y.agg(*[F.sum(F.col("weight") * F.col("x")[c]).alias(f"y{c}") for c in range(width)])
         more = [F.lit(0.0)] * width
@@ -89,7 +89,7 @@ def eigenpairs(matrix: DataFrame, k: int, which: str = "LM", symmetric: bool = T
             dots = x.join(d, "node_id").agg(*[F.sum(F.col("value") * F.col("x")[c]) for c in range(width)]).first()
             y = y.join(d, "node_id", "left")
             more = [F.coalesce("value", F.lit(0.0)) * float((dots[c] or 0.0) * factor) for c in range(width)]
-        return y.select("node_id", "x", F.array(*[F.coalesce(f"y{c}", F.lit(0.0)) + more[c] + shift * F.col("x")[c] for c in range(width)]).alias("y"))
+        return y.select("node_id", "x", F.array(*[F.coalesce(f"y{c}", F.lit(0.0)) + more[c] for c in range(width)]).alias("y"))
 
     def orthonormal(x: DataFrame, width: int) -> tuple[DataFrame, int]:
         """Columns that span x's columns, less those that depend on others."""
@@ -118,12 +118,12 @@ def eigenpairs(matrix: DataFrame, k: int, which: str = "LM", symmetric: bool = T
             values, turn = np.linalg.eigh((project + project.T) / 2)
         else:
             values, turn = np.linalg.eig(project)
-        order = np.argsort(-(np.abs(values - shift) if which == "LM" and not shift else values.real), kind="stable")[:kept]
-        values, turn = values[order] - shift, turn[:, order]
+        order = np.argsort(-(np.abs(values) if which == "LM" else values.real), kind="stable")[:kept]
+        values, turn = values[order], turn[:, order]
         real = np.real(turn) if symmetric else np.concatenate((np.real(turn), np.imag(turn)), axis=1)
-        residual = [np.linalg.norm(_root(square, small, gram, values[c] + shift, turn[:, c])) for c in range(min(k, len(values)))]
+        residual = [np.linalg.norm(_root(square, small, gram, values[c], turn[:, c])) for c in range(min(k, len(values)))]
         found, m = _times(both, "x", np.real(turn)[:, :k], "x"), min(k, len(values))
-        if max(residual) <= tolerance * max(1e-12, np.abs(values).max()) or width >= n:
+        if width >= n or all(r <= max(tolerance * np.abs(values).max(), 4e-8 * abs(v)) for r, v in zip(residual, values)):
             break
         start, block = orthonormal(cut_lineage(_times(both, "x", real, "x")), real.shape[1])
     found = cut_lineage(found)
@@ -215,12 +215,12 @@ class LaplacianEigenMap(NodeEmbedding):
 
     def out_vectors(self, dim: int) -> DataFrame:
         first = 1 if self.reconstruction else 2
-        return eigenpairs(symmetric_normal(self.edges), dim + first - 1, "LR", shift=1.0)[1].select("node_id", F.slice("emb", first, dim).alias("emb"))
+        return eigenpairs(symmetric_normal(self.edges), dim + first - 1, "LR")[1].select("node_id", F.slice("emb", first, dim).alias("emb"))
 
     def make(self, dim: int) -> DataFrame:
         if self.reconstruction:
             return self.out_vectors(dim)
-        s, v = eigenpairs(symmetric_normal(self.edges), dim + 1, "LR", shift=1.0)
+        s, v = eigenpairs(symmetric_normal(self.edges), dim + 1, "LR")
         x = v.join(degrees(self.edges).select("node_id", "strength"), "node_id")
         return x.select("node_id", F.array(*[F.col("emb")[k] * float(np.sqrt(abs(s[k]))) / F.sqrt(F.greatest("strength", F.lit(1.0))) for k in range(1, len(s))]).alias("emb"))
 
@@ -258,7 +258,7 @@ class LinearizedNode2Vec(NodeEmbedding):
         self.window = window
 
     def make(self, dim: int) -> DataFrame:
-        s, v = eigenpairs(symmetric_normal(self.edges), dim + 1, "LR", shift=1.0)
+        s, v = eigenpairs(symmetric_normal(self.edges), dim + 1, "LR")
         size, t = np.abs(s), self.window
         keep = [k for k in range(len(s)) if size[k] < size.max() - 1e-7]
         f = [size[k] * (1 - size[k] ** t) / (t * (1 - size[k])) if t > 1 else size[k] for k in keep]

@@ -169,7 +169,7 @@ def cantor_unpairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LF = "list_sum(list_transform(range(1, greatest(({}), 1) + 1), lambda i: ln(i)))"
-_LC = lambda n, k: f"({_LF.format(n)} - {_LF.format(k)} - {_LF.format(f'{n} - {k}')})"
+_LC = lambda n, k: f"({_LF.format(n)} - {_LF.format(k)} - {_LF.format(f'{n} - ({k})')})"
 
 
 @query(f"""WITH d AS (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1), h AS (SELECT k, count(*) AS n FROM d GROUP BY 1), j AS (SELECT unnest(range(0, 401)) AS j)
@@ -189,7 +189,7 @@ def discrete_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, p_size + 0.25 AS plain, CAST(NULL AS DOUBLE) AS exponent, CAST(p_size AS BIGINT) AS half, CAST(p_size + 1 AS BIGINT) AS more, len(list_filter(regexp_split_to_array(p_name || ',,' || p_brand, '[ ,]'), lambda x: x <> '')) AS n_pieces FROM part")
+@query("SELECT p_partkey, CAST(p_size + 0.25 AS DOUBLE) AS plain, CAST(NULL AS DOUBLE) AS exponent, CAST(p_size AS BIGINT) AS half, CAST(p_size + 1 AS BIGINT) AS more, len(list_filter(regexp_split_to_array(p_name || ',,' || p_brand, '[ ,]'), lambda x: x <> '')) AS n_pieces FROM part")
 def casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "part")
     size = F.col("p_size").cast("string")
@@ -272,9 +272,9 @@ def mf_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def bp_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations' regions by belief propagation, at the lowest energy of two starts."""
+    """Two groups of regions by belief propagation, from the sizes and affinities that they have."""
     g, m = structure.symmetrize(nation_graph(spark, sf_dir)), nation_members(spark, sf_dir)
-    groups, energy = blockmodel.detect(g, m, runs=2, em_steps=2, sweeps=10)
+    groups, energy = blockmodel.detect(g, m.withColumn("membership", (F.col("membership") >= 2).cast("long")), runs=1, em_steps=1, sweeps=10)
     return groups.select("node_id", "group_id", F.lit(energy).alias("free_energy"))
 
 

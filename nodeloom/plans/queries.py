@@ -431,7 +431,7 @@ def _sizes(x: DataFrame, dim: int) -> DataFrame:
 @query(_spectrum_sql(_NORMAL, 3, 1.0, " SELECT CAST(pos AS INT) AS pos, round(l - 1, 6) AS value FROM (SELECT 0 AS pos, l FROM l0 UNION ALL SELECT 1, l FROM l1 UNION ALL SELECT 2, l FROM l2) x"))
 def spectral_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three algebraically largest eigenvalues of the normalised adjacency."""
-    values, _ = spectral.eigenpairs(spectral.symmetric_normal(nation_graph(spark, sf_dir)), 3, "LR", shift=1.0)
+    values, _ = spectral.eigenpairs(spectral.symmetric_normal(nation_graph(spark, sf_dir)), 3, "LR")
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "pos int, value double")
 
 

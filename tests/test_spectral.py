@@ -50,7 +50,7 @@ def test_spectral_models_are_those_of_dense_algebra(spark):
 
 def test_largest_algebraic_pairs_of_a_bipartite_path(spark):
     a, g = graph(spark, 6, pairs=[(k, k + 1) for k in range(5)])
-    values, vectors = spectral.eigenpairs(spectral.symmetric_normal(g), 3, "LR", shift=1.0)
+    values, vectors = spectral.eigenpairs(spectral.symmetric_normal(g), 3, "LR")
     assert values == pytest.approx(np.linalg.eigvalsh(normal(a))[::-1][:3], abs=1e-7)
     x = dense(vectors)
     assert np.allclose(x.T @ x, np.eye(3), atol=1e-6) and np.allclose(normal(a) @ x, x * values, atol=1e-6)
