@@ -388,3 +388,12 @@ def test_pipeline_is_brute_force_with_null_and_repeated_ids(spark, tmp_path):
         want[left[k][0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += taken // size
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == +want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
