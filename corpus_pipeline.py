@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
+
+All stages decide by row: a null text is an empty text, rows with a null or a repeated doc_id are never joined with
+each other by that id, other columns are carried along, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
