@@ -397,3 +397,29 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_language_filter_is_counting_by_sets():
+    """Scores against exact sets of n-grams, counted one by one."""
+    rnd = random.Random(6)
+    parts = {"aa": ["ka", "lo", "mi", "Éa"], "bb": ["sch", "ü", "der"]}
+    text = lambda g, n: ", ".join("".join(rnd.choice(parts[g]) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    taught = {g: [text(g, 30) for _ in range(5)] for g in parts}
+
+    def grams(x):
+        x = "".join(c if c.isalpha() else " " for c in f" {x.lower()} ")
+        for n in (2, 3, 4):
+            for k in range(len(x) - n + 1):
+                g = x[k : k + n]
+                if (n == 2 and g != "  ") or (n > 2 and " " not in g[1:-1]):
+                    yield g
+
+    known = {g: {y for x in xs for y in grams(x)} for g, xs in taught.items()}
+    model = language_id.LanguageFilter(sorted(parts), {g: np.unique(np.concatenate([h for _, h in language_id.gram_hashes(xs)])) for g, xs in taught.items()})
+    asked = [text("aa", 12), text("bb", 12), "ka sch", "12 !?", "", text("aa", 3) + " " + text("bb", 9), text("bb", 200_000)]
+    names, score = model.predict(asked)
+    for x, name, got in zip(asked, names, score):
+        own = collections.Counter(grams(x))
+        total = sum(own.values())
+        share = {g: sum(n for y, n in own.items() if y in known[g]) / total for g in parts} if total else {}
+        assert name == ("und" if not total else max(sorted(share), key=share.get)) and abs(got - max(share.values(), default=0)) < 1e-3
