@@ -423,3 +423,16 @@ def test_language_filter_is_counting_by_sets():
         total = sum(own.values())
         share = {g: sum(n for y, n in own.items() if y in known[g]) / total for g in parts} if total else {}
         assert name == ("und" if not total else max(sorted(share), key=share.get)) and abs(got - max(share.values(), default=0)) < 1e-3
+
+
+@pytest.mark.parametrize("width, hashes", [(64, 1), (64, 2), (64, 3), (64, 4), (64, 5), (48, 3)])
+def test_probes_miss_no_close_pair(width, hashes):
+    """Recall of the shipped tables and probes at each number of hashes that row counts give, at the threshold itself."""
+    rng = np.random.default_rng(hashes)
+    a, n = rng.normal(size=(1500, width)), rng.normal(size=(1500, width))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    n -= (n * a).sum(1)[:, None] * a
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * n / np.linalg.norm(n, axis=1)[:, None]
+    x, y = (embedding_dedup.probe_codes(v, embedding_dedup.TABLES, hashes, embedding_dedup.PROBES, 7 + width) for v in (a, b))
+    met = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    assert met.mean() >= 0.999
