@@ -13,6 +13,9 @@ from nodeloom.functions.scalars import uniform
 from nodeloom.operators.structure import cut_lineage, degrees, walk_pmi
 
 
+SMALL = 64
+
+
 def symmetric_normal(edges: DataFrame) -> DataFrame:
     """D^-1/2 A D^-1/2 in long form."""
     d = degrees(edges).select("node_id", "strength")
@@ -74,7 +77,7 @@ def eigenpairs(matrix: DataFrame, k: int, which: str = "LM", symmetric: bool = T
     rows = cut_lineage(matrix.select(F.col("src").alias("node_id")).union(matrix.select(F.col("dst").alias("node_id"))).distinct())
     n = rows.count()
     k = min(k, n)
-    block = min(k + 4, n)
+    block = n if n <= SMALL else k + 4  # a block of all columns is the whole space
     steps = max(1, min(steps, -(-n // block)))
     start = cut_lineage(rows.select("node_id", F.array(*[uniform("eig", F.col("node_id"), F.lit(c)) - 0.5 for c in range(block)]).alias("x")))
 

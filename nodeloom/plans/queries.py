@@ -409,13 +409,13 @@ def deepwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spectrum_sql(matrix: str, k: int, shift: float, out: str) -> str:
-    """Leading eigenpairs v<j>(i, v), l<j>(l) of matrix m(i, j, w), by ten squarings of the deflated, shifted matrix each."""
+    """Leading eigenpairs v<j>(i, v), l<j>(l) of matrix m(i, j, w), by twenty squarings of the deflated, shifted matrix each."""
     s = f"WITH {GN}, dg AS (SELECT src AS i, sum(weight) AS d FROM g GROUP BY 1), m AS ({matrix}), ij AS (SELECT a.i AS i, b.i AS j FROM dg a, dg b), b0 AS (SELECT ij.i, ij.j, coalesce(w, 0) + CASE WHEN ij.i = ij.j THEN {shift} ELSE 0 END AS w FROM ij LEFT JOIN m ON m.i = ij.i AND m.j = ij.j)"
     for e in range(k):
         s += f", q{e}_0 AS MATERIALIZED (SELECT * FROM b{e})"
-        for r in range(10):
+        for r in range(20):
             s += f", p{e}_{r} AS MATERIALIZED (SELECT a.i, b.j, sum(a.w * b.w) AS w FROM q{e}_{r} a JOIN q{e}_{r} b ON a.j = b.i GROUP BY 1, 2), q{e}_{r + 1} AS MATERIALIZED (SELECT i, j, w / (SELECT sum(w) FROM p{e}_{r} WHERE i = j) AS w FROM p{e}_{r})"
-        s += f", c{e} AS (SELECT arg_max(i, w) AS c FROM q{e}_10 WHERE i = j), r{e} AS (SELECT i, w AS v FROM q{e}_10, c{e} WHERE j = c), n{e} AS (SELECT sqrt(sum(v * v)) AS n FROM r{e}), v{e} AS MATERIALIZED (SELECT i, v / n AS v FROM r{e}, n{e})"
+        s += f", c{e} AS (SELECT arg_max(i, w) AS c FROM q{e}_20 WHERE i = j), r{e} AS (SELECT i, w AS v FROM q{e}_20, c{e} WHERE j = c), n{e} AS (SELECT sqrt(sum(v * v)) AS n FROM r{e}), v{e} AS MATERIALIZED (SELECT i, v / n AS v FROM r{e}, n{e})"
         s += f", l{e} AS MATERIALIZED (SELECT sum(a.v * b{e}.w * c.v) AS l FROM v{e} a JOIN b{e} ON a.i = b{e}.i JOIN v{e} c ON c.i = b{e}.j), b{e + 1} AS MATERIALIZED (SELECT b{e}.i, b{e}.j, w - l * x.v * y.v AS w FROM b{e} JOIN v{e} x ON x.i = b{e}.i JOIN v{e} y ON y.i = b{e}.j, l{e})"
     return s + out
 
