@@ -26,7 +26,7 @@ from nodeloom.llm._shared import n_partitions, written
 
 #: The byte-level pre-tokenizer's pattern (fixed value), white space spelled out as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 PAGE = 1024  # ids of one row of the piece table, where blocks join it
 
 
@@ -260,7 +260,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     still is that token); ids_sha256 is over little-endian unsigned 32-bit ids, decoded_sha256 over the UTF-8 of
     the decoded text.
 
-    Texts don't move. A block is what one task reads, up to about 16 MB of text; its distinct words, packed, and the
+    Texts don't move. A block is what one task reads, up to about 32 MB of text; its distinct words, packed, and the
     numbers in place of its words go through one exchange, which both the encoding and the assembly read. No key is hot:
     words are dealt by their hash after a block has made them distinct, and blocks, which are alike in size, by theirs,
     over so many partitions that few meet. The id-to-piece table is of the vocabulary's size and broadcast; a block joins

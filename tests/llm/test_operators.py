@@ -172,7 +172,7 @@ def test_bpe_of_very_long_and_nameless_texts(spark):
 
     path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(1)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9))) for _ in range(5000)]
-    long = " ".join(rnd.choices(words, k=3_500_000))
+    long = " ".join(rnd.choices(words, k=7_000_000))
     rows = [(1, long), (None, "same size"), (None, "size same"), (None, None), (2, "x" * 300)]
     assert len(long) > bpe.BLOCK_BYTES
     t = Tokenizer.from_file(path)
