@@ -43,7 +43,7 @@ class DeepWalk(WalkEmbedding):
         return trainer.fit(words).getVectors().select(F.col("word").cast("long").alias("node_id"), vector_to_array("vector").alias("emb"))
 
 
-def negative_sampling(pairs: DataFrame, dim: int, negatives: int = 5, epochs: int = 15, rate: float = 1.0) -> DataFrame:
+def negative_sampling(pairs: DataFrame, dim: int, negatives: int = 5, epochs: int = 15, rate: float = 0.5) -> DataFrame:
     """(node_id, emb, out): skip-gram vectors of pairs(center, context, n) with negative sampling.
 
     An epoch is one step down the whole objective: each pair pulls its vectors together, and `negatives` nodes, drawn
