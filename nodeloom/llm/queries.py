@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.llm import _shared
+from nodeloom.llm.quality_rules import STOP_WORDS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +84,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.llm.merkle import merkle_manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle_manifest(table(spark, sf_dir, "documents"), altered={"n_chars": F.col("n_chars") + 1}, where=tampered)
+    return found.drop("way")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).drop("broken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_language_id, op7_html_extract, op8_source_mixing, op9_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_language_id, op7_html_extract, op8_source_mixing, op9_bpe, op10_warc, op11_merkle_manifest, op13_quality_rules)}
+
+
+#: Of the SQL: the field of a leaf, and the CRC-32 of a string of decimal digits (bits shifted out one by one).
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -126,6 +151,49 @@ ranked AS (
     CAST('0x' || substr(md5('mix|' || coalesce(base.s, chr(0))), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
   FROM base JOIN goal g ON base.s IS NOT DISTINCT FROM g.s)
 SELECT i AS doc_id, size, source_size, target, CAST((floor(rate * pos + u) - floor(rate * (pos - 1) + u)) * size AS BIGINT) AS taken FROM ranked""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS altered FROM documents),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(t, level, idx, n, h) AS (
+  SELECT t, 0, idx, n, leaf FROM placed
+  UNION ALL SELECT t, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY t, level, idx // 2, n),
+subs AS (SELECT t, level AS depth, h AS subroot FROM nodes WHERE n = 1),
+tops(level, idx, n, h) AS (
+  SELECT 0, t, (SELECT count(*) FROM subs), subroot FROM subs
+  UNION ALL SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 2, n),
+walk(d, t, idx, level, up, own, changed, proof) AS (
+  SELECT row_number() OVER () , t, idx, 0, false, leaf, altered, '' FROM placed
+  UNION ALL
+  SELECT w.d, w.t, CASE WHEN leaves_tree THEN w.t ELSE w.idx // 2 END, CASE WHEN leaves_tree THEN 0 ELSE w.level + 1 END, w.up OR leaves_tree,
+    CASE WHEN leaves_tree THEN own WHEN h IS NULL THEN sha256(own) WHEN w.idx % 2 = 0 THEN sha256(own || h) ELSE sha256(h || own) END,
+    CASE WHEN leaves_tree THEN changed WHEN h IS NULL THEN sha256(changed) WHEN w.idx % 2 = 0 THEN sha256(changed || h) ELSE sha256(h || changed) END,
+    proof || CASE WHEN leaves_tree THEN '' ELSE coalesce(h, '') END
+  FROM (
+    SELECT w.*, NOT w.up AND w.level = (SELECT depth FROM subs WHERE subs.t = w.t) AS leaves_tree, x.h
+    FROM walk w LEFT JOIN (SELECT false AS up, t, level, idx, h FROM nodes UNION ALL SELECT true, NULL, level, idx, h FROM tops) x
+      ON x.up = w.up AND (w.up OR x.t = w.t) AND x.level = w.level AND x.idx = xor(w.idx, 1)
+    WHERE NOT (w.up AND w.level = (SELECT max(level) FROM tops))) w),
+ends AS (SELECT t, own, changed, proof, row_number() OVER (PARTITION BY d ORDER BY up DESC, level DESC) AS r, d FROM walk)
+SELECT p.doc_id, p.leaf, s.subroot, e.own AS root, sha256(e.proof) AS proof_sha256, e.changed AS folded_root, e.changed = e.own AS verified
+FROM ends e JOIN (SELECT *, row_number() OVER () AS d FROM placed) p USING (d) JOIN subs s ON s.t = p.t WHERE e.r = 1""",
+    "op13_quality_rules": r"""
+WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, row_number() OVER () AS r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [l FOR l IN string_split(t, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM x),
+spots AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS k FROM w),
+win AS (SELECT r, k, count(*) OVER (PARTITION BY r, ws[k], ws[k + 1], ws[k + 2]) AS c FROM spots),
+hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, k + d AS k FROM win, (SELECT unnest([0, 1, 2]) AS d) WHERE c > 1) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len([v FOR v IN ws IF lower(v) IN (STOPS)]) AS n_stop_words
+  FROM w LEFT JOIN hit USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars >= 3 * n_words AND word_chars <= 10 * n_words AND 10 * n_symbols <= n_words AND 50 * n_stop_words >= n_words
+    AND 2 * n_dup_lines <= n_lines AND 2 * n_words >= 3 * n_lines AS kept FROM b""".replace("STOPS", ", ".join(sorted({f"'{w}'" for ws in STOP_WORDS.values() for w in ws}))),
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
 g AS (SELECT x, min(page_id) AS first FROM p GROUP BY x),
