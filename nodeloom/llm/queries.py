@@ -182,9 +182,10 @@ FROM ends e JOIN (SELECT *, row_number() OVER () AS d FROM placed) p USING (d) J
     "op13_quality_rules": r"""
 WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, row_number() OVER () AS r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [l FOR l IN string_split(t, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM x),
-spots AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS k FROM w),
-win AS (SELECT r, k, count(*) OVER (PARTITION BY r, ws[k], ws[k + 1], ws[k + 2]) AS c FROM spots),
-hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, k + d AS k FROM win, (SELECT unnest([0, 1, 2]) AS d) WHERE c > 1) GROUP BY r),
+spots AS (SELECT r, unnest(ws) AS a, generate_subscripts(ws, 1) AS k FROM w),
+tri AS (SELECT r, k, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM spots WINDOW o AS (PARTITION BY r ORDER BY k)),
+win AS (SELECT r, k, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM tri WHERE c IS NOT NULL),
+hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, k + d AS k FROM win, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1) GROUP BY r),
 m AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
