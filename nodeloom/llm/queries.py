@@ -92,6 +92,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("way")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nodeloom.llm.lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nodeloom.llm.quality_rules import quality_rules
 
@@ -99,7 +105,7 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_language_id, op7_html_extract, op8_source_mixing, op9_bpe, op10_warc, op11_merkle_manifest, op13_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_embedding_dedup, op3_ngram_join, op4_license_scan, op5_exact_dedup, op6_language_id, op7_html_extract, op8_source_mixing, op9_bpe, op10_warc, op11_merkle_manifest, op12_lexical_search, op13_quality_rules)}
 
 
 #: Of the SQL: the field of a leaf, and the CRC-32 of a string of decimal digits (bits shifted out one by one).
@@ -179,6 +185,17 @@ walk(d, t, idx, level, up, own, changed, proof) AS (
 ends AS (SELECT t, own, changed, proof, row_number() OVER (PARTITION BY d ORDER BY up DESC, level DESC) AS r, d FROM walk)
 SELECT p.doc_id, p.leaf, s.subroot, e.own AS root, sha256(e.proof) AS proof_sha256, e.changed AS folded_root, e.changed = e.own AS verified
 FROM ends e JOIN (SELECT *, row_number() OVER () AS d FROM placed) p USING (d) JOIN subs s ON s.t = p.t WHERE e.r = 1""",
+    "op12_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT i, item_id, unnest(ws) AS t FROM i) GROUP BY ALL),
+size AS (SELECT count(*) AS nn, CAST(sum(len(ws)) AS BIGINT) AS ll FROM d WHERE len(ws) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, size GROUP BY t, nn),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws) * nn) // ll AS m FROM d, size),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 20""",
     "op13_quality_rules": r"""
 WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, row_number() OVER () AS r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [l FOR l IN string_split(t, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM x),
