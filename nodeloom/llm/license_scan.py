@@ -100,17 +100,15 @@ class Scanner:
     def hits(self, text: str) -> list[int]:
         out = []
         for sentence in _HARD.split(_START.sub("\n", text.lower())):
-            lines = _SOFT.split(sentence)
-            for at, line in enumerate(lines):
-                first = _WORD.search(line)
-                most = self.longest.get(first[0], 0) if first else 0
+            lines = [(first[0], line) for line in _SOFT.split(sentence) if (first := _WORD.search(line))]
+            for at, (first, _) in enumerate(lines):
+                most = self.longest.get(first, 0)
                 words: list[str] = []
-                for more in lines[at:] if most else ():
-                    new = _WORD.findall(more)
-                    words += new
+                for k in range(at, len(lines) if most else 0):  # each line adds a word at least, so at most `most` of them
+                    words += _WORD.findall(lines[k][1])
                     if len(words) > most:
                         break
-                    if new and (found := self.ids.get(" ".join(words))) is not None:
+                    if (found := self.ids.get(" ".join(words))) is not None:
                         out.append(found)
         return out
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -436,3 +437,34 @@ def test_probes_miss_no_close_pair(width, hashes):
     x, y = (embedding_dedup.probe_codes(v, embedding_dedup.TABLES, hashes, embedding_dedup.PROBES, 7 + width) for v in (a, b))
     met = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
     assert met.mean() >= 0.999
+
+
+def test_license_scan_is_linear_in_lines():
+    scanner = license_scan.Scanner(license_scan.RULES + license_scan.COMMON)
+    start = scanner.longest and next(w for w, n in scanner.longest.items() if n > 5)
+    took = []
+    for n in (50_000, 400_000):
+        began = time.perf_counter()
+        assert scanner.hits(f"{start} of a log\n--\n" * n) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_license_scan_of_an_empty_table(spark):
+    assert license_scan.license_scan(frame(spark, [])).count() == 0
+
+
+def test_licenses_expected_by_hand(spark):
+    mit = """
+    /* Permission is hereby granted, free of charge, to any person obtaining a copy
+     * of this software and associated documentation files (the "Software"), to deal
+     * in the Software without restriction, including without limitation the rights
+     * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+     * copies of the Software, and to permit persons to whom the Software is
+     * furnished to do so, subject to the following conditions:
+     *
+     * The above copyright notice and this permission notice shall be included in
+     * all copies or substantial portions of the Software. */"""
+    texts = [mit, mit.replace("hereby", "gladly"), "prose " * 300_000 + "\n" + mit]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert "MIT" in got[0] and got[1] == "" and got[2] == got[0]
