@@ -6,6 +6,7 @@ each other by that id, other columns are carried along, and an empty table stays
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,18 @@ LEAST_SCORE = 0.2
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of each row, and _order: by doc_id (null first), then md5 of the text, then a hash of
-    the other columns; _row only decides between rows that are alike. A table, so that the numbers hold."""
-    rows = _shared.written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return rows.withColumn("_order", F.struct("doc_id", F.md5("text").alias("text"), F.xxhash64(*docs.columns).alias("rest"), "_row"))
+    """row (all columns of docs as one struct, so that no name of theirs meets one of ours), text, doc_id; number, of each row,
+    and order: by doc_id (null first), then md5 of the text, then the number.
+
+    Rows of files, which stages get, are numbered as they are read: task and place in it, the same in every job over the
+    same files. What does not come from files is made a table first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = _shared.written(docs, "rows")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("number"))
+    return rows.withColumn("order", F.struct("doc_id", F.md5("text").alias("text"), "number"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +45,13 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts stays, that with the smallest doc_id.
 
     A null doc_id counts as larger than any other. Rows with different texts are never in one set, also if they share
-    a doc_id or have none; of rows with equal texts and equal doc_ids the least by all columns stays.
+    a doc_id or have none; of rows with equal texts and equal doc_ids the first as they lie stays. What decides are
+    ids, digests and row numbers: texts stay where they are.
     """
-    key = lambda digest: F.concat(digest, F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-")))
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(key(F.col("text_sha256")).alias("_key")).distinct()
-    rows = docs.withColumn("_key", key(F.sha2(exact_dedup.normalised(F.col("text")), 256))).join(kept, "_key", "left_semi")
-    return rows.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    rows = _numbered(docs)
+    groups = exact_dedup.exact_dedup(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number").alias("doc_id"), "text"))
+    kept = groups.where("kept").select(F.col("doc_id.number").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +61,10 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are told apart, and linked by their texts only; of several with the smallest doc_id, that with the least md5 of its text stays.
     """
     rows = _numbered(docs)
-    found = ngram_join.ngram_components(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "_order").alias("o"))
-    kept = found.join(order, "_row").groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._order._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    found = ngram_join.ngram_components(rows.select("number", "text"), doc_id="number").select(F.col("doc_id").alias("number"), "component_id")
+    order = rows.select("number", F.struct(F.col("doc_id").isNull().alias("none"), "order").alias("o"))
+    kept = found.join(order, "number").groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.order.number").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +74,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that share a doc_id are ranked one after the other.
     """
     rows = _numbered(docs)
-    taken = mixing.copies_of(rows, doc_id="_order").where("copies > 0").select(F.col("doc_id._row").alias("_row"), "copies")
-    mixed = rows.join(taken, "_row")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    taken = mixing.copies_of(rows.select("order", "text", "row.source"), doc_id="order").where("copies > 0").select(F.col("doc_id.number").alias("number"), "copies")
+    mixed = rows.join(taken, "number")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
