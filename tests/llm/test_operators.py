@@ -329,14 +329,22 @@ def test_license_scan_of_wrapped_and_embedded_texts(spark):
     assert license_scan.license_scan(frame(spark, [(1, gpl)])).first()[1:] == (2, 1, "gpl")
 
 
-def test_pipeline_stages_keep_their_columns(spark, tmp_path):
+@pytest.mark.parametrize("stored", [False, True])
+def test_pipeline_stages_keep_columns_of_any_name_and_type(spark, tmp_path, stored):
     import corpus_pipeline
 
-    rows = [(i, t, "en", "s0", 1) for i, t in corpus()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    extra = ["_row", "_order", "_key", "row", "order", "number", "key", "copies", "_metadata"]
+    rows = [(i, t, "en", "s0", 1, *[f"{c}{k}" for c in extra], {"k": k}) for k, (i, t) in enumerate(corpus())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra) + ", m map<string,int>")
+    given = {tuple(r[:-1]) + (r[-1]["k"],) for r in rows}
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        if stored:
+            docs.write.parquet(str(tmp_path / str(n)))
+            docs = spark.read.parquet(str(tmp_path / str(n)))
         docs = stage(spark, docs, "")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra, "m"]
+        found = [tuple(r)[:-1] + (r["m"]["k"],) for r in docs.collect()]
+        assert found and set(found) <= given
 
 
 def test_pipeline_is_brute_force_with_null_and_repeated_ids(spark, tmp_path):
