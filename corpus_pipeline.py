@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from nodeloom.llm import _shared, bpe, exact_dedup, language_id, mixing, ngram_join
 
+#: Rows of a table of decisions (numbers of rows, 16 bytes each) up to which it is broadcast; larger ones are joined by exchange.
+BROADCAST_ROWS = 1_000_000
+
 #: A document whose letter n-grams are this little like any language is not text.
 LEAST_SCORE = 0.2
 
@@ -31,6 +34,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return rows.withColumn("order", F.struct("doc_id", F.md5("text").alias("text"), "number"))
 
 
+def _decided(rows: DataFrame) -> DataFrame:
+    """Decisions by row number, as a table; marked for broadcast if they are few, so that texts stay where they lie."""
+    rows = _shared.written(rows, "decided")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no known language, go; the others stay as they are.
 
@@ -51,7 +60,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
     groups = exact_dedup.exact_dedup(rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number").alias("doc_id"), "text"))
     kept = groups.where("kept").select(F.col("doc_id.number").alias("number"))
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    return rows.join(_decided(kept), "number", "left_semi").select("row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +73,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_components(rows.select("number", "text"), doc_id="number").select(F.col("doc_id").alias("number"), "component_id")
     order = rows.select("number", F.struct(F.col("doc_id").isNull().alias("none"), "order").alias("o"))
     kept = found.join(order, "number").groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.order.number").alias("number"))
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    return rows.join(_decided(kept), "number", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _numbered(docs)
     taken = mixing.copies_of(rows.select("order", "text", "row.source"), doc_id="order").where("copies > 0").select(F.col("doc_id.number").alias("number"), "copies")
-    mixed = rows.join(taken, "number")
+    mixed = rows.join(_decided(taken), "number")
     return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
