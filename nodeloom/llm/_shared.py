@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,20 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tup
         yield key, cols
 
 
+def trimmed(task):
+    """task (batches -> batches), which at its end gives memory that it no longer uses back to the machine: the worker
+    stays for the next task, and what the allocators keep would count for as long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of the undirected edges (a, b) as (node, component_id), the smallest id reachable."""
     return structure.components(edges, a, b).toDF("node", "component_id")

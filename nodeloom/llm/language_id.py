@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeloom.llm._shared import trimmed
 from nodeloom.llm._shingles import mix
 
 ORDERS = (2, 3, 4)
@@ -146,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageFilter, doc_id: str = "doc_id", tex
             names, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return given.mapInArrow(run, f"doc_id {given.schema['i'].dataType.simpleString()}, lang_pred string, score double")
+    return given.mapInArrow(trimmed(run), f"doc_id {given.schema['i'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

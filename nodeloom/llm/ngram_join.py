@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm._shared import components, groups, n_partitions, written
+from nodeloom.llm._shared import components, groups, n_partitions, trimmed, written
 from nodeloom.llm._shingles import mix, shingle_sets
 from nodeloom.operators.structure import ranked
 
@@ -340,20 +340,20 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     named = base.where("i IS NOT NULL")
 
     def answered(asked: DataFrame, full: bool) -> DataFrame:
-        return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequencies(full), _PIECES)
+        return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_frequencies(full)), _PIECES)
 
     def by_batch(rows: DataFrame) -> DataFrame:
         return rows.select("batch", "bucket", "keys", "docs", "counts", "meta").repartition(parts, "batch").sortWithinPartitions("batch", "bucket")
 
-    counted = by_batch(answered(named.mapInArrow(_pieces(4 * parts, width, False), _PIECES), False))
-    info = written(counted.mapInArrow(_shared_counts, "i long, n long, a long, b long, shared long"), "sets")
+    counted = by_batch(answered(named.mapInArrow(trimmed(_pieces(4 * parts, width, False)), _PIECES), False))
+    info = written(counted.mapInArrow(trimmed(_shared_counts), "i long, n long, a long, b long, shared long"), "sets")
     may = info.where(f"n > 0 AND 100 * shared >= {percent} * n")
     classes = written(may.groupBy("n", "a", "b").agg(F.min("i").alias("rep")), "classes")  # a table, so that a hot class can be split
     same = may.join(classes, ["n", "a", "b"]).where("i <> rep").select(F.col("rep").alias("x"), F.col("i").alias("y"))
     chosen = classes.select(F.col("rep").alias("i")).distinct().hint("merge")  # grows with the input: never a broadcast
     reps = named.join(chosen, "i", "left_semi").dropDuplicates(["i", "x"])
-    pieces = written(reps.mapInArrow(_pieces(4 * parts, width, True), _PIECES), "representatives")
-    ordered = by_batch(pieces.where("bucket < 0").union(answered(pieces.where("bucket >= 0"), True))).mapInArrow(_ordered_sets(percent), "i long, n long, keys binary, df binary, prefix array<long>, low long")
+    pieces = written(reps.mapInArrow(trimmed(_pieces(4 * parts, width, True)), _PIECES), "representatives")
+    ordered = by_batch(pieces.where("bucket < 0").union(answered(pieces.where("bucket >= 0"), True))).mapInArrow(trimmed(_ordered_sets(percent)), "i long, n long, keys binary, df binary, prefix array<long>, low long")
     ordered = written(ordered, "ordered")
 
     posts = ordered.select("i", F.explode("prefix").alias("e"))
@@ -366,7 +366,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if not large.isEmpty():
         placed = placed.union(_met_blocks(ordered, near.join(large, "cluster"), posts, block_sets, percent))
     placed = placed.repartition(parts, "cluster", "first", "second").sortWithinPartitions("cluster", "first", "second")
-    links = written(placed.mapInArrow(_join_blocks(percent), "x long, y long"), "links")
+    links = written(placed.mapInArrow(trimmed(_join_blocks(percent)), "x long, y long"), "links")
 
     found = components(links.union(same), "x", "y").withColumnRenamed("node", "i")
     out = info.join(found, "i", "left").select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
