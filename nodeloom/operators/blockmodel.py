@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.scalars import uniform
-from nodeloom.operators.structure import block_matrix, cut_lineage, degrees, ranked
+from nodeloom.operators.structure import block_matrix, colouring, cut_lineage, degrees, ranked
 
 
 def affinity_prior(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -137,6 +138,34 @@ def bp_sweep(messages: DataFrame, eta: list[float], cab: np.ndarray, n: int, fie
     return x.withColumn("cavity", without).select("src", "dst", F.zip_with(new, "psi", lambda a, b: damping * a + (1 - damping) * b).alias("psi"), *more)
 
 
+def message_classes(messages: DataFrame, colours: DataFrame) -> dict[int, DataFrame]:
+    """messages by the colour of their sender, each a table, with `to`, the colour of the receiver: colours(node_id, colour)
+    tells neighbours apart, so that nodes of one colour send at a time without hearing each other."""
+    at = messages.join(colours.select(F.col("node_id").alias("src"), F.col("colour").alias("own")), "src").join(colours.select(F.col("node_id").alias("dst"), F.col("colour").alias("to")), "dst")
+    at = cut_lineage(at)
+    found = sorted(r["own"] for r in at.select("own").distinct().collect())  # no more than a node has neighbours
+    return {c: cut_lineage(at.where(F.col("own") == c).drop("own")) for c in found}
+
+
+def bp_sweep_classes(classes: dict[int, DataFrame], eta: list[float], cab: np.ndarray, n: int, field: list[float], damping: float = 1.0, dc: int = 0) -> tuple[dict[int, DataFrame], float]:
+    """(classes, largest change) after one asynchronous sweep: one colour after the other sends anew, from what the
+    colours before it have just sent. Each message is written once a sweep."""
+    classes, change, more = dict(classes), 0.0, ["ds", "dd"] if dc else []
+    for c, own in classes.items():
+        heard = [m.where(F.col("to") == c) for k, m in classes.items() if k != c]
+        heard = reduce(DataFrame.union, heard)
+        at = node_marginals(heard, eta, cab, n, field, dc).select(F.col("node_id").alias("src"), "logs")
+        back = heard.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("psi").alias("back"))
+        x = own.join(back, ["src", "dst"]).join(at, "src")
+        without = F.array(*[F.col("logs")[s] - F.ln(F.greatest(sum(_pull(cab, n, dc, t, s) * F.col("back")[t] for t in range(len(eta))), F.lit(1e-50))) for s in range(len(eta))])
+        new = x.withColumn("cavity", without).withColumn("new", _normal(F.col("cavity"), len(eta)))
+        moved = F.array_max(F.zip_with("new", "psi", lambda a, b: F.abs(a - b)))
+        new = cut_lineage(new.select("src", "dst", F.zip_with("new", "psi", lambda a, b: damping * a + (1 - damping) * b).alias("psi"), *more, "to", moved.alias("moved")))
+        change = max(change, new.agg(F.max("moved")).first()[0] or 0.0)
+        classes[c] = new.drop("moved")
+    return classes, change
+
+
 def expected_sizes(marginals: DataFrame, q: int) -> tuple[list[float], list[float]]:
     """Expected group sizes, and the same weighted by the degree factors d where there are some."""
     d = F.col("d") if "d" in marginals.columns else F.lit(1.0)
@@ -174,12 +203,13 @@ def expected_affinity(messages: DataFrame, marginals: DataFrame, cab: np.ndarray
     return [v / n for v in plain], new
 
 
-def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, em_steps: int = 5, sweeps: int = 10, damping: float = 0.5, crit: float = 1e-3, learn_crit: float = 5e-8, learning_rate: float = 1.0, dc: int = 0, start: str = "random", members: DataFrame | None = None, strength: float = 1.0, restart: bool = False, learn_eta: bool = True, seed: str = "msg") -> tuple[DataFrame, float]:
+def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, em_steps: int = 5, sweeps: int = 10, damping: float = 0.5, crit: float = 1e-3, learn_crit: float = 5e-8, learning_rate: float = 1.0, dc: int = 0, start: str = "random", members: DataFrame | None = None, strength: float = 1.0, restart: bool = False, learn_eta: bool = True, seed: str = "msg", asynchronous: bool = False) -> tuple[DataFrame, float]:
     """((node_id, psi, group_id), free energy): sweeps until the largest change is under crit, inside EM steps.
 
     EM ends when the free energy moves by less than learn_crit, or is no number; where it moves by less than crit, crit
     is cut to a tenth. With restart, messages then start anew with the learned parameters and converge once more.
-    em_steps 1 is inference with given parameters. Messages are rows, cut from their lineage after each sweep; q and
+    em_steps 1 is inference with given parameters. asynchronous: colours of nodes send one after the other (see
+    `bp_sweep_classes`), which converges where all at once oscillate, also without damping. Messages are rows, cut from their lineage after each sweep; q and
     q*q numbers alone are on the driver.
     """
     n = max(nodes.count(), 1)
@@ -189,8 +219,19 @@ def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab:
     field = [float(sum(cab[t][s] * eta[t] for t in range(q)) * n) for s in range(q)]
     settled = lambda m, h: settled_field(field_free(m, eta, cab, n, dc), eta, cab, n, h)
 
+    colours = colouring(edges) if asynchronous else None
+
     def converged(messages: DataFrame, field: list[float], crit: float) -> tuple[DataFrame, list[float]]:
         field = settled(messages, field)
+        if asynchronous:
+            classes = message_classes(messages, colours)
+            for _ in range(sweeps if classes else 0):
+                classes, change = bp_sweep_classes(classes, eta, cab, n, field, damping, dc)
+                messages = reduce(DataFrame.union, classes.values()).drop("to")
+                field = settled(messages, field)
+                if change < crit:
+                    break
+            return messages, field
         for _ in range(sweeps):
             new = cut_lineage(bp_sweep(messages, eta, cab, n, field, damping, dc))
             old = messages.select("src", "dst", F.col("psi").alias("old"))

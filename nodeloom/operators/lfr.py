@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.scalars import power_law_least, uniform
-from nodeloom.operators.structure import cut_lineage, ranked
+from nodeloom.operators.structure import cut_lineage, degrees, mates, ranked
 
 
 @dataclass(frozen=True)
@@ -271,11 +271,84 @@ def wire_outside(stubs: DataFrame, members: DataFrame, p: Parameters, rounds: in
     return edges
 
 
+def mixing_needs(once: DataFrame, members: DataFrame, nodes: DataFrame, p: Parameters) -> DataFrame:
+    """(node_id, need): how many links to other communities a node must lose (bound `sup`: its mixing is at most p.mixing) or take
+    (`inf`: at least). Its last link a node keeps, and it has no more than one to each other node."""
+    both = once.union(once.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    inner = mates(both, members).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("inner"))
+    x = nodes.select("node_id").join(degrees(both).select("node_id", "degree"), "node_id").join(inner, "node_id", "left").na.fill(0, ["inner"])
+    share = max(1e-12, 1 - p.mixing)
+    if p.bound == "sup":
+        allowed = F.greatest(F.floor(F.col("inner") / share + 1e-9), F.lit(1))
+        need = F.col("degree") - allowed
+    else:
+        wanted = F.least(F.ceil(F.col("inner") / share - 1e-9), F.lit(p.n - 1))
+        need = wanted - F.col("degree")
+    return x.select("node_id", need.cast("long").alias("need")).where("need > 0")
+
+
+def repair_mixing(once: DataFrame, members: DataFrame, nodes: DataFrame, p: Parameters, rounds: int = 60, patience: int = 5) -> tuple[DataFrame, int]:
+    """(edges once each, exceptions): p.bound made to hold for every node, by links between communities that go or come.
+
+    sup: in a round each node with too many asks for as many of its links as must go, in one order of all links. A link goes
+    if both ends ask for it, or one does and the other needs all gone too few to mind; the first link of the order
+    between two that must lose is always granted, so rounds end. inf: places that nodes must take are paired with each
+    other in hash order; from the third round on they ask nodes drawn from all. exceptions counts the nodes for which the bound
+    does not hold at the end (none of their links may go, or no partner was found).
+    """
+    if p.bound is None:
+        return once, 0
+    once = cut_lineage(once)
+    if p.bound == "sup":
+        while True:
+            need = cut_lineage(mixing_needs(once, members, nodes, p))
+            outer = mates(once, members, same=False)
+            keyed = outer.withColumn("h", F.xxhash64(F.lit(p.seed), "src", "dst"))
+            ends = keyed.select("src", "dst", "h", F.col("src").alias("node_id")).union(keyed.select("src", "dst", "h", F.col("dst").alias("node_id")))
+            asked = ends.join(need, "node_id")
+            asked = asked.withColumn("k", F.row_number().over(Window.partitionBy("node_id").orderBy("h", "src", "dst"))).where("k <= need")
+            votes = asked.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("votes"))
+            must = need.select("node_id").withColumn("must", F.lit(1))
+            votes = votes.join(must.withColumnsRenamed({"node_id": "src", "must": "ma"}), "src", "left").join(must.withColumnsRenamed({"node_id": "dst", "must": "mb"}), "dst", "left")
+            gone = cut_lineage(votes.where("votes = 2 OR ma IS NULL OR mb IS NULL").select("src", "dst"))
+            if gone.isEmpty():
+                break
+            once = cut_lineage(once.join(gone, ["src", "dst"], "left_anti"))
+        share = max(1e-12, 1 - p.mixing)
+        both = once.union(once.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        inner = mates(both, members).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("inner"))
+        left = degrees(both).select("node_id", "degree").join(inner, "node_id", "left").na.fill(0, ["inner"]).where(F.col("inner") < F.col("degree") * share - 1e-9)
+        return once, left.count()
+    idle, last = 0, None
+    for r in range(rounds):
+        need = cut_lineage(mixing_needs(once, members, nodes, p))
+        total = need.agg(F.sum("need")).first()[0] or 0
+        if not total:
+            return once, 0
+        idle = idle + 1 if last is not None and total >= last else 0
+        if idle >= patience:
+            break
+        last = total
+        slots = need.select("node_id", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("slot")).withColumn("u", uniform(p.seed, "inf", F.lit(r), F.col("node_id"), F.col("slot")))
+        if r < 2:
+            order = cut_lineage(ranked(slots, ["u", "node_id", "slot"], "at"))
+            a, b = order.where("at % 2 = 0").select("node_id", (F.col("at") / 2).cast("long").alias("pair")), order.where("at % 2 = 1").select(F.col("node_id").alias("other"), ((F.col("at") - 1) / 2).cast("long").alias("pair"))
+            pairs = a.join(b, "pair")
+        else:
+            places = ranked(nodes.select(F.col("node_id").alias("other")), ["other"], "at")
+            pairs = slots.withColumn("at", F.floor(F.col("u") * p.n)).join(places, "at")
+        pairs = pairs.where("node_id <> other").select(F.least("node_id", "other").alias("src"), F.greatest("node_id", "other").alias("dst")).distinct()
+        fresh = mates(pairs, members, same=False).join(once, ["src", "dst"], "left_anti")
+        once = cut_lineage(once.union(fresh.select("src", "dst")))
+    return once, mixing_needs(once, members, nodes, p).count()
+
+
 def generate(spark: SparkSession, p: Parameters, rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """(edges, members): edges in both directions; members(node_id, membership), a row per membership.
 
     Degrees, mixing and community sizes are those asked for, but for what no simple graph can have: an internal degree
-    that no community is large enough for becomes external, and stubs that find no partner in `rounds` are left out.
+    that no community is large enough for becomes external, and stubs that find no partner in `rounds` are left out. With
+    p.bound, links between communities go or come until the mixing of each node keeps to it (see `repair_mixing`).
     """
     nodes = cut_lineage(degree_sequence(spark, p))
     placed = cut_lineage(even_communities(place_nodes(nodes, community_sizes(spark, p), p)))
@@ -287,7 +360,7 @@ def generate(spark: SparkSession, p: Parameters, rounds: int = 40) -> tuple[Data
         planned = placed.groupBy("node_id").agg(F.sum("internal").alias("internal"))
         stubs = nodes.join(planned, "node_id").select("node_id", F.greatest(F.col("degree") - F.col("internal"), F.lit(0)).alias("external"))
     outside = wire_outside(cut_lineage(stubs), members, p, rounds)
-    once = inside.union(outside)
+    once, _ = repair_mixing(inside.union(outside), members, nodes, p)
     return once.union(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), members
 
 

@@ -77,6 +77,35 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return now.select(F.col("u").alias("node_id"), F.col("v").alias("component")).union(roots)
 
 
+def colouring(edges: DataFrame, seed: str = "colour") -> DataFrame:
+    """(node_id, colour): no two neighbours have one colour; colours count from 0, at most one more than the largest degree.
+
+    In a round every node that precedes its uncoloured neighbours, by degree and hash, takes the least colour that none
+    of its neighbours has. Only edges between uncoloured nodes go on to the next round. A hub gathers its neighbours'
+    distinct colours, of which there are few, never its neighbours.
+    """
+    ends = cut_lineage(symmetrize(edges).where("src <> dst").select("src", "dst"))
+    rank = degrees(ends).select("node_id", F.struct(-F.col("degree"), F.xxhash64(F.lit(seed), "node_id"), F.col("node_id")).alias("rank"))
+    rank = cut_lineage(rank)
+    left = ends.join(rank.select(F.col("node_id").alias("src"), F.col("rank").alias("a")), "src").join(rank.select(F.col("node_id").alias("dst"), F.col("rank").alias("b")), "dst")
+    left = cut_lineage(left.select("src", "dst", (F.col("b") < F.col("a")).alias("later")))
+    open_, done = rank.select("node_id"), None
+    while True:
+        first = cut_lineage(open_.join(left.where("later").select(F.col("src").alias("node_id")), "node_id", "left_anti"))
+        if done is None:
+            got = first.select("node_id", F.lit(0).alias("colour"))
+        else:
+            near = ends.join(first.withColumnRenamed("node_id", "src"), "src").join(done.withColumnRenamed("node_id", "dst"), "dst")
+            used = near.groupBy(F.col("src").alias("node_id")).agg(F.collect_set("colour").alias("used"))
+            free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
+            got = first.join(used, "node_id", "left").select("node_id", F.coalesce(free, F.lit(0)).alias("colour"))
+        done = cut_lineage(got if done is None else done.union(got))
+        open_ = cut_lineage(open_.join(first, "node_id", "left_anti"))
+        if open_.isEmpty():
+            return done
+        left = cut_lineage(left.join(first.withColumnRenamed("node_id", "src"), "src", "left_anti").join(first.withColumnRenamed("node_id", "dst"), "dst", "left_anti"))
+
+
 def largest_component(edges: DataFrame) -> DataFrame:
     """(node_id, new_id) of the largest component, ties to the least label; new_id counts from 0 in node order."""
     of = components(edges)
