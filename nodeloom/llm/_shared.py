@@ -41,16 +41,21 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tup
         yield key, cols
 
 
+def give_back() -> None:
+    """Memory that this worker no longer uses, back to the machine: the worker stays for the next task, and what the
+    allocators keep would count for as long."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+    if trim:
+        trim(0)
+
+
 def trimmed(task):
-    """task (batches -> batches), which at its end gives memory that it no longer uses back to the machine: the worker
-    stays for the next task, and what the allocators keep would count for as long."""
+    """task (batches -> batches), with give_back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nodeloom.llm._shared import n_partitions, written
+from nodeloom.llm._shared import give_back, n_partitions, trimmed, written
 
 #: The byte-level pre-tokenizer's pattern (fixed value), white space spelled out as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -243,7 +243,10 @@ def _assemble(kind: pa.DataType, keep_ids: bool):
                 text = b"".join(map(decoded.__getitem__, places)).decode("utf-8", "replace").encode()
                 for c, v in zip(out, (i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), np.frombuffer(ids, np.int32) if keep_ids else None)):
                     c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds)][: len(names)], names=names)
+        found = pa.table([pa.array(c, t) for c, t in zip(out, kinds)][: len(names)], names=names)
+        del coded, decoded, numbers, piece, out
+        give_back()
+        return found
 
     return run
 
@@ -272,9 +275,9 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     spark, parts = docs.sparkSession, n_partitions(docs.sparkSession)
     given = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x"))
     kind = given.schema["i"].dataType
-    split = given.mapInArrow(_split(path, parts), f"i {kind.simpleString()}, block long, owner int, cell binary, numbers binary").repartition(4 * parts, "block")
+    split = given.mapInArrow(trimmed(_split(path, parts)), f"i {kind.simpleString()}, block long, owner int, cell binary, numbers binary").repartition(4 * parts, "block")
     asked = split.mapInArrow(_words, "owner int, block long, cell binary").repartition(parts, "owner").sortWithinPartitions("owner", "block")
-    coded = asked.mapInArrow(_encode(path), _ANSWER).repartition(4 * parts, "block")
+    coded = asked.mapInArrow(trimmed(_encode(path)), _ANSWER).repartition(4 * parts, "block")
     table = piece_table(spark, path).groupBy(F.floor(F.col("id") / PAGE).cast("int").alias("page"))
     table = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]).alias("piece"))
     used = coded.mapInArrow(_used, "b long, page int").join(F.broadcast(table), "page")
