@@ -49,6 +49,30 @@ def ranked(values: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranges.withColumn("_rank", rank).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_range", "_rank", "_before")
 
 
+def running(table: DataFrame, key: str, order: list[str], sums: dict[str, Column], before_too: bool = False) -> DataFrame:
+    """table with running sums: name -> the sum of a column over the key's rows up to this one, in the order of the columns;
+    with before_too also name_before, that of the rows before.
+
+    Rows lie in ranges of (key, order), so a key of any size is spread over many tasks; sums inside a range are shifted by what
+    the key has in the ranges before. Only keys that reach over a range's end are carried, one for a range at most.
+    """
+    names = list(sums)
+    ranges = cut_lineage(table.withColumns({f"_v_{c}": v for c, v in sums.items()}).repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    parts = ranges.groupBy(key, "_range").agg(*[F.sum(f"_v_{c}").alias(f"_v_{c}") for c in names])
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), *[F.sum(f"_v_{c}").over(before).alias(f"_s_{c}") for c in names])
+    shifts = cut_lineage(shifts.where(F.col(f"_s_{names[0]}").isNotNull()))
+    inside = Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = {c: F.sum(f"_v_{c}").over(inside) for c in names}
+    if before_too:
+        inside = Window.partitionBy("_range", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        found |= {f"{c}_before": F.coalesce(F.sum(f"_v_{c}").over(inside), F.lit(0)) for c in names}
+    out = ranges.select(*table.columns, "_range", *[v.alias(c) for c, v in found.items()])
+    out = out.join(F.broadcast(shifts), (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_at")), "left")
+    shift = lambda c: F.coalesce(f"_s_{c.removesuffix('_before') if c not in names else c}", F.lit(0))
+    return out.select(*table.columns, *[(F.col(c) + shift(c)).alias(c) for c in found])
+
+
 def contiguous(table: DataFrame, column: str, name: str) -> DataFrame:
     """Labels 0..K-1 in sorted order of the column's distinct values, null first."""
     labels = ranked(table.select(column).distinct(), [column], name).select(F.col(column).alias("_label"), name)
@@ -130,10 +154,10 @@ def row_normalize(edges: DataFrame, mode: str = "prob") -> DataFrame:
 
 def transition_cdf(edges: DataFrame) -> DataFrame:
     """Each row's running transition probability in dst order; the last is 1 exactly."""
-    order = Window.partitionBy("src").orderBy("dst")
-    cum = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    last = F.lead("dst").over(order).isNull()
-    return row_normalize(edges).withColumn("cdf", F.when(last, 1.0).otherwise(cum)).select("src", "dst", "cdf")
+    ends = edges.groupBy(F.col("src").alias("_src")).agg(F.max("dst").alias("_end"))
+    rows = running(row_normalize(edges), "src", ["dst"], {"cdf": F.col("weight")})
+    rows = rows.join(ends, F.col("src") == F.col("_src"))
+    return rows.select("src", "dst", F.when(F.col("dst") == F.col("_end"), 1.0).otherwise(F.col("cdf")).alias("cdf"))
 
 
 def matvec(edges: DataFrame, vector: DataFrame) -> DataFrame:

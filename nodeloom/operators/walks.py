@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions.scalars import uniform
-from nodeloom.operators.structure import cut_lineage, row_normalize
+from nodeloom.operators.structure import cut_lineage, row_normalize, running
 
 ATTEMPTS = 6  # candidates that a second-order step draws for rejection, before it weighs all neighbours
 
@@ -14,14 +14,15 @@ ATTEMPTS = 6  # candidates that a second-order step draws for rejection, before
 def arc_table(edges: DataFrame) -> DataFrame:
     """Per arc: src, k (its number among src's arcs, by dst), lo and hi (its share of [0, 1], hi the running transition
     probability), dst, d (dst's degree), and back, back_lo, back_hi: number and share of the arc from dst to src."""
-    order = Window.partitionBy("src").orderBy("dst")
-    hi = F.when(F.lead("dst").over(order).isNull(), 1.0).otherwise(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = row_normalize(edges).select("src", "dst", (F.row_number().over(order) - 1).alias("k"), hi.alias("hi"), F.lead("dst").over(order).isNull().alias("end"))
-    rows = rows.select("src", "dst", "k", "hi", "end", F.coalesce(F.lag("hi").over(order), F.lit(-1.0)).alias("lo"))
-    rows = cut_lineage(rows)
-    degree = rows.where("end").select(F.col("src").alias("dst"), (F.col("k") + 1).alias("d"))
+    share = row_normalize(edges)
+    rows = running(share, "src", ["dst"], {"k": F.lit(1).cast("long"), "sum": F.col("weight")}, before_too=True)
+    degree = share.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("d"))
+    rows = rows.join(degree.withColumnsRenamed({"dst": "src", "d": "own"}), "src")
+    hi = F.when(F.col("k") == F.col("own"), 1.0).otherwise(F.col("sum"))
+    lo = F.when(F.col("k") == 1, -1.0).otherwise(F.col("sum_before"))
+    rows = cut_lineage(rows.select("src", "dst", (F.col("k") - 1).alias("k"), hi.alias("hi"), lo.alias("lo")))
     back = rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("k").alias("back"), F.col("lo").alias("back_lo"), F.col("hi").alias("back_hi"))
-    out = rows.drop("end").join(degree, "dst", "left").join(back, ["src", "dst"], "left")
+    out = rows.join(degree, "dst", "left").join(back, ["src", "dst"], "left")
     return cut_lineage(out.withColumn("d", F.coalesce("d", F.lit(0))))
 
 

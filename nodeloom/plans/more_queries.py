@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions import scalars
-from nodeloom.operators import blockmodel, clustering, detection, lfr, scores, spectral, structure
+from nodeloom.operators import blockmodel, clustering, detection, lfr, merging, scores, spectral, structure
 from nodeloom.plans import results
 from nodeloom.plans.queries import _CAB, _ETA, EMB, GN, GP, LONG, MN, MP, SCORES_SQL, COSINE, _nodes, query, u_sql
 from nodeloom.sources import graphs
@@ -286,20 +286,43 @@ def spectral_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def infomap_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow communities of the parts that one order holds together."""
-    labels, bits = detection.flow_communities(part_graph(spark, sf_dir), rounds=8, levels=3)
+    labels, bits = detection.flow_communities(part_graph(spark, sf_dir))
     return labels.select("node_id", "membership", F.lit(bits).alias("codelength"))
 
 
+_JUMP = 0.15
+_LAW = (
+    f"WITH RECURSIVE {GN.split('g AS')[0].rstrip().rstrip(',')}, {MN}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM m), k AS (SELECT src, sum(weight) AS k FROM one GROUP BY 1), "
+    f"it(i, v) AS (SELECT 0, (SELECT list(1.0::DOUBLE / 25 ORDER BY node_id) FROM m) UNION ALL SELECT i + 1, (SELECT list(p ORDER BY node_id) FROM (SELECT node_id, {_JUMP} / (SELECT n FROM n) + {1 - _JUMP} * coalesce(sum(it.v[src + 1] * weight / k.k), 0) AS p FROM m LEFT JOIN one ON dst = node_id LEFT JOIN k USING (src) GROUP BY node_id) x) FROM it WHERE i < 200), "
+    "p AS (SELECT node_id, v[node_id + 1] AS p, membership FROM m, it WHERE i = 200)"
+)
+
+
+@query(
+    _LAW + f", x AS (SELECT a.membership AS m, sum({1 - _JUMP} * a.p * weight / k.k) AS out FROM one JOIN k USING (src) JOIN p a ON a.node_id = src JOIN p b ON b.node_id = dst WHERE a.membership <> b.membership GROUP BY 1), "
+    f"q AS (SELECT s.m, s.p, coalesce(out, 0) + {_JUMP} * s.p * (1 - c / (SELECT n FROM n)) AS q FROM (SELECT membership AS m, sum(p) AS p, count(*) AS c FROM p GROUP BY 1) s LEFT JOIN x USING (m)) "
+    "SELECT round(sum(q) * log2(sum(q)) - 2 * sum(q * log2(q)) - (SELECT sum(p * log2(p)) FROM p) + sum((q + p) * log2(q + p)), 6) AS codelength FROM q"
+)
+def map_equation_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits a step of a walk from customers' nations to suppliers' nations, with recorded jumps, under the regions."""
+    flow = detection.flow_graph(graphs.trade_graph(spark, sf_dir), directed=True)
+    return detection.code_length(flow, nation_members(spark, sf_dir)).select(F.round("codelength", 6).alias("codelength"))
+
+
 @query(None)
 def flatsbm_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts in as many groups as there are brands, from the brands."""
-    m = part_members(spark, sf_dir)
-    k = m.agg(F.max("membership") + 1).first()[0]
-    g = part_graph(spark, sf_dir)
-    labels, entropy = detection.block_communities(g, k, start=m.join(_nodes(g), "node_id", "left_semi"), rounds=6)
+    """Parts in as many groups as there are brands, merged from single parts."""
+    k = table(spark, sf_dir, "part").select("p_brand").distinct().count()
+    labels, entropy = merging.flat_blocks(part_graph(spark, sf_dir), k, heated=1, downhill=3)
     return labels.select("node_id", "membership", F.lit(entropy).alias("entropy"))
 
 
+@query(None)
+def colour_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in classes of which no two are held together by an order."""
+    return structure.colouring(part_graph(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- benchmark graphs
 
 

@@ -27,13 +27,18 @@ def part_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contiguous(part, "p_brand", "membership").select("node_id", "membership")
 
 
-def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer nation x supplier nation, weighted by order lines, symmetric, without loops."""
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From customer nation to supplier nation, weighted by order lines, without loops."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("long").alias("src"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").cast("long").alias("dst"))
-    pairs = lines.join(orders, "o").join(customers, "c").join(suppliers, "s").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")).where("src <> dst")
+    return lines.join(orders, "o").join(customers, "c").join(suppliers, "s").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")).where("src <> dst")
+
+
+def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer nation x supplier nation, weighted by order lines, symmetric, without loops."""
+    pairs = trade_graph(spark, sf_dir)
     return pairs.union(swapped(pairs).select("src", "dst", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 

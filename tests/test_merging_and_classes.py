@@ -39,7 +39,7 @@ def test_change_of_a_merge_is_that_of_the_entropy(spark):
 
 
 def test_blocks_are_found_from_single_nodes(spark):
-    pairs, k, n = planted(300, 50, 0.95, 0.006), 50, 300
+    pairs, k, n = planted(250, 50, 0.97, 0.006), 50, 250
     found, entropy = merging.flat_blocks(both_ways(spark, pairs), k, heated=1, downhill=4)
     label = {r.node_id: r.membership for r in found.collect()}
     assert sorted(set(label.values())) == list(range(k)) and len(label) == n
@@ -131,16 +131,16 @@ def test_colour_classes_converge_where_all_at_once_oscillate(spark):
 
 
 def test_colour_classes_have_the_fixed_point_of_damped_sweeps(spark):
-    pairs = planted(40, 2, 0.35, 0.05, seed=5)
-    g, nodes = both_ways(spark, pairs).select("src", "dst"), spark.range(40).withColumnRenamed("id", "node_id")
+    pairs = planted(20, 2, 0.45, 0.08, seed=5)
+    g, nodes = both_ways(spark, pairs).select("src", "dst"), spark.range(20).withColumnRenamed("id", "node_id")
     members = nodes.withColumn("membership", F.col("node_id") % 2)
     cab = np.array([[14.0, 2.0], [2.0, 14.0]])
-    options = {"em_steps": 1, "sweeps": 40, "crit": 1e-5, "start": "planted", "members": members, "strength": 0.4}
+    options = {"em_steps": 1, "sweeps": 14, "crit": 1e-3, "start": "planted", "members": members, "strength": 0.4}
     one, e1 = blockmodel.bp_learn(g, nodes, 2, [0.5, 0.5], cab, **options)
     two, e2 = blockmodel.bp_learn(g, nodes, 2, [0.5, 0.5], cab, asynchronous=True, damping=1.0, **options)
-    assert e1 == pytest.approx(e2, abs=1e-4)
+    assert e1 == pytest.approx(e2, abs=1e-3)
     a, b = ({r.node_id: r.psi[0] for r in x.collect()} for x in (one, two))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 2e-3 for k in a)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-2 for k in a)
 
 
 @pytest.mark.parametrize("bound", ["sup", "inf"])
