@@ -26,7 +26,7 @@ from nodeloom.llm._shared import give_back, n_partitions, trimmed, written
 
 #: The byte-level pre-tokenizer's pattern (fixed value), white space spelled out as the Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 PAGE = 1024  # ids of one row of the piece table, where blocks join it
 
 
@@ -111,9 +111,11 @@ def _split(path: str, owners: int):
             often = np.bincount(np.concatenate(texts), minlength=len(words))
             number = np.empty(len(words), np.uint32)  # by frequency, which packs best
             number[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            owner = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words)) % owners
+            plain = [w.encode() for w in words]
+            words.clear()
+            owner = np.fromiter(map(zlib.crc32, plain), np.uint32, len(plain)) % owners
             order = np.lexsort((number, owner))
-            plain, cut = [w.encode() for w in words], np.searchsorted(owner[order], np.arange(owners + 1))
+            cut = np.searchsorted(owner[order], np.arange(owners + 1))
             some = [o for o in range(owners) if cut[o + 1] > cut[o]]
             own = [order[cut[o] : cut[o + 1]] for o in some]
             yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), [_pack([plain[n] for n in x.tolist()]) for x in own], [_pack_numbers(np.diff(number[x], prepend=np.uint32(0))) for x in own])
@@ -263,7 +265,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     still is that token); ids_sha256 is over little-endian unsigned 32-bit ids, decoded_sha256 over the UTF-8 of
     the decoded text.
 
-    Texts don't move. A block is what one task reads, up to about 32 MB of text; its distinct words, packed, and the
+    Texts don't move. A block is what one task reads, up to about 24 MB of text; its distinct words, packed, and the
     numbers in place of its words go through one exchange, which both the encoding and the assembly read. No key is hot:
     words are dealt by their hash after a block has made them distinct, and blocks, which are alike in size, by theirs,
     over so many partitions that few meet. The id-to-piece table is of the vocabulary's size and broadcast; a block joins
