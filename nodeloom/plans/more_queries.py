@@ -317,12 +317,6 @@ def flatsbm_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select("node_id", "membership", F.lit(entropy).alias("entropy"))
 
 
-@query(None)
-def colour_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts in classes of which no two are held together by an order."""
-    return structure.colouring(part_graph(spark, sf_dir))
-
-
 # ---------------------------------------------------------------- benchmark graphs
 
 
