@@ -31,7 +31,8 @@ NAMED = frozenset(f"tag={t}" for t in "nav footer aside form header menu dialog
 NAMED |= {f"word={w}" for w in "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer form header masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related recommended reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()}
 LANDMARKS = frozenset(("article", "main"))
 #: What is thought of a feature before any page is seen, as numbers of content and other nodes seen with it. A name is
-#: strong evidence where it is new, and worth FAITH nodes where labelled pages say otherwise; other features are neutral.
+#: strong evidence, worth FAITH nodes: counts given to TreeModel can overrule it, those of `train` don't, as labels_of
+#: gives named parts inside an article no label. Other features are neutral.
 FAITH, CAUTION = 100.0, 4.0
 GROUPS = ("text", "block", "named", "landmark")
 LABELLED = 500  # training pages at most
