@@ -313,7 +313,7 @@ def map_equation_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flatsbm_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts in as many groups as there are brands, merged from single parts."""
     k = table(spark, sf_dir, "part").select("p_brand").distinct().count()
-    labels, entropy = merging.flat_blocks(part_graph(spark, sf_dir), k, heated=1, downhill=3)
+    labels, entropy = merging.flat_blocks(part_graph(spark, sf_dir), k, heated=1, downhill=1, settle=0, shrink=4.0)
     return labels.select("node_id", "membership", F.lit(entropy).alias("entropy"))
 
 
