@@ -165,14 +165,29 @@ def matvec(edges: DataFrame, vector: DataFrame) -> DataFrame:
     return edges.join(vector.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 
-def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    right = b.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("weight").alias("w2"))
-    return a.withColumnRenamed("dst", "mid").join(right, "mid").groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("weight") * F.col("w2")).alias("weight"))
+def matmul(a: DataFrame, b: DataFrame, side: int = 2_000) -> DataFrame:
+    """A B, sparse. A node that meets more than side * side pairs of an entry of A and one of B has its column of A and its row of
+    B dealt into slices of about `side` entries: each pair of slices meets in a task of its own, and what has the
+    same ends is summed there before it is exchanged. Both are counted first: small ones can't have such a node."""
+    left, right = a.withColumnRenamed("dst", "mid"), b.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("weight").alias("w2"))
+    product = lambda met: met.groupBy("src", F.col("to").alias("dst")).agg(F.sum(F.col("weight") * F.col("w2")).alias("weight"))
+    if a.count() * b.count() <= side * side:
+        return product(left.join(right, "mid"))
+    n = lambda x, c: x.groupBy("mid").agg(F.count(F.lit(1)).alias(c))
+    heavy = n(left, "n1").join(n(right, "n2"), "mid").where(F.col("n1") * F.col("n2") > side * side)
+    heavy = heavy.select("mid", F.ceil(F.col("n1") / side).alias("rows"), F.ceil(F.col("n2") / side).alias("cols"))
+
+    def dealt(x: DataFrame, end: str, own: str, other: str) -> DataFrame:
+        x = x.join(heavy, "mid", "left").withColumn(f"_{own}", F.coalesce(F.pmod(F.xxhash64(end), own), F.lit(0)))
+        return x.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))).drop("rows", "cols")
+
+    return product(dealt(left, "src", "rows", "cols").join(dealt(right, "to", "cols", "rows"), ["mid", "_rows", "_cols"]))
 
 
 def power_sum(edges: DataFrame, terms: int) -> DataFrame:
     """A + A^2 + ... + A^terms, sparse."""
-    power, out = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), None
+    edges = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    power, out = edges, None
     for k in range(terms):
         power = power if k == 0 else cut_lineage(matmul(power, edges))
         out = power if out is None else out.union(power)
@@ -227,9 +242,17 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of each pair (a, b): how many neighbours they share."""
-    of_a = pairs.join(edges.select(F.col("src").alias("a"), F.col("dst").alias("n")), "a")
-    met = of_a.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("n")), ["b", "n"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    """Of each pair (a, b): how many neighbours they share.
+
+    The neighbours of the end that has fewer are looked up at the other end by (end, neighbour), so a hub's neighbours are
+    listed only for pairs of hubs, and no task gets all that a hub has.
+    """
+    ends = edges.select("src", F.col("dst").alias("n"))
+    deg = ends.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
+    x = pairs.select("a", "b").distinct().join(deg.select(F.col("src").alias("a"), F.col("k").alias("ka")), "a").join(deg.select(F.col("src").alias("b"), F.col("k").alias("kb")), "b")
+    turn = F.col("ka") <= F.col("kb")
+    x = x.select("a", "b", F.when(turn, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("far"))
+    met = x.join(ends, "src").join(ends.withColumnRenamed("src", "far"), ["far", "n"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     return pairs.join(met, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).alias("common"))
 
 

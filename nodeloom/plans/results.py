@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.operators.structure import running
+from nodeloom.storage import written
+
 
 def param_space(spark: SparkSession, grid: dict[str, list | DataFrame]) -> DataFrame:
     """One row per combination, columns in key order. A grid has lists of values, or tables of one column of that name."""
@@ -51,12 +54,42 @@ def mean_and_interval(table: DataFrame, by: list[str], score: str = "score") ->
     return table.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean_score"), (F.avg(score) - half).alias("low"), (F.avg(score) + half).alias("high"))
 
 
+def quantiles(table: DataFrame, by: list[str], score: str, shares: list[float]) -> DataFrame:
+    """(by..., quantiles): of each group's values, exactly, between neighbours in proportion; null values are left out, and
+    groups with a null in `by`.
+
+    Distinct values with their numbers of rows are counted through ranges of (group, value), so that a group of any size is
+    spread over many tasks and no task holds its values; only the rows at the cuts are fetched.
+    """
+    return _cut(_counted(table, by, score), by, shares)
+
+
+def _counted(table: DataFrame, by: list[str], score: str) -> DataFrame:
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, score]])
+    return written(table.where(there).groupBy(*by, F.col(score).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values")
+
+
+def _cut(values: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    rows = running(values.select(F.struct(*by).alias("_by"), "_v", "_n"), "_by", ["_v"], {"_to": F.col("_n")}, before_too=True)
+    sizes = values.groupBy(F.struct(*by).alias("_by")).agg(F.sum("_n").alias("_all"))
+    rows = rows.join(sizes, "_by")
+    at = [F.lit(p) * (F.col("_all") - 1) for p in shares]
+    held = lambda k: (F.col("_to_before") <= k) & (k < F.col("_to"))
+    ends = [(F.floor(k), F.ceil(k)) for k in at]
+    rows = rows.where(reduce(lambda a, b: a | b, [held(e) for pair in ends for e in pair]))
+    found = [F.max(F.when(held(e), F.col("_v"))).alias(f"_{side}{i}") for i, pair in enumerate(ends) for side, e in zip("lh", pair)]
+    got = rows.groupBy("_by", "_all").agg(*found)
+    cut = lambda i: F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise((ends[i][1] - at[i]) * F.col(f"_l{i}") + (at[i] - ends[i][0]) * F.col(f"_h{i}"))
+    return got.select(*[F.col("_by")[c].alias(c) for c in by], F.array(*[cut(i) for i in range(len(shares))]).alias("quantiles"))
+
+
 def box_summary(table: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """Quartiles, and whiskers at the furthest values within 1.5 interquartile ranges."""
-    q = table.groupBy(*by).agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    x = table.join(q, by).withColumn("reach", 1.5 * (F.col("q")[2] - F.col("q")[0]))
-    inside = F.when(F.col(score).between(F.col("q")[0] - F.col("reach"), F.col("q")[2] + F.col("reach")), F.col(score))
-    return x.groupBy(*by).agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.min(inside).alias("low"), F.max(inside).alias("high"))
+    """Quartiles, and whiskers at the furthest values within 1.5 interquartile ranges; see quantiles."""
+    values = _counted(table, by, score)
+    q = F.col("quantiles")
+    x = values.join(_cut(values, by, [0.25, 0.5, 0.75]), by).withColumn("reach", 1.5 * (q[2] - q[0]))
+    inside = F.when(F.col("_v").between(q[0] - F.col("reach"), q[2] + F.col("reach")), F.col("_v"))
+    return x.groupBy(*by).agg(F.first(q[0]).alias("q1"), F.first(q[1]).alias("median"), F.first(q[2]).alias("q3"), F.min(inside).alias("low"), F.max(inside).alias("high"))
 
 
 def with_any_score(table: DataFrame, by: list[str], score: str = "score") -> DataFrame:
@@ -85,12 +118,14 @@ def typed(table: DataFrame, to_double: list[str], to_long: list[str], renamed: d
     """Columns that hold numbers as such: to_double, then to_long, where every value that is there can be; columns that
     hold other text stay, with missing values as empty text. renamed: new names at the end."""
     for columns, kind in ((to_double, "double"), (to_long, "bigint")):
-        for c in (c for c in columns if c in table.columns):
-            fits = F.col(c).try_cast("double")
-            if table.where(F.col(c).isNotNull() & (fits.isNull() if kind == "double" else fits.isNull() | (fits != F.floor(fits)))).isEmpty():
-                table = table.withColumn(c, fits.cast(kind))
-            elif dict(table.dtypes)[c] == "string":
-                table = table.withColumn(c, F.coalesce(c, F.lit("")))
+        columns = [c for c in columns if c in table.columns]
+        if not columns:
+            continue
+        fits = {c: F.col(c).try_cast("double") for c in columns}
+        good = {c: v.isNotNull() if kind == "double" else v.isNotNull() & (v == F.floor(v)) for c, v in fits.items()}
+        row = table.agg(*[F.coalesce(F.bool_and(F.col(c).isNull() | good[c]), F.lit(True)).alias(c) for c in columns]).first()
+        kinds = dict(table.dtypes)
+        table = table.withColumns({c: fits[c].cast(kind) if row[c] else F.coalesce(c, F.lit("")) for c in columns if row[c] or kinds[c] == "string"})
     return table.withColumnsRenamed(renamed or {})
 
 
