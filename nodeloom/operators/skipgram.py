@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -43,38 +47,91 @@ class DeepWalk(WalkEmbedding):
         return trainer.fit(words).getVectors().select(F.col("word").cast("long").alias("node_id"), vector_to_array("vector").alias("emb"))
 
 
-def negative_sampling(pairs: DataFrame, dim: int, negatives: int = 5, epochs: int = 15, rate: float = 0.5) -> DataFrame:
+def negative_sampling(pairs: DataFrame, dim: int, negatives: int = 5, epochs: int = 15, rate: float = 0.5, block: int = 50_000, cell: int = 200_000) -> DataFrame:
     """(node_id, emb, out): skip-gram vectors of pairs(center, context, n) with negative sampling.
 
-    An epoch is one step down the whole objective: each pair pulls its vectors together, and `negatives` nodes, drawn
-    for it by hash uniforms, push away from the center. They are drawn evenly, each with the weight that makes it stand
-    for a draw by count ** 0.75. A node's step is the mean over what it meets, times `rate`. Vectors are rows: an epoch
-    is two joins and an aggregate for each side; hubs are combined before the shuffle.
+    An epoch is one step down the whole objective: each pair pulls its vectors together, and noise nodes push away from
+    the center, which meets `negatives` of them for each of its pairs. They are drawn evenly, each with the weight that
+    makes it stand for a draw by count ** 0.75. A node's step is the mean over what it meets, times `rate`.
+
+    Nodes lie in blocks of at most `block`. A cell is a block of centers with a block of contexts; its pairs are dealt into
+    slices of about `cell`, a task's work. A slice gets its two blocks' vectors once, whatever the number of pairs, and
+    gives back one sum for each vector that it moved, so what is sent an epoch grows with nodes x blocks and slices. Pairs
+    whose context is never a center are left out.
     """
     pairs = cut_lineage(pairs.select("center", "context", F.col("n").cast("double").alias("n")))
-    nodes = ranked(pairs.groupBy(F.col("center").alias("node_id")).agg(F.sum("n").alias("n")), ["node_id"], "at")
-    total = nodes.agg(F.count(F.lit(1)), F.sum(F.pow("n", F.lit(0.75)))).first()
-    nodes = cut_lineage(nodes.withColumn("noise", F.pow("n", F.lit(0.75)) * total[0] / total[1]))
+    nodes = ranked(pairs.groupBy(F.col("center").alias("node_id")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")), ["node_id"], "at")
+    count, power = nodes.agg(F.count(F.lit(1)), F.sum(F.pow("n", F.lit(0.75)))).first()
+    blocks = max(-(-count // block), 1)
     u = lambda c: (uniform("sgns", F.col("node_id"), F.lit(c)) - 0.5) * 2 / dim**0.5  # noqa: E731  small ones would all go one way first
-    x = cut_lineage(nodes.select("node_id", F.array(*[u(c) for c in range(dim)]).alias("v")))
-    y = cut_lineage(nodes.select("node_id", F.array(*[u(dim + c) for c in range(dim)]).alias("v")))
-    mass = nodes.select("node_id", "n")
+    start = [F.array(*[u(c + shift) for c in range(dim)]).alias(name) for name, shift in (("x", 0), ("y", dim))]
+    place = [(F.col("at") % blocks).alias("block"), F.floor(F.col("at") / blocks).alias("pos")]
+    now = cut_lineage(nodes.select("node_id", *place, "n", "k", (F.pow("n", F.lit(0.75)) / power).alias("share"), *start))
+
+    ends = now.select("node_id", "block", "pos")
+    at = pairs.join(ends.toDF("center", "i", "a"), "center").join(ends.toDF("context", "j", "b"), "context")
+    cells = pairs.sparkSession.range(blocks * blocks).select(F.floor(F.col("id") / blocks).alias("i"), (F.col("id") % blocks).alias("j"))
+    sizes = at.groupBy("i", "j").agg(F.count(F.lit(1)).alias("size"))
+    cells = cut_lineage(cells.join(sizes, ["i", "j"], "left").select("i", "j", F.greatest(F.ceil(F.coalesce("size", F.lit(0)) / cell), F.lit(1)).alias("slices")))
+    at = cut_lineage(at.join(cells, ["i", "j"]).select("i", "j", F.pmod(F.xxhash64("center", "context"), "slices").alias("slice"), "a", "b", "n"))
+    slices = cut_lineage(cells.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))))
+
     for epoch in range(epochs):
-        draw = F.floor(uniform("noise", F.lit(epoch), F.col("center"), F.col("context"), F.col("t")) * total[0])
-        noise = pairs.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(negatives)))).select("center", draw.alias("at"), "n")
-        noise = noise.join(nodes.select("at", F.col("node_id").alias("context"), "noise"), "at").select("center", "context", (-F.col("n") * F.col("noise")).alias("n"))
-        met = pairs.union(noise).join(x.select(F.col("node_id").alias("center"), F.col("v").alias("x")), "center").join(y.select(F.col("node_id").alias("context"), F.col("v").alias("y")), "context")
-        dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
-        g = F.when(F.col("n") > 0, F.col("n") / (1 + F.exp(dot))).otherwise(F.col("n") / (1 + F.exp(-dot)))
-        met = cut_lineage(met.withColumn("g", g).select("center", "context", "g", "x", "y"))
-
-        def moved(v: DataFrame, end: str, other: str, met: DataFrame = met) -> DataFrame:
-            pull = met.groupBy(F.col(end).alias("node_id")).agg(*[F.sum(F.col("g") * F.col(other)[c]).alias(f"g{c}") for c in range(dim)])
-            now = v.join(mass, "node_id").join(pull, "node_id", "left")
-            return cut_lineage(now.select("node_id", F.array(*[F.col("v")[c] + rate * F.coalesce(f"g{c}", F.lit(0.0)) / F.col("n") for c in range(dim)]).alias("v")))
-
-        x, y = moved(x, "center", "y"), moved(y, "context", "x")
-    return x.withColumnRenamed("v", "emb").join(y.withColumnRenamed("v", "out"), "node_id")
+        side = lambda s, v, on: now.withColumnRenamed("block", on).join(slices, on).select("i", "j", "slice", "slices", F.lit(s).alias("side"), "pos", "n", "k", "share", F.col(v).alias("v"))
+        sent = side(0, "x", "i").union(side(1, "y", "j"))
+        keys = ["i", "j", "slice"]
+        pulls = at.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(partial(_pulls, negatives=negatives, blocks=blocks, epoch=epoch), "side int, block long, pos long, g array<double>")
+        pulls = pulls.groupBy("side", "block", "pos").agg(F.array(*[F.sum(F.col("g")[c]) for c in range(dim)]).alias("g"))
+        for s, v in ((0, "x"), (1, "y")):
+            step = F.zip_with(v, "g", lambda a, b: a + rate * b / F.col("n"))
+            now = now.join(pulls.where(F.col("side") == s).select("block", "pos", "g"), ["block", "pos"], "left").withColumn(v, F.coalesce(step, v)).drop("g")
+        now = cut_lineage(now)
+    return now.select("node_id", F.col("x").alias("emb"), F.col("y").alias("out"))
+
+
+def _pulls(key: tuple, pairs: pa.Table, sent: pa.Table, negatives: int, blocks: int, epoch: int) -> pa.Table:
+    """What a slice of a cell adds to its centers (side 0) and contexts (side 1). Its noise is drawn for every
+    `slices`-th center, by a generator that depends on epoch and slice only, so a task that runs again draws the same."""
+    i, j, part = (int(v.as_py()) for v in key)
+    mine, other = (sent.filter(pc.equal(sent["side"], s)).sort_by("pos") for s in (0, 1))
+    x, y = (_matrix(t["v"]) for t in (mine, other))
+    gx, gy = np.zeros_like(x), np.zeros_like(y)
+
+    def meet(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        for low in range(0, len(a), 1 << 16):
+            c, d, w = (v[low : low + (1 << 16)] for v in (a, b, n))
+            dot = np.clip((x[c] * y[d]).sum(1), -500, 500)
+            g = w / (1 + np.exp(np.where(w > 0, dot, -dot)))
+            _add(gx, c, g[:, None] * y[d])
+            _add(gy, d, g[:, None] * x[c])
+
+    given = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
+    meet(*(given[c].to_numpy() for c in ("a", "b", "n")))
+    if len(x) and len(y):
+        centers = np.arange(part, len(x), sent["slices"][0].as_py())
+        draws = -(-negatives * mine["k"].to_numpy()[centers] // blocks)
+        a = np.repeat(centers, draws)
+        b = np.random.default_rng([epoch, i, j, part]).integers(len(y), size=len(a))
+        mass = negatives * mine["n"].to_numpy()[centers] / draws
+        meet(a, b, -np.repeat(mass, draws) * other["share"].to_numpy()[b] * len(y))
+    out = []
+    for s, block, g in ((0, i, gx), (1, j, gy)):
+        pos = np.flatnonzero(g.any(1))
+        flat = pa.ListArray.from_arrays(np.arange(len(pos) + 1, dtype=np.int32) * g.shape[1], g[pos].ravel()) if len(pos) else pa.array([], pa.list_(pa.float64()))
+        out.append(pa.table({"side": np.full(len(pos), s, np.int32), "block": np.full(len(pos), block), "pos": pos, "g": flat}))
+    return pa.concat_tables(out)
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, rows of one place summed up first."""
+    order = np.argsort(at, kind="stable")
+    place, first = np.unique(at[order], return_index=True)
+    total[place] += np.add.reduceat(rows[order], first) if len(first) else 0
 
 
 class Node2Vec(WalkEmbedding):
