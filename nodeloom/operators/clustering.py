@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,23 +174,128 @@ def _assign(table: DataFrame, groups: list) -> DataFrame:
 
 
 def silhouette_by_k(table: DataFrame, most: int = 20, seed: int = 0, restarts: int = 10) -> DataFrame:
-    """(k, silhouette) by cosine for k = 2..min(most, n - 1), of the k-means of least cost over `restarts` seeds.
+    """(k, silhouette) by cosine for k = 2..min(most, n - 1), of the k-means of least cost over `restarts` starts.
 
     Missing and zero embeddings are left out, also of n. A k whose best k-means has one group only has no row; with
-    fewer than three embeddings there is none at all. Fits run side by side, as each is many short jobs.
+    fewer than three embeddings there is none at all. All k and starts go on together: a round reads the table once,
+    whatever their number, and gives back sums for each centroid. Their centroids are sent to every task, which is checked.
     """
-    x = _features(table.where(F.exists("emb", lambda v: v != 0))).select("features").persist()
-    spark, judge = table.sparkSession, ClusteringEvaluator(distanceMeasure="cosine")
-
-    def best(k: int) -> tuple[int, float] | None:
-        means = lambda s: KMeans(k=k, seed=seed + s, distanceMeasure="cosine", maxIter=300).fit(x)
-        model = min(map(means, range(restarts)), key=lambda m: m.summary.trainingCost)
-        if sum(n > 0 for n in model.summary.clusterSizes) > 1:
-            return k, float(judge.evaluate(model.transform(x)))
-
-    try:
-        with ThreadPoolExecutor(4) as pool:
-            rows = list(pool.map(inheritable_thread_target(spark)(best), range(2, min(most, x.count() - 1) + 1)))
-    finally:
-        x.unpersist()
-    return spark.createDataFrame([r for r in rows if r], "k int, silhouette double")
+    spark = table.sparkSession
+    v = F.col("emb").cast("array<double>")
+    x = table.where(F.exists("emb", lambda e: e != 0)).select(F.xxhash64(F.lit(seed), "node_id").alias("h"), v.alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
+    x = written(x.select("h", F.transform("v", lambda e: e / norm).alias("v")), "units")
+    n, dim = x.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    ks = range(2, min(most, n - 1) + 1)
+    kind = "k int, silhouette double"
+    if not ks:
+        return spark.createDataFrame([], kind)
+    _check_cells(restarts * sum(ks) * dim)
+    starts = _spread_seeds(x, ks[-1], restarts)
+    models = {(k, s): starts[s, :k] for k in ks for s in range(restarts)}
+    cost, open_ = {}, list(models)
+    for _ in range(300):
+        found = _tally(x, [models[m] for m in open_])
+        moved = []
+        for m, (count, spent, sums) in zip(open_, found):
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            now = np.where((count[:, None] > 0) & (size > 0), sums / np.where(size > 0, size, 1), models[m])  # an empty group stays
+            if np.linalg.norm(now - models[m], axis=1).max() > 1e-4:
+                moved.append(m)
+                models[m] = now
+            cost[m] = spent
+        open_ = moved
+        if not open_:
+            break
+    best = [min((m for m in models if m[0] == k), key=lambda m: (cost[m], m[1])) for k in ks]
+    last = [(m, models[m], *t) for m, t in zip(best, _tally(x, [models[m] for m in best])) if (t[0] > 0).sum() > 1]
+    worth = _silhouettes(x, [(c, count, sums) for _, c, count, _, sums in last]) if last else []
+    return spark.createDataFrame([(m[0], w / n) for (m, *_), w in zip(last, worth)], kind)
+
+
+def _units(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _spread_seeds(x: DataFrame, k: int, restarts: int) -> np.ndarray:
+    """restarts x k x dim: each seed is drawn with a chance in proportion to its distance from those before, in one pass
+    for all starts; the first k seeds of a start serve every smaller k too."""
+    seeds: list[list] = [[] for _ in range(restarts)]
+    for at in range(k):
+        chosen = np.array(seeds, float) if at else None
+
+        def run(batches: Iterator[pa.RecordBatch], at: int = at, chosen: np.ndarray | None = chosen) -> Iterator[pa.RecordBatch]:
+            top: dict[int, tuple] = {}
+            for batch in (b for b in batches if b.num_rows):
+                u, h = _units(batch), batch.column(0).to_numpy().view(np.uint64)
+                for s in range(restarts):
+                    weight = np.ones(len(u)) if chosen is None else np.maximum(1 - (u @ chosen[s].T).max(1), 0)
+                    z = h + np.uint64(((at * restarts + s + 1) * 0x9E3779B97F4A7C15) % 2**64)  # a mix of bits (fixed constants)
+                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    draw = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5
+                    key = np.where(weight > 1e-12, np.log(draw / 2**53) / np.maximum(weight, 1e-12), -np.inf)
+                    i = int(key.argmax())
+                    if s not in top or key[i] > top[s][0]:
+                        top[s] = (float(key[i]), u[i].tolist())
+            if top:
+                yield pa.RecordBatch.from_pydict({"s": list(top), "key": [t[0] for t in top.values()], "v": [t[1] for t in top.values()]})
+
+        drawn = x.mapInArrow(run, "s long, key double, v array<double>").groupBy("s").agg(F.max(F.struct("key", "v"))["v"].alias("v"))
+        for s, v in drawn.collect():
+            seeds[s].append(v)
+    return np.array(seeds, float)
+
+
+def _tally(x: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, float, np.ndarray]]:
+    """Per model (a matrix of centroids): its groups' sizes, the sum of cosine distances, and its groups' sums, in one pass."""
+    stack, dim = np.concatenate(models), models[0].shape[1]
+    ends = np.cumsum([0] + [len(m) for m in models])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, cost, sums = np.zeros(len(stack), np.int64), np.zeros(len(stack)), np.zeros_like(stack)
+        for batch in (b for b in batches if b.num_rows):
+            u = _units(batch)
+            near = u @ stack.T
+            for low, high in zip(ends[:-1], ends[1:]):
+                mine = near[:, low:high]
+                own = mine.argmax(1)
+                one = (own[:, None] == np.arange(high - low)).astype(float)
+                count[low:high] += one.sum(0).astype(np.int64)
+                cost[low:high] += (one * (1 - mine)).sum(0)
+                sums[low:high] += one.T @ u
+        at = np.flatnonzero(count)
+        if len(at):
+            yield pa.RecordBatch.from_pydict({"at": at, "n": count[at], "cost": cost[at], "v": sums[at].tolist()})
+
+    rows = x.mapInArrow(run, "at long, n long, cost double, v array<double>").groupBy("at")
+    rows = rows.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("v")[c]) for c in range(dim)]).alias("v")).collect()
+    count, cost, sums = np.zeros(len(stack), np.int64), np.zeros(len(stack)), np.zeros_like(stack)
+    for at, n, spent, v in rows:
+        count[at], cost[at], sums[at] = n, spent, v
+    return [(count[a:b], float(cost[a:b].sum()), sums[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _silhouettes(x: DataFrame, models: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[float]:
+    """Per (centroids, sizes, sums of unit vectors): the sum of silhouettes by cosine. The mean distance to a group follows
+    from its sum, so points never meet each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(len(models)), False
+        for batch in (b for b in batches if b.num_rows):
+            u, some = _units(batch), True
+            for at, (middle, count, sums) in enumerate(models):
+                own = (u @ middle.T).argmax(1)
+                rows = np.arange(len(u))
+                far = np.where(count > 0, 1 - u @ sums.T / np.maximum(count, 1), np.inf)
+                size = count[own]
+                a = far[rows, own] * size / np.maximum(size - 1, 1)
+                far[rows, own] = np.inf
+                b = far.min(1)
+                top = np.maximum(a, b)
+                total[at] += np.where((size > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0).sum()
+        if some:
+            yield pa.RecordBatch.from_pydict({"at": range(len(models)), "s": total})
+
+    got = {r.at: r.s for r in x.mapInArrow(run, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()}
+    return [got[at] for at in range(len(models))]
