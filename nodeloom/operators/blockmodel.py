@@ -258,15 +258,28 @@ def bp_learn(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab:
     return argmax_groups(nodes.join(node_marginals(messages, eta, cab, n, field, dc).select("node_id", "psi"), "node_id", "left"), eta), energy
 
 
-def lowest_energy(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float], cab: np.ndarray, runs: int = 5, **options) -> tuple[DataFrame, float]:
-    """bp_learn of `runs` random starts: the result of the lowest free energy; all in group 0 if none is a number."""
+def random_affinities(edges: DataFrame, nodes: DataFrame, q: int, dc: int = 0, seed: int = 0) -> tuple[list[float], np.ndarray]:
+    """(eta, cab) to start learning from without a prior: q equal groups, affinities drawn evenly and scaled so that the
+    model expects as many links as the graph has (without degree correction, its mean degree)."""
+    n, arcs = max(nodes.count(), 1), edges.count()
+    d = degrees(edges).agg(F.sum("degree"), F.max("degree")).first() if dc else (n, 1)
+    total = float(d[0] or n) / (d[1] if dc == 1 and d[1] else 1)
+    draws = np.random.default_rng(seed).random((q, q))
+    cab = np.triu(draws) + np.triu(draws, 1).T
+    return [1.0 / q] * q, cab * (arcs * n / (total * total * cab.mean()))
+
+
+def lowest_energy(edges: DataFrame, nodes: DataFrame, q: int, eta: list[float] | None = None, cab: np.ndarray | None = None, runs: int = 5, **options) -> tuple[DataFrame, float]:
+    """bp_learn of `runs` random starts: the result of the lowest free energy; all in group 0 if none is a number. Without
+    affinities each run starts from some of its own (see random_affinities)."""
     best = None
     for r in range(runs):
-        groups, energy = bp_learn(edges, nodes, q, eta, cab, seed=f"msg{r}", **options)
+        prior, c = (eta, cab) if cab is not None else random_affinities(edges, nodes, q, options.get("dc", 0), r)
+        groups, energy = bp_learn(edges, nodes, q, eta or prior, c, seed=f"msg{r}", **options)
         if math.isfinite(energy) and (best is None or energy < best[1]):
             best = groups, energy
     if best is None:
-        best = nodes.select("node_id", F.array(*[F.lit(float(e)) for e in eta]).alias("psi"), F.lit(0).cast("long").alias("group_id")), math.inf
+        best = nodes.select("node_id", F.array(*[F.lit(float(e)) for e in eta or [1.0 / q] * q]).alias("psi"), F.lit(0).cast("long").alias("group_id")), math.inf
     return best
 
 

@@ -278,6 +278,31 @@ def bp_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("node_id", "group_id", F.lit(energy).alias("free_energy"))
 
 
+@query(None)
+def bp_lowest_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better of two runs on the parts of one order, each from random affinities of the graph's mean degree."""
+    g = part_graph(spark, sf_dir)
+    groups, energy = blockmodel.lowest_energy(g, _nodes(g), 2, runs=2, em_steps=1, sweeps=3)
+    return groups.select("node_id", "group_id", F.lit(energy).alias("free_energy"))
+
+
+@query(None)
+def bp_degree_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bp_lowest_energy, one run, with links in proportion to degrees."""
+    g = part_graph(spark, sf_dir)
+    groups, energy = blockmodel.lowest_energy(g, _nodes(g), 2, runs=1, dc=2, em_steps=1, sweeps=4)
+    return groups.select("node_id", "group_id", F.lit(energy).alias("free_energy"))
+
+
+@query(None)
+def bp_walk_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Affinities of two groups of parts after three steps of a walk that lowers the mean-field free energy."""
+    g = part_graph(spark, sf_dir)
+    eta, cab = blockmodel.random_affinities(g, _nodes(g), 2)
+    cab, energies = blockmodel.walk_learn(g, _nodes(g), 2, eta, cab, steps=3, size=2.0, sweeps=3)
+    return spark.createDataFrame([(a, b, float(cab[a][b]), energies[-1]) for a in (0, 1) for b in (0, 1)], "a int, b int, cab double, free_energy double")
+
+
 @query(None)
 def spectral_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmodel.spectral_partition(nation_graph(spark, sf_dir), 5)

@@ -478,6 +478,18 @@ def node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skipgram.Node2Vec(num_walks=10, walk_length=20, window=5, p=2.0, q=0.5, epochs=8).fit(nation_graph(spark, sf_dir)).transform(8)
 
 
+@query(None)
+def line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of nations from pairs one step apart."""
+    return skipgram.Node2Vec(num_walks=20, walk_length=20, window=1, epochs=8).fit(nation_graph(spark, sf_dir)).transform(8)
+
+
+@query(None)
+def depthfirst_node2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of nations from walks that hardly ever go back."""
+    return skipgram.Node2Vec(num_walks=10, walk_length=20, window=5, p=100.0, epochs=8).fit(nation_graph(spark, sf_dir)).transform(8)
+
+
 # ---------------------------------------------------------------- block models
 
 _ETA, _CAB = [0.5, 0.5], np.array([[1.5, 0.5], [0.5, 1.5]])
