@@ -213,10 +213,6 @@ def silhouette_by_k(table: DataFrame, most: int = 20, seed: int = 0, restarts: i
     return spark.createDataFrame([(m[0], w / n) for (m, *_), w in zip(last, worth)], kind)
 
 
-def _units(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-
-
 def _spread_seeds(x: DataFrame, k: int, restarts: int) -> np.ndarray:
     """restarts x k x dim: each seed is drawn with a chance in proportion to its distance from those before, in one pass
     for all starts; the first k seeds of a start serve every smaller k too."""
@@ -227,7 +223,7 @@ def _spread_seeds(x: DataFrame, k: int, restarts: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], at: int = at, chosen: np.ndarray | None = chosen) -> Iterator[pa.RecordBatch]:
             top: dict[int, tuple] = {}
             for batch in (b for b in batches if b.num_rows):
-                u, h = _units(batch), batch.column(0).to_numpy().view(np.uint64)
+                u, h = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(0).to_numpy().view(np.uint64)
                 for s in range(restarts):
                     weight = np.ones(len(u)) if chosen is None else np.maximum(1 - (u @ chosen[s].T).max(1), 0)
                     z = h + np.uint64(((at * restarts + s + 1) * 0x9E3779B97F4A7C15) % 2**64)  # a mix of bits (fixed constants)
@@ -255,7 +251,7 @@ def _tally(x: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, cost, sums = np.zeros(len(stack), np.int64), np.zeros(len(stack)), np.zeros_like(stack)
         for batch in (b for b in batches if b.num_rows):
-            u = _units(batch)
+            u = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             near = u @ stack.T
             for low, high in zip(ends[:-1], ends[1:]):
                 mine = near[:, low:high]
@@ -283,7 +279,7 @@ def _silhouettes(x: DataFrame, models: list[tuple[np.ndarray, np.ndarray, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some = np.zeros(len(models)), False
         for batch in (b for b in batches if b.num_rows):
-            u, some = _units(batch), True
+            u, some = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), True
             for at, (middle, count, sums) in enumerate(models):
                 own = (u @ middle.T).argmax(1)
                 rows = np.arange(len(u))

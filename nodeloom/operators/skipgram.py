@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +79,7 @@ def negative_sampling(pairs: DataFrame, dim: int, negatives: int = 5, epochs: in
         side = lambda s, v, on: now.withColumnRenamed("block", on).join(slices, on).select("i", "j", "slice", "slices", F.lit(s).alias("side"), "pos", "n", "k", "share", F.col(v).alias("v"))
         sent = side(0, "x", "i").union(side(1, "y", "j"))
         keys = ["i", "j", "slice"]
-        pulls = at.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(partial(_pulls, negatives=negatives, blocks=blocks, epoch=epoch), "side int, block long, pos long, g array<double>")
+        pulls = at.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_puller(negatives, blocks, epoch), "side int, block long, pos long, g array<double>")
         pulls = pulls.groupBy("side", "block", "pos").agg(F.array(*[F.sum(F.col("g")[c]) for c in range(dim)]).alias("g"))
         for s, v in ((0, "x"), (1, "y")):
             step = F.zip_with(v, "g", lambda a, b: a + rate * b / F.col("n"))
@@ -89,49 +88,50 @@ def negative_sampling(pairs: DataFrame, dim: int, negatives: int = 5, epochs: in
     return now.select("node_id", F.col("x").alias("emb"), F.col("y").alias("out"))
 
 
-def _pulls(key: tuple, pairs: pa.Table, sent: pa.Table, negatives: int, blocks: int, epoch: int) -> pa.Table:
-    """What a slice of a cell adds to its centers (side 0) and contexts (side 1). Its noise is drawn for every
-    `slices`-th center, by a generator that depends on epoch and slice only, so a task that runs again draws the same."""
-    i, j, part = (int(v.as_py()) for v in key)
-    mine, other = (sent.filter(pc.equal(sent["side"], s)).sort_by("pos") for s in (0, 1))
-    x, y = (_matrix(t["v"]) for t in (mine, other))
-    gx, gy = np.zeros_like(x), np.zeros_like(y)
-
-    def meet(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
-        for low in range(0, len(a), 1 << 16):
-            c, d, w = (v[low : low + (1 << 16)] for v in (a, b, n))
-            dot = np.clip((x[c] * y[d]).sum(1), -500, 500)
-            g = w / (1 + np.exp(np.where(w > 0, dot, -dot)))
-            _add(gx, c, g[:, None] * y[d])
-            _add(gy, d, g[:, None] * x[c])
-
-    given = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
-    meet(*(given[c].to_numpy() for c in ("a", "b", "n")))
-    if len(x) and len(y):
-        centers = np.arange(part, len(x), sent["slices"][0].as_py())
-        draws = -(-negatives * mine["k"].to_numpy()[centers] // blocks)
-        a = np.repeat(centers, draws)
-        b = np.random.default_rng([epoch, i, j, part]).integers(len(y), size=len(a))
-        mass = negatives * mine["n"].to_numpy()[centers] / draws
-        meet(a, b, -np.repeat(mass, draws) * other["share"].to_numpy()[b] * len(y))
-    out = []
-    for s, block, g in ((0, i, gx), (1, j, gy)):
-        pos = np.flatnonzero(g.any(1))
-        flat = pa.ListArray.from_arrays(np.arange(len(pos) + 1, dtype=np.int32) * g.shape[1], g[pos].ravel()) if len(pos) else pa.array([], pa.list_(pa.float64()))
-        out.append(pa.table({"side": np.full(len(pos), s, np.int32), "block": np.full(len(pos), block), "pos": pos, "g": flat}))
-    return pa.concat_tables(out)
-
-
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    flat = vectors.combine_chunks().flatten().to_numpy()
-    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
-
-
-def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """total[at] += rows, rows of one place summed up first."""
-    order = np.argsort(at, kind="stable")
-    place, first = np.unique(at[order], return_index=True)
-    total[place] += np.add.reduceat(rows[order], first) if len(first) else 0
+def _puller(negatives: int, blocks: int, epoch: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """What a slice of a cell adds to its centers (side 0) and contexts (side 1), as a task's function that needs nothing else of
+    this package. Noise is drawn for every `slices`-th center, by a generator that depends on epoch and slice only, so
+    a task that runs again draws the same."""
+
+    def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+        return vectors.combine_chunks().flatten().to_numpy().reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+    def add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:  # rows of one place are summed up first
+        order = np.argsort(at, kind="stable")
+        place, first = np.unique(at[order], return_index=True)
+        total[place] += np.add.reduceat(rows[order], first) if len(first) else 0
+
+    def pulls(key: tuple, pairs: pa.Table, sent: pa.Table) -> pa.Table:
+        i, j, part = (int(v.as_py()) for v in key)
+        mine, other = (sent.filter(pc.equal(sent["side"], s)).sort_by("pos") for s in (0, 1))
+        x, y = (matrix(t["v"]) for t in (mine, other))
+        gx, gy = np.zeros_like(x), np.zeros_like(y)
+
+        def meet(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+            for low in range(0, len(a), 1 << 16):
+                c, d, w = (v[low : low + (1 << 16)] for v in (a, b, n))
+                dot = np.clip((x[c] * y[d]).sum(1), -500, 500)
+                g = w / (1 + np.exp(np.where(w > 0, dot, -dot)))
+                add(gx, c, g[:, None] * y[d])
+                add(gy, d, g[:, None] * x[c])
+
+        given = pairs.sort_by([("a", "ascending"), ("b", "ascending")])
+        meet(*(given[c].to_numpy() for c in ("a", "b", "n")))
+        if negatives and len(x) and len(y):
+            centers = np.arange(part, len(x), sent["slices"][0].as_py())
+            draws = -(-negatives * mine["k"].to_numpy()[centers] // blocks)
+            a = np.repeat(centers, draws)
+            b = np.random.default_rng([epoch, i, j, part]).integers(len(y), size=len(a))
+            mass = negatives * mine["n"].to_numpy()[centers] / draws
+            meet(a, b, -np.repeat(mass, draws) * other["share"].to_numpy()[b] * len(y))
+        out = []
+        for s, block, g in ((0, i, gx), (1, j, gy)):
+            pos = np.flatnonzero(g.any(1))
+            flat = pa.ListArray.from_arrays(np.arange(len(pos) + 1, dtype=np.int32) * g.shape[1], g[pos].ravel()) if len(pos) else pa.array([], pa.list_(pa.float64()))
+            out.append(pa.table({"side": np.full(len(pos), s, np.int32), "block": np.full(len(pos), block), "pos": pos, "g": flat}))
+        return pa.concat_tables(out)
+
+    return pulls
 
 
 class Node2Vec(WalkEmbedding):

@@ -53,7 +53,7 @@ def test_noise_stands_for_draws_by_share(spark):
         side = lambda s, v, kk, nn, p: pa.table({"slices": [1] * size, "side": pa.array([s] * size, pa.int32()), "pos": range(size), "n": nn, "k": kk, "share": p, "v": v.tolist()})
         sent = pa.concat_tables([side(0, x, k, n, share[:size]), side(1, y[j::2], k, n, share[j::2])])
         for epoch in range(rounds):
-            for r in skipgram._pulls((pa.scalar(0), pa.scalar(j), pa.scalar(0)), none, sent, negatives, 2, epoch).to_pylist():
+            for r in skipgram._puller(negatives, 2, epoch)((pa.scalar(0), pa.scalar(j), pa.scalar(0)), none, sent).to_pylist():
                 if r["side"] == 0:
                     got[r["pos"]] += r["g"]
     assert np.abs(got / rounds - want).max() < 0.08 * np.abs(want).max()
