@@ -44,10 +44,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without letters, or in no known language, go; the others stay as they are.
 
     Each row is told by its own text, whatever its doc_id: rows with a null or a repeated one stay or go like others.
+    A text goes through the task once: the row beside it has the other columns.
     """
     model = language_id.train(docs.where(~language_id.held_out()))
-    told = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, doc_id="row")
-    return told.where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}").select("doc_id.*")
+    others = [c for c in docs.columns if c.lower() != "text"]
+    told = language_id.identify(docs.select(F.struct(*others).alias("row"), "text"), model, doc_id="row", keep_text=True)
+    kept = told.where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}")
+    return kept.select(*[F.col("doc_id").getField(c).alias(c) if c in others else F.col("text").alias(c) for c in docs.columns])
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ ORDERS = (2, 3, 4)
 SLOTS = 1 << 17
 SAMPLE = 1000  # training texts per language at most, the least by a hash of their id
 GRAMS = 4000  # n-grams per language at most, the most frequent of its sample
-CHUNK = 2 << 20
+CHUNK = 256 << 10  # letters told at a time: some 80 bytes of arrays for each
 
 
 @lru_cache(maxsize=1)
@@ -133,8 +133,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return LanguageFilter(sorted(by), {k: np.array(v, np.int64).view(np.uint64) for k, v in by.items()})
 
 
-def identify(docs: DataFrame, model: LanguageFilter, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, lang_pred, score. The model (slots * 8 bytes per 64 languages) travels with the task.
+def identify(docs: DataFrame, model: LanguageFilter, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Per row: doc_id, lang_pred, score (and text, if keep_text). The model (slots * 8 bytes per 64 languages) travels with the task.
 
     Defined cases: null, empty and letter-free texts, and all texts if nothing was learned, are `und` with score 0;
     ties go to the language first in code-point order; repeated rows each give a row; other columns are ignored.
@@ -145,9 +145,11 @@ def identify(docs: DataFrame, model: LanguageFilter, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts, batch in chunks(batches, 1):
             names, score = shared.value.predict(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            at = pa.array(rows)
+            columns = [batch.column(0).take(at), pa.array(names, pa.string()), pa.array(score, pa.float64()), *([batch.column(1).take(at)] if keep_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "text"][: len(columns)])
 
-    return given.mapInArrow(trimmed(run), f"doc_id {given.schema['i'].dataType.simpleString()}, lang_pred string, score double")
+    return given.mapInArrow(trimmed(run), f"doc_id {given.schema['i'].dataType.simpleString()}, lang_pred string, score double" + ", text string" * keep_text)
 
 
 def held_out(doc_id: str = "doc_id"):
