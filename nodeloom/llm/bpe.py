@@ -30,25 +30,46 @@ BLOCK_BYTES = 24 << 20
 PAGE = 1024  # ids of one row of the piece table, where blocks join it
 
 
-class Vocabulary:
-    """A byte-level BPE tokenizer file: its special strings, its encoder, and the table id -> piece."""
+class Splitter:
+    """A tokenizer's words; all that splitting needs of its file are the special strings (string -> id)."""
+
+    def __init__(self, special: dict[str, int]):
+        import regex
+
+        self.special = special
+        self.words = regex.compile(WORDS)
+        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
+
+    def split(self, text: str) -> list[str]:
+        if self.cut and any(x in text for x in self.special):
+            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.words.findall(part))]
+        return self.words.findall(text)
+
+
+class Encoder:
+    """The tokenizers library's encoder of a file."""
 
     def __init__(self, path: str):
         import os
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+
+class Vocabulary:
+    """A byte-level BPE tokenizer file: its special strings, and the table id -> piece."""
+
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.words = regex.compile(WORDS)
-        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         size = max([*spec["model"]["vocab"].values(), *self.special.values()]) + 1
         self.pieces: list[bytes] = [b""] * size
         to_byte = {c: b for b, c in byte_letters().items()}
@@ -57,14 +78,6 @@ class Vocabulary:
         for piece, i in self.special.items():
             self.pieces[i] = piece.encode()
 
-    def split(self, text: str) -> list[str]:
-        if self.cut and any(x in text for x in self.special):
-            return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.words.findall(part))]
-        return self.words.findall(text)
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
 
 def byte_letters() -> dict[int, str]:
     """byte -> the letter that stands for it: printable bytes for themselves, the others from code point 256 on."""
@@ -78,6 +91,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def _pack(values: list[bytes]) -> bytes:
     """Byte strings as one compressed cell: their number, their lengths, their bytes."""
     lengths = np.fromiter(map(len, values), np.uint32, len(values))
@@ -95,55 +113,67 @@ def _unpack(cell: bytes) -> list[bytes]:
     return out
 
 
-def _split(path: str, owners: int):
+def _split(special: dict[str, int], owners: int):
     """Per block of texts (whole rows, about BLOCK_BYTES): one row per owner of words, with the block's distinct ones and
-    their numbers (differences), and one row per text, with the numbers in place. A word's number is its rank by frequency."""
+    their numbers (differences), and one row per text, with the numbers in place. A word's number is its rank by frequency.
+
+    Ids are copied out of their batch, as a column of it would keep the texts too."""
+
+    def rows(block: int, kind: pa.DataType, ids: list[pa.Array], texts: list[np.ndarray], words: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(len(words), np.int64)
+        for t in texts:
+            np.add.at(often, t, 1)
+        number = np.empty(len(words), np.uint32)  # by frequency, which packs best
+        number[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+        listed = list(words)
+        words.clear()
+        owner = np.fromiter((zlib.crc32(w.encode()) for w in listed), np.uint32, len(listed)) % owners
+        order = np.lexsort((number, owner))
+        cut = np.searchsorted(owner[order], np.arange(owners + 1))
+        some = [o for o in range(owners) if cut[o + 1] > cut[o]]
+        own = [order[cut[o] : cut[o + 1]] for o in some]
+        yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), [_pack([listed[n].encode() for n in x.tolist()]) for x in own], [_pack_numbers(np.diff(number[x], prepend=np.uint32(0))) for x in own])
+        del listed, owner, order, own
+        at = 0
+        for given in ids:
+            cells = [_pack_numbers(number[t]) for t in texts[at : at + len(given)]]
+            at += len(given)
+            yield _rows(given, block, pa.nulls(len(given), pa.int32()), cells, [None] * len(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, task, k = vocabulary(path), TaskContext.get().partitionId(), 0
+        voc, block = Splitter(special), TaskContext.get().partitionId() << 32
         ids: list[pa.Array] = []
         texts: list[np.ndarray] = []
         words: dict[str, int] = _Numbers()
         size, kind = 0, None
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            block = (task << 32) + k
-            often = np.bincount(np.concatenate(texts), minlength=len(words))
-            number = np.empty(len(words), np.uint32)  # by frequency, which packs best
-            number[np.argsort(-often, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            plain = [w.encode() for w in words]
-            words.clear()
-            owner = np.fromiter(map(zlib.crc32, plain), np.uint32, len(plain)) % owners
-            order = np.lexsort((number, owner))
-            cut = np.searchsorted(owner[order], np.arange(owners + 1))
-            some = [o for o in range(owners) if cut[o + 1] > cut[o]]
-            own = [order[cut[o] : cut[o + 1]] for o in some]
-            yield _rows(pa.nulls(len(some), kind), block, pa.array(some, pa.int32()), [_pack([plain[n] for n in x.tolist()]) for x in own], [_pack_numbers(np.diff(number[x], prepend=np.uint32(0))) for x in own])
-            at = 0
-            for given in ids:
-                cells = [_pack_numbers(number[t]) for t in texts[at : at + len(given)]]
-                at += len(given)
-                yield _rows(given, block, pa.nulls(len(given), pa.int32()), cells, [None] * len(given))
-
         for batch in batches:
-            kind, start = batch.schema.field(0).type, 0
+            given, start = _copied(batch.column(0)), 0
+            kind = given.type
+            give_back()  # the batch before
             for n, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 found = voc.split(text)
                 texts.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 size += len(text)
                 if size >= BLOCK_BYTES:
-                    ids.append(batch.column(0).slice(start, n + 1 - start))
-                    yield from rows()
-                    ids, texts, words, size, start, k = [], [], _Numbers(), 0, n + 1, k + 1
-            if start < batch.num_rows:
-                ids.append(batch.column(0).slice(start))
+                    ids.append(given.slice(start, n + 1 - start))
+                    yield from rows(block, kind, ids, texts, words)
+                    ids, texts, words, size, start, block = [], [], _Numbers(), 0, n + 1, block + 1
+                    give_back()
+            if start < len(given):
+                ids.append(given.slice(start))
+            batch = text = None
         if texts:
-            yield from rows()
+            yield from rows(block, kind, ids, texts, words)
 
     return run
 
 
+def _copied(column: pa.Array) -> pa.Array:
+    """The column in memory of its own."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 class _Numbers(dict):
     """A number for each new key."""
 
@@ -191,11 +221,11 @@ def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32()))], names=["b", "page"])
 
 
-def _encode(path: str):
+def _encode(path: str, special: dict[str, int]):
     """Per owner and block: the ids of the words that the block asked for, in its order, and the pages that these are on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, known = vocabulary(path), {}
+        voc, known = encoder(path), {}
         owner = None
         for batch in batches:
             for own, block, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -205,7 +235,7 @@ def _encode(path: str):
                 new = [w for w in words if w not in known]
                 plain = [w.decode() for w in new]
                 for w, s, x in zip(new, plain, voc.encode(plain)):
-                    known[w] = [voc.special[s]] if s in voc.special else x
+                    known[w] = [special[s]] if s in special else x
                 found = [known[w] for w in words]
                 ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
                 ids = np.fromiter((i for x in found for i in x), np.uint32, int(ends[-1]) if len(ends) else 0)
@@ -274,12 +304,12 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     Defined cases: null text is empty text (no tokens); repeated rows and null doc_ids each give a row; a text over a
     block's size is a block of its own; an empty table gives an empty result; other columns are ignored.
     """
-    spark, parts = docs.sparkSession, n_partitions(docs.sparkSession)
+    spark, parts, special = docs.sparkSession, n_partitions(docs.sparkSession), vocabulary(path).special
     given = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("x"))
     kind = given.schema["i"].dataType
-    split = given.mapInArrow(trimmed(_split(path, parts)), f"i {kind.simpleString()}, block long, owner int, cell binary, numbers binary").repartition(4 * parts, "block")
+    split = given.mapInArrow(trimmed(_split(special, parts)), f"i {kind.simpleString()}, block long, owner int, cell binary, numbers binary").repartition(4 * parts, "block")
     asked = split.mapInArrow(_words, "owner int, block long, cell binary").repartition(parts, "owner").sortWithinPartitions("owner", "block")
-    coded = asked.mapInArrow(trimmed(_encode(path)), _ANSWER).repartition(4 * parts, "block")
+    coded = asked.mapInArrow(trimmed(_encode(path, special)), _ANSWER).repartition(4 * parts, "block")
     table = piece_table(spark, path).groupBy(F.floor(F.col("id") / PAGE).cast("int").alias("page"))
     table = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]).alias("piece"))
     used = coded.mapInArrow(_used, "b long, page int").join(F.broadcast(table), "page")

@@ -31,6 +31,7 @@ from nodeloom.llm._shingles import mix, shingle_sets
 from nodeloom.operators.structure import ranked
 
 BATCH_BYTES = 8 << 20
+SLICE_BYTES = 512 << 10  # of text hashed at a time: some 10 bytes of arrays for each
 BLOCK_SETS = 512
 _ALL = 65535  # in place of a text's number in its batch: several texts of the batch have the shingle
 _PIECES = "bucket int, batch long, keys binary, docs binary, counts binary, meta binary"
@@ -38,20 +39,77 @@ _NAMES = ["bucket", "batch", "keys", "docs", "counts", "meta"]
 _KINDS = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
-def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
-    """(batch id, ids, texts) of about BATCH_BYTES; the id is the same when a lost task runs again."""
-    task, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+def _batches(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list, list[np.ndarray], list[np.ndarray]]]:
+    """(batch id, ids, set sizes, elements of the sets) of about BATCH_BYTES of text; the id is the same when a lost task
+    runs again. Texts are hashed SLICE_BYTES at a time, whole texts, and only their elements stay; a slice has an array each."""
+    task, k, ids, sizes, keys, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+    part: list[str] = []
+    held = 0
+
+    def hash_part() -> None:
+        if part:
+            sets = shingle_sets(part, width)
+            sizes.append(np.array([len(s) for s in sets], np.int64))
+            keys.append(np.concatenate(sets))
+            part.clear()
+
     for batch in rows:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             t = t.as_py() or ""
             ids.append(i)
-            texts.append(t)
+            part.append(t)
             size += len(t)
-            if size >= BATCH_BYTES or len(ids) == 60_000:
-                yield (task << 32) + k, ids, texts
-                k, ids, texts, size = k + 1, [], [], 0
+            held += len(t)
+            full = size >= BATCH_BYTES or len(ids) == 60_000
+            if full or held >= SLICE_BYTES:
+                hash_part()
+                held = 0
+            if full:
+                yield (task << 32) + k, ids, sizes, keys
+                k, ids, sizes, keys, size = k + 1, [], [], [], 0
+        del batch
     if ids:
-        yield (task << 32) + k, ids, texts
+        hash_part()
+        yield (task << 32) + k, ids, sizes, keys
+
+
+def _set_hash(sizes: list[np.ndarray], keys: list[np.ndarray], salt: int) -> bytes:
+    """A hash of each set, as the order of its elements does not matter; slice by slice."""
+    out = []
+    for n, each in zip(sizes, keys):
+        p, ends = np.concatenate(([np.uint64(0)], np.cumsum(mix(each + np.uint64(salt)), dtype=np.uint64))), np.cumsum(n)
+        out.append(mix(p[ends] - p[ends - n]).tobytes())
+    return b"".join(out)
+
+
+def _dealt(batch: int, ids: list, sizes: list[np.ndarray], parts: list[np.ndarray], buckets: int, full: bool) -> pa.RecordBatch:
+    """The rows of _pieces of one batch. Empties parts."""
+    meta = np.array(ids, np.int64).tobytes() + b"".join(n.tobytes() for n in sizes) + _set_hash(sizes, parts, 1) + _set_hash(sizes, parts, 2)
+    keys = np.concatenate(parts)
+    parts.clear()
+    bucket = (keys >> np.uint64(32)).astype(np.uint32) % np.uint32(buckets)
+    order = np.lexsort((keys, bucket))
+    keys, bucket = keys[order], bucket[order]
+    docs = np.repeat(np.arange(len(ids), dtype=np.uint16), np.concatenate(sizes))[order]
+    del order
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate((first, [len(keys)])))
+    cut = np.concatenate(([0], np.cumsum(np.bincount(bucket[first], minlength=buckets))))
+    del bucket
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    if full:
+        each, what = keys[first], times.astype(np.uint32)
+        del keys, first, times
+        out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), None, what[cut[b] : cut[b + 1]].tobytes(), None) for b in some]
+        out.append((-1, batch, each.tobytes(), docs.tobytes(), what.tobytes(), meta))
+    else:
+        each, what = keys[first].astype(np.uint32), np.where(times > 1, np.uint16(_ALL), docs[first]).astype(np.uint16)
+        own = np.bincount(docs[np.repeat(times > 1, times)], minlength=len(ids)).astype(np.uint32)
+        del keys, first, times
+        out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), what[cut[b] : cut[b + 1]].tobytes(), None, None) for b in some]
+        out.append((int(batch % buckets), batch, None, None, own.tobytes(), meta))
+    del each, what, docs
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
 
 
 def _pieces(buckets: int, width: int, full: bool):
@@ -64,34 +122,8 @@ def _pieces(buckets: int, width: int, full: bool):
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids, texts in _batches(rows):
-            sets = shingle_sets(texts, width)
-            n = np.array([len(s) for s in sets], np.int64)
-            keys = np.concatenate(sets)
-            docs = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
-            ends = np.cumsum(n)
-            whole = []
-            for salt in (1, 2):
-                p = np.concatenate(([np.uint64(0)], np.cumsum(mix(keys + np.uint64(salt)), dtype=np.uint64)))
-                whole.append(mix(p[ends] - p[ends - n]))
-            meta = np.array(ids, np.int64).tobytes() + n.tobytes() + whole[0].tobytes() + whole[1].tobytes()
-            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint32)
-            order = np.lexsort((keys, bucket))
-            keys, docs, bucket = keys[order], docs[order], bucket[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate((first, [len(keys)])))
-            cut = np.concatenate(([0], np.cumsum(np.bincount(bucket[first], minlength=buckets))))
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            if full:
-                each, what = keys[first], times.astype(np.uint32)
-                out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), None, what[cut[b] : cut[b + 1]].tobytes(), None) for b in some]
-                out.append((-1, batch, each.tobytes(), docs.tobytes(), what.tobytes(), meta))
-            else:
-                each, what = keys[first].astype(np.uint32), np.where(times > 1, np.uint16(_ALL), docs[first]).astype(np.uint16)
-                own = np.bincount(docs[np.repeat(times > 1, times)], minlength=len(sets)).astype(np.uint32)
-                out = [(b, batch, each[cut[b] : cut[b + 1]].tobytes(), what[cut[b] : cut[b + 1]].tobytes(), None, None) for b in some]
-                out.append((int(batch % buckets), batch, None, None, own.tobytes(), meta))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], names=_NAMES)
+        for batch, ids, sizes, keys in _batches(rows, width):
+            yield _dealt(batch, ids, sizes, keys, buckets, full)
 
     return run
 
@@ -376,7 +408,7 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def _sizes(width: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in _batches(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(texts, width)], pa.int64())], names=["n"])
+        for _, _, sizes, _ in _batches(rows, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sizes))], names=["n"])
 
     return run

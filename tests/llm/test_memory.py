@@ -1,12 +1,13 @@
 """What a task of the corpus pipeline holds at once."""
 
+import io
 import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from nodeloom.llm import _shingles, language_id
+from nodeloom.llm import _shingles, bpe, language_id, ngram_join
 
 
 def texts(size=8 << 20, each=4000, seed=5):
@@ -58,6 +59,56 @@ def test_languages_are_told_in_chunks(monkeypatch):
     assert found[0] == told()
 
 
+class Task:
+    """In place of Spark's context of a task."""
+
+    @staticmethod
+    def get():
+        return Task
+
+    @staticmethod
+    def partitionId():
+        return 3
+
+
+def arriving(some, each=500):
+    """Batches of (number, text), each in memory of its own, as from a stream."""
+    rows = pa.table({"i": pa.array(range(len(some)), pa.int64()), "x": some}).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(pa.RecordBatch.from_pylist([], rows.schema))
+        for batch in rows.to_batches(max_chunksize=each):
+            out.write_batch(batch)
+    return pa.ipc.open_stream(io.BytesIO(sink.getvalue()))
+
+
+def test_a_batch_of_texts_is_hashed_in_slices(monkeypatch):
+    some = texts(8 << 20)
+    monkeypatch.setattr(ngram_join, "TaskContext", Task)
+
+    def pieces(full):
+        return list(ngram_join._pieces(40, 5, full)(arriving(some)))
+
+    for full in (False, True):
+        cut = []
+        assert peak(lambda: cut.extend(pieces(full)))[0] < 110
+        monkeypatch.setattr(ngram_join, "SLICE_BYTES", 1 << 30)
+        assert cut == pieces(full)
+        monkeypatch.undo()
+        monkeypatch.setattr(ngram_join, "TaskContext", Task)
+
+
+def test_splitting_holds_neither_earlier_batches_nor_the_tokenizer(monkeypatch):
+    some = texts(12 << 20)
+    monkeypatch.setattr(bpe, "TaskContext", Task)
+    bpe.vocabulary.cache_clear()
+    task = bpe._split({"<|endoftext|>": 0}, 20)
+    made, given = [], arriving(some)
+    assert peak(lambda: made.extend(b.num_rows for b in task(given)))[0] < 40
+    assert sum(made) == len(some) + 20
+    assert bpe.vocabulary.cache_info().currsize == 0
+
+
 def test_a_text_goes_through_the_language_stage_once(spark, monkeypatch):
     import corpus_pipeline
 
