@@ -82,6 +82,41 @@ def test_suffix_dedup_of_a_text_longer_than_a_piece(spark):
     assert (got[2].n_removed, got[2].n_spans, got[3].n_removed) == (450, 1, 0)
 
 
+@pytest.fixture
+def uneven(spark):
+    """A session that joins by exchange and splits partitions of over 2 KB."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_suffix_dedup_deals_an_anchor_with_many_contexts_to_many_tasks(uneven, tmp_path, monkeypatch):
+    rnd, length, group = random.Random(4), 30, 16
+    some = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    middle, narrower = some(22), suffix_dedup._narrower
+    rows = [(7, k, 0, 4, 1, some(4), middle + some(8)) for k in range(800)] + [(k, k, 0, 0, 1 + k % 2, b"", some(30)) for k in range(1000, 1100)]
+    rows[1] = (*rows[1][:5], rows[0][5], rows[0][6][:-1] + b"!")  # all but the last byte
+
+    def told(*args):
+        def run(batches):
+            batches = list(batches)
+            (tmp_path / f"{time.time_ns()}-{rnd.random()}-{sum(b.num_rows for b in batches)}").touch()
+            yield from narrower(*args)(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_narrower", told)
+    contexts = suffix_dedup.written(uneven.createDataFrame(rows, suffix_dedup._CONTEXT).repartition(16))
+    got = suffix_dedup._repeated_starts(contexts, length, group, (7,)).collect()
+    assert {(r.k, r.h) for r in got} == {(7, 0), (7, 1)} | {(k, k) for k in range(1001, 1100, 2)}
+    taken = [int(p.name.rsplit("-", 1)[1]) for p in tmp_path.iterdir()]
+    assert sum(taken) == 800 and max(taken) < 400, taken
+
+
 def test_ngram_join(spark):
     rows = corpus()
     sets = []
