@@ -165,6 +165,24 @@ def test_exact_dedup_even_when_hashes_collide(spark):
     assert exact_dedup.exact_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_dedup_deals_a_large_group_to_many_tasks(uneven, monkeypatch):
+    from pyspark.sql import functions as F
+
+    spread = {}
+
+    def counted(df, name):
+        table = suffix_dedup.written(df.withColumn("task", F.spark_partition_id()), name)
+        spread[name] = max(r["count"] for r in table.groupBy("task").count().collect())
+        return table.drop("task")
+
+    monkeypatch.setattr(exact_dedup, "written", counted)
+    rows = [(k, "one text" if k % 3 else f"text {k}") for k in range(1200)]
+    docs = suffix_dedup.written(frame(uneven, rows).repartition(16), "docs")
+    got = counted(exact_dedup.exact_dedup(docs), "result")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got.collect()} == {(k, 1, 800) if k % 3 else (k, k, 1) for k in range(1200)}
+    assert max(spread[name] for name in ("copies", "compared", "result")) < 500, spread
+
+
 def test_mixing_nears_its_targets(spark):
     rows = [(k, "w " * (k % 50), None if k % 7 == 0 else f"s{k % 5}") for k in range(2000)] + [(9000, None, "empty")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
