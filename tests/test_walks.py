@@ -1,6 +1,7 @@
 """Walks against exact transition probabilities."""
 
 import collections
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +57,42 @@ def test_nonbacktracking_passes_make_up_for_dead_ends(spark):
         assert all(w[k] != w[k + 2] for k in range(len(w) - 2))
     alone = walks.random_walks(path, spark.createDataFrame([(77,)], "node_id long"), 1, 3).collect()
     assert [(r.step, r.node_id) for r in alone] == [(0, 77)]
+
+
+def test_even_walks_over_hubs_and_one_way_arcs_follow_their_law(spark, monkeypatch):
+    """Lists of 3 neighbours at most, so that a hub has many, and those lists begin and end anywhere."""
+    monkeypatch.setattr(walks, "LIST", 3)
+    monkeypatch.setattr(walks, "PASS", 20)
+    arcs = [(0, k) for k in range(1, 24)] + [(k, 0) for k in range(1, 24)] + [(k, k % 23 + 1) for k in range(1, 24)]
+    nexts = collections.defaultdict(list)
+    for a, b in sorted(arcs):
+        nexts[a].append(b)
+    g = spark.createDataFrame([(a, b, 1.0) for a, b in arcs], "src long, dst long, weight double").repartition(5)
+    lists, degree = walks.neighbour_lists(g)
+    got = collections.defaultdict(dict)
+    for r in lists.collect():
+        assert r.off // 3 == (r.off + len(r.dsts) - 1) // 3 == r.slot
+        got[r.src] |= dict(enumerate(r.dsts, r.off))
+    assert {a: [x[1] for x in sorted(b.items())] for a, b in got.items()} == nexts
+    assert {r.node: r.d for r in degree.collect()} == {a: len(b) for a, b in nexts.items()}
+    u = lambda *key: int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) / 2**32
+    for backtrack in (True, False):
+        seen = {(r.walk_id, r.step): r.node_id for r in walks.random_walks(g, None, 2, 5, backtrack=backtrack).collect()}
+        want = {}
+        for way in range(2):
+            for start in nexts:
+                want[f"{way}|{start}", 0] = at = start
+                before = None
+                for step in range(1, 5):
+                    choices = [x for x in nexts[at] if backtrack or step == 1 or x != before]
+                    before, at = at, choices[int(u("walk", way, start, step) * len(choices))]
+                    want[f"{way}|{start}", step] = at
+        assert seen == want
+    rows = walks.random_walks(g, None, 3, 4, p=4.0, q=0.5).groupBy("step").count().collect()
+    assert {r["step"]: r["count"] for r in rows} == {k: 72 for k in range(4)}
+
+
+def test_a_step_joins_lists_not_arcs(spark):
+    g = spark.range(400).select((F.col("id") % 20).alias("src"), F.floor(F.col("id") / 20).alias("dst")).where("src <> dst").withColumn("weight", F.lit(1.0))
+    lists, _ = walks.neighbour_lists(g)
+    assert lists.count() < 60 and lists.agg(F.sum(F.size("dsts"))).first()[0] == 380
