@@ -47,3 +47,19 @@ def test_affinities_tried_together_are_as_if_tried_alone(spark, monkeypatch):
         cab, energies = blockmodel.walk_learn(edges, nodes, 2, [0.4, 0.6], several[0], steps=3, size=2.0, sweeps=2)
         by[ahead] = [*cab.ravel(), *energies], len(calls)
     assert by[3][0] == pytest.approx(by[1][0], rel=1e-12) and by[3][1] == 1 < by[1][1]
+
+
+@pytest.mark.parametrize("dc", [0, 2])
+def test_messages_in_cells_are_the_messages_in_rows(spark, monkeypatch, dc):
+    """Two steps of learning, in many cells and several parts, with a node that hears nothing and arcs given twice."""
+    monkeypatch.setattr(cells, "SLICE", 40)
+    monkeypatch.setattr(cells, "PASS", 400)
+    edges, nodes = graph(spark, n=40)
+    eta, cab = [0.4, 0.6], np.array([[9.0, 2.0], [2.0, 5.0]]) / (100 if dc else 1)
+    groups, energy = blockmodel.bp_learn(edges.union(edges.limit(30)), nodes, 2, eta, cab, em_steps=2, sweeps=2, dc=dc)
+    monkeypatch.setattr(blockmodel.pair_bp, "learned", None)
+    same = spark.createDataFrame([(k, 0) for k in range(40)], "node_id long, membership long")
+    by_row, want = blockmodel.bp_learn(edges, nodes, 2, eta, cab, em_steps=2, sweeps=2, dc=dc, start="planted", members=same, strength=0.0)
+    assert energy == pytest.approx(want, rel=1e-9)
+    one, two = ({r.node_id: list(r.psi) for r in x.collect()} for x in (groups, by_row))
+    assert set(one) == set(two) == set(range(40)) and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
