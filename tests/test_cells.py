@@ -24,7 +24,12 @@ def test_sums_over_cells_are_those_over_arcs(spark, monkeypatch, apart):
     value = lambda c: (F.col(c) * 7 % 13).cast("double")
     packs = cells.packed(cells.node_rows(g).withColumn("x", F.array(value("node_id"), F.lit(1.0))), "x", 2)
     width = g.width
-    spread = lambda blk, at, v: (blk, blockmodel._spread(np.frombuffer(v).reshape(2, -1), at, width))
+
+    def spread(blk, at, v):
+        out = np.zeros((2, width))
+        out[:, np.frombuffer(at, np.int64)] = np.frombuffer(v).reshape(2, -1)
+        return blk, out.tobytes()
+
     vectors = cells.each_block(g.blocks.join(packs, "blk"), spread, ["blk", "at", "v"], "blk long, v binary")
     back = lambda blk, at, s: (blk, np.ascontiguousarray(np.frombuffer(s).reshape(2, width)[:, np.frombuffer(at, np.int64)]).tobytes())
     got = cells.unpacked(g, cells.each_block(g.blocks.join(cells.summed(g, vectors, 2), "blk"), back, ["blk", "at", "sums"], "blk long, v binary"), 2)
